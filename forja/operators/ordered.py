@@ -66,6 +66,26 @@ def row_numbers(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     return running_totals(df, keys, bucket, order, {name: F.lit(1).cast("long")})
 
 
+def neighbor(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
+             cols: Sequence[str], name: str, after: bool = False) -> DataFrame:
+    """Add struct ``name`` of ``cols`` from the previous (or next) row of the key.
+
+    Like lag/lead over the whole key, but the window runs inside (key,
+    bucket); only the edge row of each bucket travels along the key.  NULL
+    where there is no such row.  ``order`` must be total and without NULLs.
+    """
+    rec, pos = F.struct(*cols), F.struct(*order)
+    keyed = df.withColumn("__b", bucket)
+    inside = W.partitionBy(*keys, "__b").orderBy(*order)
+    local = keyed.withColumn("__near", (F.lead if after else F.lag)(rec, 1).over(inside))
+    edge = (F.min_by if after else F.max_by)(rec, pos)
+    edges = keyed.groupBy(*keys, "__b").agg(edge.alias("__e"))
+    along = W.partitionBy(*keys).orderBy(F.col("__b").asc_nulls_last())
+    edges = edges.select(*keys, "__b", (F.lead if after else F.lag)("__e", 1).over(along).alias("__far"))
+    out = join_null_safe(local, edges, [*keys, "__b"])
+    return out.withColumn(name, F.coalesce("__near", "__far")).drop("__b", "__near", "__far")
+
+
 def value_bucket(value: Column) -> Column:
     """Order-preserving band of a number, finer near zero (about 0.3 % wide)."""
     band = F.floor(F.log2(1 + F.abs(value)) * 256)
