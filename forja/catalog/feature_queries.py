@@ -11,6 +11,7 @@ from forja.functions import scalar as x
 from forja.ml import metrics as m
 from forja.plans import features as f
 from forja.plans.tooling import next_change
+from forja.staging import staged
 
 MINS = ", ".join(f"sum(CASE WHEN estado = '{s}' THEN duracion_min ELSE 0 END) AS {n}"
                  for s, n in (("produccion", "dur_prod"), ("preparacion", "dur_prep"), ("incidencia", "dur_inci")))
@@ -55,12 +56,13 @@ def j6(spark, sf):
 
 
 def weeks(spark, sf):
-    return f.machine_weeks(i.ops(spark, sf))
+    """Machine weeks, staged once for the queries that build on them."""
+    return staged(spark, sf, "semanas", lambda: f.machine_weeks(i.ops(spark, sf)))
 
 
 @register("A37_machine_weeks", ("ops",), WEEK + f"SELECT {A37_COLS} FROM weeks")
 def a37(spark, sf):
-    return weeks(spark, sf).drop("hasta")
+    return f.machine_weeks(i.ops(spark, sf)).drop("hasta")
 
 
 @register("J7_week_minutes_with_pieces", ("ops",), WEEK + "SELECT machine_name, periodo, dur_prod, piezas_ok, piezas_scrap FROM mj")
@@ -70,7 +72,7 @@ def j7(spark, sf):
 
 @register("K20_machine_states", ("ops",), WEEK + f"SELECT {A37_COLS}, estado FROM weeks")
 def k20(spark, sf):
-    return f.with_state(weeks(spark, sf)).drop("hasta")
+    return f.with_state(f.machine_weeks(i.ops(spark, sf))).drop("hasta")
 
 
 @register("P24_custom_thresholds", ("ops",), WEEK + "SELECT estado, estado_alt, count(*) AS n FROM weeks GROUP BY 1, 2")

@@ -14,6 +14,7 @@ STATES = ("produccion", "preparacion", "incidencia")
 SHIFTS = ("mañana", "tarde", "noche")
 TOOL_CHANGE = "CAMBIO DE FRESA"
 NO_PHASE = "SIN_OP"
+WHITESPACE = " \t\n\r\f\v"
 KPI_GOOD_WARNING = {
     "oee": (0.75, 0.60),
     "availability": (0.85, 0.75),
@@ -141,7 +142,7 @@ def phase_of(op_id: str | Column = "op_id", op_text: str | Column = "op_text",
              event: str | Column = "evento") -> Column:
     """Phase name: operation id, else its text, else the event."""
     raw = F.coalesce(col(op_id), col(op_text), col(event))
-    stripped = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    stripped = F.btrim(raw, F.lit(WHITESPACE))
     return F.coalesce(F.nullif(stripped, F.lit("")), F.lit(NO_PHASE))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
@@ -102,12 +103,13 @@ def targets(ops: DataFrame, rates: DataFrame, by: Sequence[str] = (), approx: bo
         q = F.percentile(usable, F.array(F.lit(0.25), F.lit(0.5))).alias("q")
         grain = base.groupBy(*keys).agg(*sums, q)
         grain = grain.withColumns({"ciclo_p25": F.col("q")[0], "ciclo_mediana": F.col("q")[1]}).drop("q")
-        overall = grain.groupBy(*by).agg(F.percentile("ciclo_mediana", F.lit(0.5)).alias("ciclo_global"))
+        # the pairs of a group were counted: they fit one task
+        overall = F.percentile("ciclo_mediana", F.lit(0.5)).over(W.partitionBy(*by) if by else W.partitionBy(F.lit(1)))
+        out = with_rate(grain.withColumn("ciclo_global", overall), rates)
     else:
         bench = cycle_benchmarks(base, by, approx)
         grain = base.groupBy(*keys).agg(*sums).join(bench, keys, "left")
-        overall = global_cycle(bench, by)
-    out = join_group(with_rate(grain, rates), overall, by)
+        out = join_group(with_rate(grain, rates), global_cycle(bench, by), by)
     cycle = target_cycle(F.col("piezas_hora_teorico"), F.col("ciclo_p25"), F.col("ciclo_mediana"), F.col("ciclo_global"))
     return out.withColumn("ciclo_objetivo_s", cycle)
 
@@ -257,8 +259,6 @@ def machine_day_availability(ops: DataFrame) -> DataFrame:
 
 def incident_pareto(ops: DataFrame, k: int = 10) -> DataFrame:
     """Top incident types by minutes with share of the top and running share."""
-    from pyspark.sql import Window as W
-
     kinds = ops.where((F.col("estado") == "incidencia") & F.col("tipo_incidencia").isNotNull())
     top = kinds.groupBy("tipo_incidencia").agg(F.sum("duracion_min").alias("duracion_min"))
     top = top.orderBy(F.desc("duracion_min"), "tipo_incidencia").limit(k)

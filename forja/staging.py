@@ -12,10 +12,11 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from forja.session import shared_dir
 
-_ready: dict[tuple[str, str, str], str] = {}
+_ready: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 _roots: dict[str, str] = {}
 
 
@@ -27,12 +28,8 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         root = _roots.setdefault(app, shared_dir(spark))
         tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
         path = f"{root}/forja-{app}/{tag}/{name}"
-        spread(build()).write.mode("overwrite").parquet(path)
-        _ready[key] = path
-    return spark.read.parquet(_ready[key])
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores if the input arrived in fewer pieces."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        df = build()
+        df.write.mode("overwrite").parquet(path)
+        _ready[key] = (path, df.schema)
+    path, schema = _ready[key]
+    return spark.read.schema(schema).parquet(path)

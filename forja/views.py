@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare file scan spread over all cores if it came in fewer pieces."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _order_id(c: str) -> Column:
     return F.lpad(F.col(c).cast("string"), 12, "0")
 
@@ -30,7 +36,7 @@ def _machine(c: str) -> Column:
 
 def raw_ops(spark: SparkSession, sf_dir: str, plant: bool = False) -> DataFrame:
     """Production operations as recorded: ids unpadded, NULLs kept."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     k, line, sup, s = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"))
     m = 1 + F.floor(F.col("l_extendedprice") / 1000)
     q, d, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
