@@ -126,8 +126,9 @@ def to_date(c: str | Column) -> Column:
 
 
 def minutes_between(start: str | Column, end: str | Column) -> Column:
-    micros = F.unix_micros(col(end).cast("timestamp")) - F.unix_micros(col(start).cast("timestamp"))
-    return micros / F.lit(60_000_000.0)
+    """Minutes from start to end of zone-less timestamps."""
+    seconds = (col(end) - col(start)).cast("interval second").cast("decimal(18,6)")
+    return seconds.cast("double") / 60
 
 
 def zero_as_null(c: str | Column) -> Column:
