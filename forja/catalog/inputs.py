@@ -22,7 +22,7 @@ def fact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_fact(spark: SparkSession, sf: str) -> DataFrame:
-    return production_fact(conform.conform_ops(raw_ops(spark, sf)), refs(spark, sf), orders(spark, sf))
+    return production_fact(conform.conform_ops(raw_ops(spark, sf)), refs(spark, sf), unique_orders(spark, sf), unique=True)
 
 
 ops = fact
@@ -40,6 +40,11 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
     return staged(spark, sf, "ordenes", lambda: conform.conform_orders(views.raw_orders(spark, sf)))
 
 
+def unique_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """One header per (order, reference)."""
+    return staged(spark, sf, "ordenes_unicas", lambda: conform.unique_orders(orders(spark, sf)))
+
+
 def purchases(spark: SparkSession, sf: str) -> DataFrame:
     return staged(spark, sf, "compras", lambda: conform.conform_purchases(views.raw_purchases(spark, sf)))
 

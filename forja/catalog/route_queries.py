@@ -32,6 +32,11 @@ def k9(spark, sf):
     return p.order_routes(i.ops(spark, sf)).withColumn("ops_seq", F.array_join("ops_seq", ",", "-"))
 
 
+@register("K9_route_steps", ("ops",), PH + "SELECT work_order_id, rn AS paso, fase FROM pos")
+def k9b(spark, sf):
+    return p.route_steps(i.ops(spark, sf))
+
+
 @register("K10_order_pieces", ("ops",), PH + """,
   f AS (SELECT work_order_id, fase, min(rn) AS r, sum(piezas_ok) AS ok, sum(piezas_scrap) AS sc FROM pos GROUP BY 1, 2)
   SELECT f.work_order_id, min(ref) AS ref_id_str, string_agg(fase, ' -> ' ORDER BY r) AS fases_unicas, CAST(count(*) AS INTEGER) AS n_fases,

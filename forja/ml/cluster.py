@@ -9,7 +9,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forja.ml.metrics import attach_row, scaler_stats, silhouette, standardise
+from forja.ml.metrics import scaler_stats, silhouette, standardise
+from forja.operators.ordered import attach_row
 from forja.plans.features import CLUSTER_FEATURES
 
 SEED = 42

@@ -5,16 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
-from forja.operators.ordered import running_totals
-
-
-def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Every row plus the columns of a one-row frame."""
-    return df.withColumn("__k", F.lit(1)).join(one_row.withColumn("__k", F.lit(1)), "__k").drop("__k")
+from forja.operators.ordered import attach_row, running_totals
 
 
 # --- scaling ----------------------------------------------------------------
@@ -125,7 +119,7 @@ def roc_points(scores: DataFrame, cls: str = "clase", truth: str = "positivo", s
     g = scores.where(F.col(score).isNotNull()).groupBy(cls, score).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("f"))
     r = running_totals(g, [cls], F.floor(-F.col(score) * 4096), [F.col(score).desc()], {"tp": F.col("p"), "fp": F.col("f")})
     tot = g.groupBy(cls).agg(F.sum("p").alias("np"), F.sum("f").alias("nf"))
-    return r.join(tot, cls).select(
+    return r.join(F.broadcast(tot), cls).select(
         cls, score, "tp", "fp", "p", "f", "np", "nf",
         (F.col("fp") / F.nullif(F.col("nf"), F.lit(0))).alias("fpr"), (F.col("tp") / F.nullif(F.col("np"), F.lit(0))).alias("tpr"))
 
@@ -155,8 +149,9 @@ def cluster_stats(points: DataFrame, cols: Sequence[str], label: str = "cluster"
         F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("centro"),
         F.avg(sum((F.col(c) * F.col(c) for c in cols[1:]), F.col(cols[0]) * F.col(cols[0]))).alias("norma2"))
     v = F.array(*[F.col(c) for c in cols])
-    spread = points.join(g.select(label, "centro"), label).groupBy(label).agg(F.avg(F.sqrt(_dist2(v, F.col("centro")))).alias("dispersion"))
-    return g.join(spread, label)
+    # as many rows as clusters, a model parameter
+    spread = points.join(F.broadcast(g.select(label, "centro")), label).groupBy(label).agg(F.avg(F.sqrt(_dist2(v, F.col("centro")))).alias("dispersion"))
+    return g.join(F.broadcast(spread), label)
 
 
 def _as_array(stats: DataFrame, label: str) -> DataFrame:

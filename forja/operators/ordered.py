@@ -34,6 +34,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def attach_row(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Every row plus the columns of frames that have exactly one row.
+
+    One row is a proven size, so it is broadcast whatever the settings; a
+    join on a constant must never be allowed to shuffle.
+    """
+    out = df.withColumn("__k", F.lit(1))
+    for r in one_row:
+        out = out.join(F.broadcast(r.withColumn("__k", F.lit(1))), "__k", "left")
+    return out.drop("__k")
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],

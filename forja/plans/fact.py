@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
 from forja.operators.lastop import last_valid_ops
+from forja.operators.ordered import attach_row
 from forja.sources.conform import unique_orders
 
 
@@ -42,15 +43,21 @@ def with_reference(ops: DataFrame, refs: DataFrame) -> DataFrame:
     return ops.join(dim, "ref_id_str", "left")
 
 
-def with_order(ops: DataFrame, orders: DataFrame) -> DataFrame:
-    """ops plus client, planned quantity, plant and family of its order."""
-    dim = unique_orders(orders).drop("fecha_lanzamiento")
-    return ops.join(dim, ["work_order_id", "ref_id_str"], "left")
+def with_order(ops: DataFrame, orders: DataFrame, unique: bool = False) -> DataFrame:
+    """ops plus client, planned quantity, plant and family of its order.
+
+    Headers are deduplicated first.  Pass a stored ``unique_orders`` table
+    with ``unique=True`` at scale: then both join sides are plain scans and
+    the runtime can split a hot order.
+    """
+    dim = orders if unique else unique_orders(orders)
+    cols = ("work_order_id", "ref_id_str", "cliente", "qty_plan", "planta_inicio", "familia_of")
+    return ops.join(dim.select(*cols), ["work_order_id", "ref_id_str"], "left")
 
 
-def production_fact(ops: DataFrame, refs: DataFrame, orders: DataFrame) -> DataFrame:
+def production_fact(ops: DataFrame, refs: DataFrame, orders: DataFrame, unique: bool = False) -> DataFrame:
     """Conformed operations with reference, order and per-operation rates."""
-    out = with_order(with_reference(ops, refs), orders)
+    out = with_order(with_reference(ops, refs), orders, unique)
     return out.withColumns({
         "familia": F.coalesce("familia", "familia_of"),
         "scrap_rate": x.ratio(F.col("piezas_scrap"), F.col("total_piezas")),
@@ -167,4 +174,4 @@ def range_summary(ops: DataFrame, f: Filters) -> DataFrame:
     refs = inside.select(numeric.alias("r")).groupBy("r").agg(F.count("*").alias("n")).where(F.col("r").isNotNull())
     refs = refs.agg(F.count("*").alias("referencias"), F.sum("n").alias("filas_con_referencia"))
     done = last_valid_ops(inside).agg(x.sum0(F.col("piezas_ok") + F.col("piezas_scrap")).alias("piezas"))
-    return refs.withColumn("k", F.lit(1)).join(done.withColumn("k", F.lit(1)), "k").drop("k")
+    return attach_row(refs, done)

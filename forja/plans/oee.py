@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
 from forja.operators.lastop import last_op_struct
-from forja.operators.ordered import MAX_GROUP_VALUES, quantiles
+from forja.operators.ordered import MAX_GROUP_VALUES, attach_row, quantiles
 
 # --- fixed values -----------------------------------------------------------
 CYCLE_MIN_S, CYCLE_MAX_S = 1.0, 600.0
@@ -86,8 +86,7 @@ def join_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFram
     """Left join on the group keys, or with the only row when there are none."""
     if by:
         return left.join(right, list(by), "left")
-    one = F.lit(1).alias("k")
-    return left.select("*", one).join(right.select("*", one), "k", "left").drop("k")
+    return attach_row(left, right)
 
 
 def targets(ops: DataFrame, rates: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:

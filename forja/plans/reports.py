@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
 from forja.operators.lastop import last_valid_ops
-from forja.operators.ordered import top_k
+from forja.operators.ordered import attach_row, top_k
 
 DETAIL_COLUMNS = (
     "work_order_id", "op_id", "ref_id_str", "familia", "cliente", "machine_name", "op_text", "planta",
@@ -23,14 +23,6 @@ def _sums(*cols: str) -> list[Column]:
     return [F.sum(c).alias(c) for c in cols]
 
 
-def attach(left: DataFrame, *one_row: DataFrame) -> DataFrame:
-    """Put one-row frames side by side (an equi-join on a constant)."""
-    out = left.withColumn("k", F.lit(1))
-    for r in one_row:
-        out = out.join(r.withColumn("k", F.lit(1)), "k", "left")
-    return out.drop("k")
-
-
 # --- production -------------------------------------------------------------
 
 
@@ -49,7 +41,7 @@ def production_kpis(fact: DataFrame) -> DataFrame:
     orders = orders.agg(F.count("*").alias("ordenes_activas"))
     steps = fact.where(F.col("op_id").isNotNull()).groupBy("op_id").agg(F.lit(1).alias("u"))
     steps = steps.agg(F.count("*").alias("ops_activas"))
-    out = attach(last, mins, orders, steps)
+    out = attach_row(last, mins, orders, steps)
     total = F.col("total_ok") + F.col("total_scrap")
     return out.withColumns({
         "scrap_rate": x.ratio(F.col("total_scrap"), total),
@@ -110,7 +102,7 @@ def _received(purchases: DataFrame) -> DataFrame:
 def purchase_kpis(purchases: DataFrame) -> DataFrame:
     kg = _received(purchases).agg(x.sum0("qty_recibida").alias("kg_recibidos"))
     lots = purchases.where(F.col("material_lot_id").isNotNull()).groupBy("material_lot_id").agg(F.lit(1).alias("u"))
-    out = attach(kg, lots.agg(F.count("*").alias("lotes")))
+    out = attach_row(kg, lots.agg(F.count("*").alias("lotes")))
     return out.withColumn("lote_medio_kg", x.ratio0(F.col("kg_recibidos"), F.col("lotes")))
 
 
@@ -209,7 +201,7 @@ def context_summary(fact: DataFrame, orders: DataFrame, labour: DataFrame, purch
     plan = orders.agg(x.sum0("qty_plan").alias("piezas_planificadas"))
     hr = labour.agg(x.sum0("horas_netas").alias("horas_netas"), x.sum0(_lost()).alias("horas_perdidas"))
     buy = purchases.agg(x.sum0("qty_recibida").alias("mp_kg"), F.count("*").alias("mp_lotes"))
-    out = attach(prod, plan, hr, buy, distinct(fact, "machine_name", "maquinas"), distinct(fact, "ref_id_str", "referencias"),
+    out = attach_row(prod, plan, hr, buy, distinct(fact, "machine_name", "maquinas"), distinct(fact, "ref_id_str", "referencias"),
                  distinct(orders, "work_order_id", "ordenes"), distinct(purchases, "ref_materia_str", "mp_referencias"))
     lost, net = F.col("horas_perdidas"), F.col("horas_netas")
     return out.withColumns({

@@ -6,14 +6,14 @@ only the literal route text of an order needs its whole operation list.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
-from forja.operators.ordered import top_k
+from forja.operators.ordered import row_numbers, top_k
 from forja.sources.files import write_order_life
 
 ARROW = " -> "
@@ -54,6 +54,16 @@ def order_routes(ops: DataFrame) -> DataFrame:
         "dur_total_min", "n_ops", F.transform("s", lambda p: p["op_id"]).alias("ops_seq"))
 
 
+def route_steps(ops: DataFrame) -> DataFrame:
+    """The route in long form: (order, step, phase), for orders of any length.
+
+    Steps are numbered inside (order, day), so no order has to fit one task.
+    """
+    rows = phased(ops)
+    order = [F.col("pos").asc(), *[F.col(c).asc() for c in ("machine_name", "piezas_ok", "piezas_scrap")]]
+    return row_numbers(rows, ["work_order_id"], F.col("ts_ini").cast("date"), order, "paso").select("work_order_id", "paso", "fase")
+
+
 def phase_totals(ops: DataFrame) -> DataFrame:
     """(order, phase, incident) totals with first and last position."""
     return phased(ops).groupBy("work_order_id", "fase", "incidente").agg(
@@ -253,4 +263,4 @@ def reference_cycle(life: DataFrame) -> DataFrame:
 def top_references(life: DataFrame, k: int = 10) -> DataFrame:
     """Orders of the k references with most orders."""
     n = life.where(F.col("ref_id_str").isNotNull()).groupBy("ref_id_str").agg(F.count("*").alias("n"))
-    return life.join(top_k(n, k, F.desc("n"), F.col("ref_id_str")), "ref_id_str", "left_semi")
+    return life.join(F.broadcast(top_k(n, k, F.desc("n"), F.col("ref_id_str"))), "ref_id_str", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
+from forja.operators.ordered import attach_row
 
 
 def conform_refs(raw: DataFrame) -> DataFrame:
@@ -48,9 +49,8 @@ def fallback_rates(rates: DataFrame, ops: DataFrame) -> DataFrame:
     pairs = ops.select("ref_id_str", "machine_name").dropna().distinct()
     pairs = pairs.select("ref_id_str", "machine_name", F.lit(0.0).alias("piezas_hora_teorico"))
     tagged = rates.withColumn("__from", F.lit("rates")).unionByName(pairs.withColumn("__from", F.lit("pairs")))
-    tagged = tagged.withColumn("__k", F.lit(1))
-    choice = named.select(F.when(F.col("__n") > 0, "rates").otherwise("pairs").alias("__pick"), F.lit(1).alias("__k"))
-    return tagged.join(choice, "__k").where(F.col("__from") == F.col("__pick")).select(
+    choice = named.select(F.when(F.col("__n") > 0, "rates").otherwise("pairs").alias("__pick"))
+    return attach_row(tagged, choice).where(F.col("__from") == F.col("__pick")).select(
         "ref_id_str", "machine_name", "piezas_hora_teorico")
 
 
