@@ -10,7 +10,8 @@ from forja.catalog.base import register
 from forja.operators.ordered import quantiles
 from forja.plans import routes as p
 from forja.plans import tooling as t
-from forja.staging import staged
+from forja.sources import files
+from forja.staging import out_dir, staged
 
 ORD = "ts_ini NULLS LAST, ts_fin NULLS LAST, fase, op_id NULLS FIRST, ref_id_str"
 PH = """WITH ph AS (SELECT *, coalesce(nullif(trim(coalesce(op_id, op_text, evento)), ''), 'SIN_OP') AS fase,
@@ -309,3 +310,26 @@ def k17(spark, sf):
 def w5(spark, sf):
     return i.rounded(t.next_change(changes(spark, sf)).groupBy("machine_id").agg(
         F.count("*").alias("n"), F.avg("minutes_to_next_change").alias("media_min")))
+
+
+# --- sinks and back ---------------------------------------------------------
+
+
+@register("S12_order_life_json", FLOW_T, FLOW + """
+  SELECT work_order_id, cantidad_lanzada, scrap_total, primera_fase_ts, ultima_fase_ts, CAST(n AS INTEGER) AS operaciones FROM vida JOIN
+    (SELECT work_order_id, count(*) AS n FROM flow GROUP BY 1) USING (work_order_id)""")
+def s12(spark, sf):
+    """Written as JSON documents and read back with an explicit schema (S11)."""
+    path = f"{out_dir(spark, sf)}/of_vida_json"
+    files.write_order_life(life(spark, sf), path)
+    return files.read_order_life(spark, path).select(
+        "work_order_id", "cantidad_lanzada", "scrap_total", "primera_fase_ts", "ultima_fase_ts", F.size("operaciones").alias("operaciones"))
+
+
+@register("S13_tool_changes_csv", ("ops",), CUT + """
+  SELECT CAST(machine_id AS VARCHAR) AS machine_id, machine_name, ts_cambio, piezas_hasta_cambio, scrap_hasta_cambio, duracion_cambio_min, ops_hasta_cambio FROM ch""")
+def s13(spark, sf):
+    """Written as CSV and read back with text ids."""
+    path = f"{out_dir(spark, sf)}/fresa_csv"
+    files.write_csv(changes(spark, sf), path)
+    return files.read_tool_changes(spark, path)

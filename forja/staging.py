@@ -20,14 +20,21 @@ _ready: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 _roots: dict[str, str] = {}
 
 
+def out_dir(spark: SparkSession, sf_dir: str) -> str:
+    """This application's folder for tables derived from ``sf_dir``."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = shared_dir(spark)
+    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    return f"{_roots[app]}/forja-{app}/{tag}"
+
+
 def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Table ``name`` of ``sf_dir``; ``build`` runs on first use only."""
     app = spark.sparkContext.applicationId
     key = (app, sf_dir, name)
     if key not in _ready:
-        root = _roots.setdefault(app, shared_dir(spark))
-        tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-        path = f"{root}/forja-{app}/{tag}/{name}"
+        path = f"{out_dir(spark, sf_dir)}/{name}"
         df = build()
         df.write.mode("overwrite").parquet(path)
         _ready[key] = (path, df.schema)
