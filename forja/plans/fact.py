@@ -73,7 +73,8 @@ def in_range(ts: str | Column, start: date, end: date) -> Column:
     lo = datetime.combine(start, datetime.min.time())
     hi = datetime.combine(end, datetime.min.time()) + timedelta(days=1) - timedelta(seconds=1)
     c = x.col(ts)
-    return (c >= F.lit(lo).cast("timestamp_ntz")) & (c <= F.lit(hi).cast("timestamp_ntz"))
+    # as text: a datetime literal would pass through the session's time zone
+    return (c >= F.lit(str(lo)).cast("timestamp_ntz")) & (c <= F.lit(str(hi)).cast("timestamp_ntz"))
 
 
 @dataclass(frozen=True)

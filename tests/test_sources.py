@@ -95,6 +95,17 @@ def test_date_range_ends_at_last_whole_second(spark):
     assert pf.filter_ops(df, pf.Filters(date(2025, 1, 6), date(2025, 1, 7))).count() == 2
 
 
+def test_date_range_ignores_the_session_time_zone(spark):
+    df = ops(spark, {"ts_ini": datetime(2025, 1, 6)}, {"ts_ini": datetime(2025, 1, 6, 23, 59)})
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        n = pf.filter_ops(df, pf.Filters(date(2025, 1, 6), date(2025, 1, 6))).count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert n == 2
+
+
 def test_plant_filter_empties_pending_orders(spark):
     o = spark.createDataFrame([(datetime(2025, 1, 6), "PENDING")], "fecha_lanzamiento timestamp_ntz, planta_inicio string")
     assert pf.filter_orders(o, pf.Filters(date(2025, 1, 1), date(2025, 2, 1), ("P",))).count() == 0
