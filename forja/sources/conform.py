@@ -31,7 +31,7 @@ def conform_rates(raw: DataFrame) -> DataFrame:
     if "ciclo_teorico_seg" in have:
         from_cycle = x.ratio0(F.lit(3600.0), F.col("ciclo_teorico_seg").cast("double"))
         rate = F.coalesce(rate, from_cycle)
-    if not have & {"piezas_hora_teorico"} :
+    if "piezas_hora_teorico" not in have:
         rate = F.coalesce(rate, F.lit(0.0))
     out = raw.select(x.norm_ref(ref).alias("ref_id_str"), machine.alias("machine_name"), rate.alias("piezas_hora_teorico"))
     return out.groupBy("ref_id_str", "machine_name").agg(F.max("piezas_hora_teorico").alias("piezas_hora_teorico"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
-from frames import as_dicts, at, ops
+from frames import as_dicts, ops
 from pyspark.sql import functions as F
 
 from forja.plans import fact as pf
@@ -144,4 +144,3 @@ def test_accented_minutes_only_in_production_kpis(spark):
     df = ops(spark, {"evento": "PRODUCCION"}, {"work_order_id": "B", "evento": "PRODUCCIÓN", "piezas_ok": 5.0}).withColumn("peso_neto_kg", F.lit(2.0))
     [k] = as_dicts(r.production_kpis(df))
     assert k["min_produccion"] == 60.0 and k["kg_ok"] == 30.0 and k["ordenes_activas"] == 2
-    assert at(6)  # fixture date helper stays importable
