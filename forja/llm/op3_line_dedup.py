@@ -33,7 +33,7 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float, min_p
     pages = docs.select(
         F.coalesce(host, F.lit("")).alias("site"), text_key(text).alias("page"),
         F.array_distinct(F.transform(
-            F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != ""), _line_key)).alias("lines"))
+            F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), _line_key)).alias("lines"))
     lines = pages.select("site", "page", F.explode("lines").alias("line")).distinct()
     seen = lines.groupBy("site", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     sizes = pages.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
