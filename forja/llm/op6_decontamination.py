@@ -61,9 +61,9 @@ def fingerprints(df: DataFrame, keys: list[str], words: str) -> DataFrame:
 
 def short_grams(df: DataFrame, keys: list[str], words: str, length: int) -> DataFrame:
     """Every run of ``length`` words, for items shorter than a window."""
-    hashed = df.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("h")).filter(F.size("h") >= length)
+    hashed = df.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
     hashed = hashed.select(*keys, F.transform(
-        F.sequence(F.lit(0), F.size("h") - length),
+        F.slice(F.sequence(F.lit(0), F.size("h")), 1, F.greatest(F.size("h") - length + 1, F.lit(0))),
         lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, length)).alias("gram"), i.alias("pos"))).alias("g"))
     return hashed.select(*keys, F.explode("g").alias("g")).select(*keys, "g.gram", "g.pos")
 
@@ -85,13 +85,14 @@ def alignments(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _spans(words: Column, item_words: Column, shift: Column) -> Column:
-    """Starts (in the text) of the item's windows that stand in the text along one alignment."""
+    """Windows (start, length) of the item that stand in the text along one alignment."""
     length = F.least(F.size(item_words), F.lit(WINDOW))
     equal = F.transform(item_words, lambda w, j: (
         F.coalesce((shift + j < F.size(words)) & (F.get(words, shift + j) == w), F.lit(False))))
-    return F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(item_words) - length), lambda s: F.forall(F.slice(equal, s + 1, length), lambda x: x)),
-        lambda s: F.struct((s + shift).alias("start"), length.alias("length")))
+    starts = F.sequence(F.lit(0), F.size(item_words) - length)
+    # an array of one element binds ``equal``, so that it is computed once and not for every start
+    hits = F.transform(F.array(equal), lambda e: F.filter(starts, lambda s: F.forall(F.slice(e, s + 1, length), lambda x: x)))
+    return F.transform(hits[0], lambda s: F.struct((s + shift).alias("start"), length.alias("length")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -107,18 +108,16 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     wanted = written(spark, wanted.distinct().select(F.xxhash64("id", F.lit("|"), F.concat_ws(" ", "item_words")).alias("item"), "id", "item_words"), "items")
     keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     pairs = written(spark, alignments(keyed.select("key", word_array(F.col("text")).alias("words")), wanted), "alignments")
+    # as many rows as texts with a shared fingerprint: never to be broadcast, however few they are here
     grouped = (pairs.join(wanted, "item").groupBy("key")
-               .agg(F.collect_list(F.struct("id", "item_words", "shift")).alias("pairs")))
+               .agg(F.collect_list(F.struct("id", "item_words", "shift")).alias("pairs"))).hint("merge")
     rows = keyed.join(grouped, "key").select("key", word_array(F.col("text")).alias("words"), "pairs")
-    rows = rows.select("key", F.transform(
-        "pairs", lambda p: F.struct(p["id"].alias("id"), _spans(F.col("words"), p["item_words"], p["shift"]).alias("spans"))).alias("pairs"))
-    rows = rows.select("key", F.filter("pairs", lambda p: F.size(p["spans"]) > 0).alias("pairs")).filter(F.size("pairs") > 0)
-    rows = rows.select(
-        "key", F.array_distinct(F.flatten(F.transform("pairs", lambda p: p["spans"]))).alias("spans"),
-        F.array_sort(F.array_distinct(F.filter(F.transform("pairs", lambda p: p["id"]), lambda x: x.isNotNull()))).alias("item_ids"))
-    rows = rows.select("key", "spans", "item_ids", F.size(F.array_distinct(F.flatten(F.transform(
-        "spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))).cast("long").alias("n_hit"))
-    return rows.dropDuplicates(["key"])
+    rows = rows.select("key", F.explode(F.transform(
+        "pairs", lambda p: F.struct(p["id"].alias("id"), _spans(F.col("words"), p["item_words"], p["shift"]).alias("spans")))).alias("hit"))
+    hits = written(spark, rows.select("key", "hit.id", "hit.spans").filter(F.size("spans") > 0), "hits")
+    found = hits.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.collect_set("id")).alias("item_ids"))
+    covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
+    return found.select("key", "spans", "item_ids", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
 
 
 def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -139,6 +138,12 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
             .withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType))))
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` in whose text no window of an item stands, with all their columns."""
+    found = written(docs.sparkSession, contamination(docs, items, text, item_id, item_text).select(F.col("key").alias("__key")), "contaminated")
+    return docs.withColumn("__key", text_key(F.col(text))).join(found, "__key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 @register(sql=rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
