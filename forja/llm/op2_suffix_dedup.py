@@ -142,7 +142,7 @@ def _anchors(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
 
 
 def _blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(core, full, rid, pos, block, sought) of the blocks of anchors that need a third digit."""
+    """(core, full, rid, pos, block, first, sought) of the blocks of anchors that need a third digit."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,9 +162,10 @@ def _blocks(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 own = mix(rids.astype(np.uint64) * np.uint64(1 << 24) + pos.astype(np.uint64)) + block.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(core.view(np.int64)), pa.array(np.where(lone, own, full).view(np.int64)), pa.array(rids), pa.array(pos.astype(np.int32)),
-                     pa.array(block.astype(np.int32)), pa.array(kind[owner] == PART)], names=["core", "full", "rid", "pos", "block", "sought"])
+                     pa.array(block.astype(np.int32)), pa.array(piece.codes[at[owner]].view(np.int64)), pa.array(kind[owner] == PART)],
+                    names=["core", "full", "rid", "pos", "block", "first", "sought"])
 
-    return texts.mapInArrow(work, "core long, full long, rid long, pos int, block int, sought boolean")
+    return texts.mapInArrow(work, "core long, full long, rid long, pos int, block int, first long, sought boolean")
 
 
 def _windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -231,17 +232,13 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: in
     texts = marked_texts(docs, text, length, gram)
     third = texts.filter(F.exists("marks", lambda m: m["kind"] != WHOLE)).select("rid", "text", "marks")
     blocks = written(spark, _blocks(third, length, gram), "blocks")
-    full = blocks.groupBy("core", "full").agg(F.count("*").alias("n"), F.max("sought").alias("sought"), F.min(F.struct("rid", "pos", "block")).alias("m"))
+    full = blocks.groupBy("core", "full").agg(F.count("*").alias("n"), F.max("sought").alias("sought"), F.min(F.struct("rid", "pos", "block", "first")).alias("m"))
     core = full.groupBy("core").agg(F.sum("n").alias("total"), F.count_if((F.col("n") == 1) & F.col("sought")).alias("open")).filter("total > 1")
     full = written(spark, full.join(core, "core"), "runs")
     runs = blocks.filter("sought").join(full.filter("n > 1").select("core", "full"), ["core", "full"], "left_semi")
-    open_runs = full.filter("open > 0").select("m.rid", "m.pos", "m.block", F.when((F.col("n") == 1) & F.col("sought"), PART).otherwise(MODEL).alias("kind"))
-    # the anchor's own hash is on the text's mark already; a block repeats it from there
-    wanted = open_runs.groupBy("rid").agg(F.collect_list(F.struct("pos", "kind", "block")).alias("wanted"))
-    known = F.map_from_entries(F.array_distinct(F.transform("marks", lambda m: F.struct(m["pos"], m["first"]))))
-    last = third.join(wanted, "rid").withColumn("known", known).select("rid", "text", F.transform("wanted", lambda w: F.struct(
-        w["pos"].alias("pos"), w["kind"].cast("int").alias("kind"), w["block"].alias("block"), F.col("known")[w["pos"]].alias("first"),
-        F.lit(0).cast("bigint").alias("second"))).alias("marks"))
+    open_runs = full.filter("open > 0").select("m.rid", "m.pos", "m.block", "m.first", F.when((F.col("n") == 1) & F.col("sought"), PART).otherwise(MODEL).alias("kind"))
+    wanted = open_runs.groupBy("rid").agg(F.collect_list(_mark(F.col("kind"), "block", "first")).alias("wanted"))
+    last = third.join(wanted, "rid").select("rid", "text", F.col("wanted").alias("marks"))
     windows = written(spark, _windows(last, length, gram), "windows")
     again = windows.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
     singles = windows.filter("sought").join(again, "code", "left_semi")
