@@ -15,13 +15,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match; the right key columns are dropped."""
     r = right
@@ -98,13 +91,42 @@ def neighbor(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence
     return out.withColumn(name, F.coalesce("__near", "__far")).drop("__b", "__near", "__far")
 
 
-def value_bucket(value: Column) -> Column:
-    """Order-preserving band of a number, finer near zero (about 0.3 % wide)."""
-    band = F.floor(F.log2(1 + F.abs(value)) * 256)
+def value_bucket(value: Column, per_doubling: int = 256) -> Column:
+    """Order-preserving band of a number, finer near zero (about 0.3 % wide by default)."""
+    band = F.floor(F.log2(1 + F.abs(value)) * per_doubling)
     return F.when(value < 0, -band).otherwise(band)
 
 
-def exact_quantiles(
+def _wanted(rows: DataFrame, within: Sequence[str], band: str, probs: Mapping[str, float]) -> DataFrame:
+    """(within, band, __start, __tot) of the bands of ``rows`` that hold a wanted rank.
+
+    ``rows`` carry ``__n`` and, for their group, ``__from`` (rows before it in
+    the key) and ``__tot`` (rows of the key).
+    """
+    sizes = rows.groupBy(*within, band).agg(F.sum("__n").alias("__bn"), F.max("__from").alias("__from"), F.max("__tot").alias("__tot"))
+    upto = W.partitionBy(*within).orderBy(band).rowsBetween(W.unboundedPreceding, 0)
+    bands = sizes.withColumn("__end", F.sum("__bn").over(upto) + F.col("__from"))
+    bands = bands.withColumn("__start", F.col("__end") - F.col("__bn"))
+    hit = F.lit(False)
+    for p in probs.values():
+        for r in (_low(p), _high(p)):
+            hit = hit | ((r >= F.col("__start")) & (r < F.col("__end")))
+    return bands.where(hit).select(*within, band, "__start", "__tot")
+
+
+def _position(p: float) -> Column:
+    return F.lit(float(p)) * (F.col("__tot") - 1)
+
+
+def _low(p: float) -> Column:
+    return F.floor(_position(p))
+
+
+def _high(p: float) -> Column:
+    return F.ceil(_position(p))
+
+
+def quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
@@ -114,38 +136,22 @@ def exact_quantiles(
     """Exact linear-interpolation quantiles per key, one row per key.
 
     Equal values are merged by a map-side combine, the ranks wanted are
-    located among band totals, and only the bands that hold such a rank are
-    sorted.  No task ever holds all values of a key.  NULL values are skipped.
+    located among band totals, the bands that hold such a rank are cut again
+    into bands 65,536 times finer, and only those that hold one are sorted.
+    No task ever holds all values of a key, and the plan is the same at every
+    size.  NULL values are skipped.
     """
+    keys = list(keys)
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .withColumn("__b", value_bucket(F.col(value)))
-        .groupBy(*keys, "__b", value)
-        .agg(n.alias("__n"))
-    )
-    sizes = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__bn"))
-    whole = W.partitionBy(*keys)
-    upto = whole.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
-    bands = sizes.withColumns({"__end": F.sum("__bn").over(upto), "__tot": F.sum("__bn").over(whole)})
-    bands = bands.withColumn("__start", F.col("__end") - F.col("__bn"))
-
-    def position(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("__tot") - 1)
-
-    def low(p: float) -> Column:
-        return F.floor(position(p))
-
-    def high(p: float) -> Column:
-        return F.ceil(position(p))
-
-    wanted = F.lit(False)
-    for p in probs.values():
-        for r in (low(p), high(p)):
-            wanted = wanted | ((r >= F.col("__start")) & (r < F.col("__end")))
-    bands = bands.where(wanted).select(*keys, "__b", "__start", "__tot")
-    inside = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    near = join_null_safe(counts, bands, [*keys, "__b"])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n"))
+    counts = counts.withColumns({"__b": value_bucket(F.col(value)), "__f": value_bucket(F.col(value), 256 << 16)})
+    bands = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__n"))
+    totals = bands.withColumns({"__tot": F.sum("__n").over(W.partitionBy(*keys)), "__from": F.lit(0)})
+    coarse = _wanted(totals, keys, "__b", probs).withColumnRenamed("__start", "__from")
+    near = join_null_safe(counts, coarse, [*keys, "__b"])
+    fine = _wanted(near, [*keys, "__b"], "__f", probs).drop("__tot")
+    near = join_null_safe(near, fine, [*keys, "__b", "__f"])
+    inside = W.partitionBy(*keys, "__b", "__f").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     near = near.withColumn("__hi", F.sum("__n").over(inside) + F.col("__start"))
     near = near.withColumn("__lo", F.col("__hi") - F.col("__n"))
 
@@ -154,36 +160,24 @@ def exact_quantiles(
 
     aggs = [F.max("__tot").alias("__tot")]
     for name, p in probs.items():
-        aggs += [at(low(p)).alias(f"__a_{name}"), at(high(p)).alias(f"__z_{name}")]
+        aggs += [at(_low(p)).alias(f"__a_{name}"), at(_high(p)).alias(f"__z_{name}")]
     picked = near.groupBy(*keys).agg(*aggs)
     outs = []
     for name, p in probs.items():
         a, z = F.col(f"__a_{name}"), F.col(f"__z_{name}")
-        outs.append((a + (z - a) * (position(p) - low(p))).alias(name))
+        outs.append((a + (z - a) * (_position(p) - _low(p))).alias(name))
     return picked.select(*keys, *outs)
 
 
-MAX_GROUP_VALUES = 1_000_000  # values one aggregate buffer may hold
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group: one narrow scan and one number back."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n").alias("n")).first()["n"] or 0
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles per key by the cheapest plan that is safe.
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], pieces: int = 16) -> DataFrame:
+    """Left join with a small unique right side; rows of a hot (or NULL) key are dealt over ``pieces`` tasks.
 
-    ``percentile`` keeps a group's values in one buffer, so it is used only
-    if the largest group was counted and fits; beyond that the ranks are
-    located by bands (``exact_quantiles``).  Both give the same numbers.
+    The right side is repeated ``pieces`` times, so it should be an aggregate
+    or a dimension, much smaller than the left one.  NULL keys match as groups.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if largest_group(known, keys) > MAX_GROUP_VALUES:
-        return exact_quantiles(known, keys, value, probs)
-    q = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q")
-    return known.groupBy(*keys).agg(q).select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
+    dealt = left.withColumn("__s", F.pmod(F.xxhash64(*left.columns), F.lit(pieces)).cast("int"))
+    copies = right.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    return join_null_safe(dealt, copies, [*keys, "__s"], "left").drop("__s")
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:

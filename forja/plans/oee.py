@@ -9,6 +9,7 @@ that grain first and never joined back to its own benchmarks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
 from forja.operators.lastop import last_op_struct
-from forja.operators.ordered import MAX_GROUP_VALUES, attach_row, quantiles
+from forja.operators.ordered import attach_row, join_null_safe, quantiles
 
 # --- fixed values -----------------------------------------------------------
 CYCLE_MIN_S, CYCLE_MAX_S = 1.0, 600.0
@@ -42,20 +43,17 @@ def pair_keys(by: Sequence[str]) -> list[str]:
     return [*by, *[k for k in ("machine_name", "ref_id_str") if k not in by]]
 
 
-def cycle_benchmarks(ops: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
-    """p25 and median seconds per piece of each (by, machine, reference).
+BENCHMARKS = {"ciclo_p25": 0.25, "ciclo_mediana": 0.5}
+
+
+def cycle_benchmarks(ops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Exact p25 and median seconds per piece of each (by, machine, reference).
 
     Production operations with time and pieces, cycles between 1 and 600 s.
-    Exact by default; ``approx`` bounds the buffers by a sketch instead.
     """
     keys = pair_keys(by)
     cycles = ops.select(*keys, cycle_seconds().alias("ciclo_s"))
-    cycles = cycles.dropna(subset=[*keys, "ciclo_s"])
-    if approx:
-        q = F.percentile_approx("ciclo_s", F.array(F.lit(0.25), F.lit(0.5)), 10_000)
-        return cycles.groupBy(*keys).agg(q.alias("q")).select(
-            *keys, F.col("q")[0].alias("ciclo_p25"), F.col("q")[1].alias("ciclo_mediana"))
-    return quantiles(cycles, keys, "ciclo_s", {"ciclo_p25": 0.25, "ciclo_mediana": 0.5})
+    return quantiles(cycles.dropna(subset=[*keys, "ciclo_s"]), keys, "ciclo_s", BENCHMARKS)
 
 
 def global_cycle(benchmarks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -63,17 +61,6 @@ def global_cycle(benchmarks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return quantiles(benchmarks, list(by), "ciclo_mediana", {"ciclo_global": 0.5})
 
 
-def _groups_fit(ops: DataFrame, by: Sequence[str]) -> bool:
-    """Whether every pair's cycles and every group's medians fit one buffer.
-
-    Counts all operations of a pair, an upper bound that reads only the keys.
-    """
-    pairs = ops.groupBy(*pair_keys(by)).agg(F.count(F.lit(1)).alias("n"))
-    size = pairs.groupBy(*by).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("pairs"))
-    top = size.agg(F.max(F.greatest("n", "pairs")).alias("n")).first()["n"] or 0
-    return top <= MAX_GROUP_VALUES
-
-
 def target_cycle(rate: Column, p25: Column, median: Column, overall: Column) -> Column:
     """Listed rate, else p25, else median, else the overall median.
 
@@ -91,38 +78,35 @@ def join_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFram
     return attach_row(left, right)
 
 
-def targets(ops: DataFrame, rates: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
-    """Minutes, production rows and target of each (by, machine, reference)."""
+def targets(ops: DataFrame, rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Minutes, production rows and target of each (by, machine, reference).
+
+    The fact is read once, down to (by, machine, reference, cycle); sums and
+    quantiles both come from that.
+    """
     keys = pair_keys(by)
     base = ops.dropna(subset=list(by)) if by else ops
-    sums = [
+    minutes = [f"min_{s}" for s in x.STATES]
+    usable = F.when(F.col("machine_name").isNotNull() & F.col("ref_id_str").isNotNull(), cycle_seconds())
+    fine = base.withColumn("ciclo_s", usable).groupBy(*keys, "ciclo_s").agg(
         *[F.sum(F.when(F.col("estado") == s, F.col("duracion_min")).otherwise(0.0)).alias(f"min_{s}") for s in x.STATES],
-        F.count(F.when(F.col("estado") == "produccion", 1)).alias("ops_produccion"),
-    ]
-    if not approx and _groups_fit(base, by):
-        usable = F.when(F.col("machine_name").isNotNull() & F.col("ref_id_str").isNotNull(), cycle_seconds())
-        q = F.percentile(usable, F.array(F.lit(0.25), F.lit(0.5))).alias("q")
-        grain = base.groupBy(*keys).agg(*sums, q)
-        grain = grain.withColumns({"ciclo_p25": F.col("q")[0], "ciclo_mediana": F.col("q")[1]}).drop("q")
-        # the pairs of a group were counted: they fit one task
-        overall = F.percentile("ciclo_mediana", F.lit(0.5)).over(W.partitionBy(*by) if by else W.partitionBy(F.lit(1)))
-        out = with_rate(grain.withColumn("ciclo_global", overall), rates)
-    else:
-        bench = cycle_benchmarks(base, by, approx)
-        grain = base.groupBy(*keys).agg(*sums).join(bench, keys, "left")
-        out = join_group(with_rate(grain, rates), global_cycle(bench, by), by)
+        F.count(F.when(F.col("estado") == "produccion", 1)).alias("ops_produccion"), F.count(F.lit(1)).alias("filas"))
+    bench = quantiles(fine, keys, "ciclo_s", BENCHMARKS, weight="filas")
+    grain = fine.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*minutes, "ops_produccion")])
+    grain = join_null_safe(grain, bench, keys, "left")
+    out = join_group(with_rate(grain, rates), global_cycle(bench, by), by)
     cycle = target_cycle(F.col("piezas_hora_teorico"), F.col("ciclo_p25"), F.col("ciclo_mediana"), F.col("ciclo_global"))
     return out.withColumn("ciclo_objetivo_s", cycle)
 
 
-def oee(ops: DataFrame, rates: DataFrame, by: Sequence[str] = (), approx: bool = False) -> DataFrame:
+def oee(ops: DataFrame, rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The OEE record, one row per group (one row in all without ``by``).
 
     Minutes count every operation; pieces only the last valid production
     operation of each order.
     """
     by = list(by)
-    grain = targets(ops, rates, by, approx)
+    grain = targets(ops, rates, by)
     uph = F.when(F.col("ciclo_objetivo_s") > 0, 3600 / F.col("ciclo_objetivo_s"))
     used = F.when(uph > 0, F.col("ops_produccion"))
     time = grain.groupBy(*by).agg(
@@ -171,14 +155,8 @@ def oee(ops: DataFrame, rates: DataFrame, by: Sequence[str] = (), approx: bool =
     )
 
 
-def as_record(df: DataFrame) -> DataFrame:
-    """The same rows with the minutes nested under ``durations``."""
-    nested = F.struct(*[F.col(f"min_{s}").alias(s) for s in x.STATES]).alias("durations")
-    return df.withColumn("durations", nested).drop(*[f"min_{s}" for s in x.STATES])
-
-
-def oee_daily(ops: DataFrame, rates: DataFrame, approx: bool = False) -> DataFrame:
-    return oee(ops, rates, ["fecha"], approx).select("fecha", "oee", "availability", "performance", "quality")
+def oee_daily(ops: DataFrame, rates: DataFrame) -> DataFrame:
+    return oee(ops, rates, ["fecha"]).select("fecha", "oee", "availability", "performance", "quality")
 
 
 def oee_by_shift(ops: DataFrame, rates: DataFrame) -> DataFrame:
@@ -258,6 +236,13 @@ def machine_day_availability(ops: DataFrame) -> DataFrame:
         x.ratio0(F.sum(made), F.sum("duracion_min")).alias("disponibilidad"))
 
 
+def availability_pivot(days: DataFrame, start: date, end: date) -> DataFrame:
+    """Machine x date: one column per day of the range, and ``dias_fuera``, the days of the machine outside it."""
+    wanted = [start + timedelta(days=k) for k in range((end - start).days + 1)]
+    cols = [F.max(F.when(F.col("fecha") == F.lit(d), F.col("disponibilidad"))).alias(str(d)) for d in wanted]
+    return days.groupBy("machine_name").agg(*cols, F.count_if(~F.col("fecha").between(start, end)).alias("dias_fuera"))
+
+
 def incident_pareto(ops: DataFrame, k: int = 10) -> DataFrame:
     """Top incident types by minutes with share of the top and running share."""
     kinds = ops.where((F.col("estado") == "incidencia") & F.col("tipo_incidencia").isNotNull())

@@ -88,14 +88,18 @@ def test_group_of_one_value_equals_no_group(spark):
     assert {k: v for k, v in b.items() if k != "planta"} == pytest.approx(a)
 
 
-def test_large_groups_take_the_banded_plan(spark, monkeypatch):
-    rows = [{"work_order_id": str(i % 5), "ref_id": str(i % 3), "duracion_min": 5.0 + i % 17, "piezas_ok": 10.0 + i % 7, "ts_fin": at(6, 9, i)} for i in range(50)]
-    small = record(spark, rows, by=["machine_name"])
-    monkeypatch.setattr(p, "MAX_GROUP_VALUES", 3)
-    import forja.operators.ordered as o
-    monkeypatch.setattr(o, "MAX_GROUP_VALUES", 3)
-    large = record(spark, rows, by=["machine_name"])
-    assert {k: v for k, v in large[0].items() if k != "machine_name"} == pytest.approx({k: v for k, v in small[0].items() if k != "machine_name"})
+def test_plans_are_built_without_running_anything(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    o, r = ops(spark, {}), rates(spark, *NO_RATES)
+
+    def ran(*_):
+        raise AssertionError("a job ran while the plan was built")
+
+    for name in ("first", "collect", "count", "head", "take", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, ran)
+    for by in ([], ["fecha"], ["turno"], ["machine_name"]):
+        p.oee(o, r, by)
 
 
 def test_empty_input(spark):

@@ -48,7 +48,7 @@ def test_neighbor_matches_lag_and_lead(spark):
 def test_exact_quantiles_match_numpy(spark):
     df = skewed(spark)
     probs = {"p0": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    got = {r["k"]: r for r in o.exact_quantiles(df, ["k"], "v", probs).collect()}
+    got = {r["k"]: r for r in o.quantiles(df, ["k"], "v", probs).collect()}
     data = df.collect()
     for key in {r["k"] for r in data}:
         values = [r["v"] for r in data if r["k"] == key and r["v"] is not None]
@@ -56,13 +56,28 @@ def test_exact_quantiles_match_numpy(spark):
             assert np.isclose(got[key][name], np.quantile(values, p), rtol=1e-12, atol=1e-12), (key, name)
 
 
-def test_quantiles_take_the_banded_plan_beyond_the_limit(spark, monkeypatch):
-    df = skewed(spark)
-    small = {r["k"]: r["m"] for r in o.quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
-    monkeypatch.setattr(o, "MAX_GROUP_VALUES", 10)
-    large = {r["k"]: r["m"] for r in o.quantiles(df, ["k"], "v", {"m": 0.5}).collect()}
-    assert small.keys() == large.keys()
-    assert all(np.isclose(small[k], large[k]) for k in small)
+def test_quantiles_of_weighted_rows_and_of_one_band(spark):
+    rows = [("k", 45.0 + i * 1e-7, i % 3 + 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v double, n int")
+    assert df.select(o.value_bucket(F.col("v"))).distinct().count() == 1
+    got = o.quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.999}, weight="n").first()
+    want = np.quantile(np.repeat([v for _, v, _ in rows], [n for *_, n in rows]), [0.25, 0.5, 0.999])
+    assert np.allclose([got["a"], got["b"], got["c"]], want, rtol=1e-14)
+
+
+def test_join_spread_deals_a_hot_and_a_null_key(spark):
+    df = spark.range(20000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise("hot").alias("k"), "id")
+    dim = spark.createDataFrame([("hot", 1), (None, 2), ("other", 3)], "k string, w int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = o.join_spread(df, dim, ["k"], 16)
+        assert {(r["k"], r["w"]): r["n"] for r in got.groupBy("k", "w").agg(F.count("*").alias("n")).collect()} == {("hot", 1): 18000, (None, 2): 2000}
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 1 and max(sizes) < 0.6 * 20000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
 
 
 def test_value_bucket_follows_the_order(spark):
