@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from forja import views
 from forja.catalog import inputs as i
 from forja.catalog.base import register
+from forja.functions import scalar as x
 from forja.operators.ordered import quantiles
 from forja.plans import routes as p
 from forja.plans import tooling as t
@@ -74,12 +75,18 @@ FLOW_T = ("ops", "orders_h")
 @register("K11_order_flow", FLOW_T, FLOW + """
   SELECT work_order_id, ref_id_str, unicas AS fases_unicas, n_ops, cantidad_lanzada AS piezas_lanzadas, cantidad_final_ok AS piezas_ok_total,
     scrap_total AS piezas_scrap_total, tiempo_total_min AS duracion_total_min, primera_fase_ts, ultima_fase_ts,
-    round(fabricacion_duracion_min, 6) AS fabricacion_duracion_min, incidencias_duracion_total, seq AS fases_seq FROM vida""")
+    round(fabricacion_duracion_min, 6) AS fabricacion_duracion_min, incidencias_duracion_total FROM vida""")
 def k11(spark, sf):
-    f = p.order_flow(i.ops(spark, sf), i.orders(spark, sf), with_sequence=True)
+    f = p.order_flow(i.ops(spark, sf), i.orders(spark, sf))
     return i.rounded(f.drop("flow_por_fase").withColumns({
-        "fases_unicas": F.array_join("fases_unicas", " -> "), "fases_seq": F.array_join("fases_seq", " -> ")}).withColumn(
-        "n_ops", F.col("n_ops").cast("bigint")))
+        "fases_unicas": F.array_join("fases_unicas", " -> "), "n_ops": F.col("n_ops").cast("bigint")}))
+
+
+@register("K11_phase_steps", ("ops",), PH + """
+  SELECT work_order_id, row_number() OVER (PARTITION BY work_order_id ORDER BY rn) AS paso, fase FROM pos WHERE NOT incidente""")
+def k11b(spark, sf):
+    """The non-incident steps of every order in long form."""
+    return p.route_steps(i.ops(spark, sf), incidents=False)
 
 
 @register("W9_phase_flow", FLOW_T, FLOW + """
@@ -103,11 +110,30 @@ def k12(spark, sf):
     return i.rounded(v.withColumn("operaciones", F.array_join(text, ";")))
 
 
+ONE = "000000000001"  # an order of every data size
+
+
 @register("K13_lookup_order", ("ops",), PH + """
   SELECT work_order_id, fase, sum(piezas_ok) AS piezas_ok_sum, sum(piezas_scrap) AS piezas_scrap_sum, sum(duracion_min) AS duracion_min_sum,
-    sum(piezas_ok) + sum(piezas_scrap) AS piezas_lanzadas FROM ph WHERE work_order_id = '000000000708' GROUP BY 1, 2""")
+    sum(piezas_ok) + sum(piezas_scrap) AS piezas_lanzadas FROM ph WHERE work_order_id = '""" + ONE + """' GROUP BY 1, 2""")
 def k13(spark, sf):
-    return p.lookup_order(i.ops(spark, sf), "000000000708")
+    return p.lookup_order(i.ops(spark, sf), ONE)
+
+
+@register("K13_lookup_steps", ("ops",), PH + f"SELECT work_order_id, rn AS paso, fase FROM pos WHERE work_order_id = '{ONE}'")
+def k13b(spark, sf):
+    return p.lookup_steps(i.ops(spark, sf), ONE)
+
+
+@register("K13_lookup_totals", ("ops",), PH + f""",
+  f AS (SELECT work_order_id, fase, min(rn) AS r FROM pos GROUP BY 1, 2)
+  SELECT work_order_id, min(CASE WHEN rn = 1 THEN ref_id_str END) AS ref_id_str,
+    (SELECT string_agg(fase, ' -> ' ORDER BY r) FROM f WHERE f.work_order_id = '{ONE}') AS fases, min(CASE WHEN rn = 1 THEN fase END) AS fase_inicio,
+    arg_max(fase, rn) AS fase_fin, count(*) AS n_ops, sum(piezas_ok) AS piezas_ok_sum, sum(piezas_scrap) AS piezas_scrap_sum,
+    sum(duracion_min) AS duracion_min_sum, sum(piezas_ok) + sum(piezas_scrap) AS piezas_lanzadas
+  FROM pos WHERE work_order_id = '{ONE}' GROUP BY 1""")
+def k13c(spark, sf):
+    return p.lookup_totals(i.ops(spark, sf), ONE).withColumn("fases", F.array_join("fases", p.ARROW))
 
 
 METRICS = """round(scrap_total/nullif(cantidad_final_ok + scrap_total, 0), 6) AS scrap_rate, round(cantidad_final_ok/nullif(cantidad_lanzada, 0), 6) AS yield_ok,
@@ -121,12 +147,14 @@ def k14(spark, sf):
         "work_order_id", "scrap_rate", "yield_ok", "fabricacion_dias", "incidencias_horas", "duracion_min_por_ud"))
 
 
+OUT = "fase NOT IN (" + ", ".join(f"'{o}'" for o in views.PHASES) + ")"
 OPS_SUM = """(SELECT work_order_id, count(fase) AS ops_count, CAST(count(DISTINCT fase) AS INTEGER) AS ops_unique, sum(mins) AS duracion_ops_min,
     sum(scrap) AS scrap_ops_total, string_agg(fase, ' > ' ORDER BY pri) AS op FROM flow GROUP BY 1)"""
+CASES = [*((x.slug_text(o), f"fase = '{o}'") for o in views.PHASES), ("otras", OUT)]
 PIVOT_COLS = ", ".join(
-    [f"sum(CASE WHEN fase = '{o}' THEN mins END) AS dur_min_{p.slug_text(o)}" for o in views.PHASES]
-    + [f"round(sum(CASE WHEN fase = '{o}' THEN mins END)/nullif(max(lanzadas), 0), 6) AS dur_min_{p.slug_text(o)}_por_ud" for o in views.PHASES]
-    + [f"sum(CASE WHEN fase = '{o}' THEN scrap END) AS scrap_{p.slug_text(o)}" for o in views.PHASES])
+    [f"sum(CASE WHEN {c} THEN mins END) AS dur_min_{n}" for n, c in CASES]
+    + [f"round(sum(CASE WHEN {c} THEN mins END)/nullif(max(lanzadas), 0), 6) AS dur_min_{n}_por_ud" for n, c in CASES]
+    + [f"sum(CASE WHEN {c} THEN scrap END) AS scrap_{n}" for n, c in CASES])
 PIVOT = f"(SELECT work_order_id, {PIVOT_COLS} FROM flow GROUP BY 1)"
 
 
@@ -139,12 +167,12 @@ def t7(spark, sf):
 
 @register("A41_op_summary", FLOW_T, FLOW + f"SELECT * FROM {OPS_SUM}")
 def a41(spark, sf):
-    return p.op_summary(p.exploded_ops(life(spark, sf)))
+    return p.op_summary(life(spark, sf))
 
 
 @register("A42_op_pivots", FLOW_T, FLOW + f"SELECT * FROM {PIVOT}")
 def a42(spark, sf):
-    return i.rounded(p.op_pivots(p.exploded_ops(life(spark, sf)), views.PHASES))
+    return i.rounded(p.op_pivots(life(spark, sf), views.PHASES))
 
 
 @register("K15_model_table", FLOW_T, FLOW + f"""
@@ -158,14 +186,13 @@ def k15(spark, sf):
 @register("J10_orders_with_features", FLOW_T, FLOW + f"""
   SELECT v.work_order_id, cantidad_lanzada, s.* EXCLUDE (work_order_id) FROM vida v LEFT JOIN {OPS_SUM} s USING (work_order_id)""")
 def j10(spark, sf):
-    v = life(spark, sf)
-    return v.select("work_order_id", "cantidad_lanzada").join(p.op_summary(p.exploded_ops(v)), "work_order_id", "left")
+    return life(spark, sf).select("work_order_id", "cantidad_lanzada", *[c.alias(n) for n, c in p.summary_columns().items()])
 
 
 @register("J11_pivots_joined", FLOW_T, FLOW + f"SELECT s.*, q.* EXCLUDE (work_order_id) FROM {OPS_SUM} s JOIN {PIVOT} q USING (work_order_id)")
 def j11(spark, sf):
-    e = p.exploded_ops(life(spark, sf))
-    return i.rounded(p.op_summary(e).join(p.op_pivots(e, views.PHASES), "work_order_id"))
+    v = p.model_table(life(spark, sf).where(F.size("operaciones") > 0), views.PHASES)
+    return i.rounded(v.select("work_order_id", *p.summary_columns(), *p.pivot_columns(views.PHASES)))
 
 
 @register("J5_ops_with_header", ("ops", "orders_h"), """
@@ -210,7 +237,7 @@ def a40(spark, sf):
   r AS (SELECT work_order_id, min(CASE WHEN rn = 1 THEN fase END) AS fase_inicio, arg_max(fase, rn) AS fase_fin FROM pos GROUP BY 1)
   SELECT fase_inicio, fase_fin, count(*) AS n FROM r GROUP BY 1, 2""")
 def a43(spark, sf):
-    return p.start_end_counts(p.order_routes(i.ops(spark, sf)))
+    return p.start_end_counts(i.ops(spark, sf))
 
 
 @register("A44_catalogues", ("raw_ops",), """
@@ -225,20 +252,15 @@ def a44(spark, sf):
 @register("W8_unique_phases", ("ops",), PH + """
   SELECT work_order_id, string_agg(fase, '|' ORDER BY r) AS fases FROM (SELECT work_order_id, fase, min(rn) AS r FROM pos GROUP BY 1, 2) GROUP BY 1""")
 def w8(spark, sf):
-    r = p.order_routes(i.ops(spark, sf))
-    return r.select("work_order_id", F.array_join(F.array_distinct(F.split("ruta_fases", p.ARROW)), "|").alias("fases"))
+    return p.order_phases(i.ops(spark, sf)).select("work_order_id", F.array_join("fases", "|").alias("fases"))
 
 
 @register("T8_expanded_steps", ("ops",), PH + """,
   made AS (SELECT work_order_id, fase, row_number() OVER (PARTITION BY work_order_id ORDER BY rn) AS rm FROM pos WHERE NOT incidente)
-  SELECT work_order_id, CAST(count(*) AS INTEGER) AS n, max(CASE WHEN rm = 1 THEN fase END) AS OP1, max(CASE WHEN rm = 2 THEN fase END) AS OP2,
+  SELECT work_order_id, CAST(count(*) AS INTEGER) AS n_pasos, max(CASE WHEN rm = 1 THEN fase END) AS OP1, max(CASE WHEN rm = 2 THEN fase END) AS OP2,
     max(CASE WHEN rm = 3 THEN fase END) AS OP3, arg_max(fase, rm) AS ultima FROM made GROUP BY 1""")
 def t8(spark, sf):
-    """The columns every data size has, plus the step count and last step."""
-    wide = p.expand_steps(p.phase_sequences(i.ops(spark, sf)))
-    steps = [c for c in wide.columns if c.startswith("OP")]
-    full = F.array_compact(F.array(*steps))
-    return wide.select("work_order_id", F.size(full).alias("n"), "OP1", "OP2", "OP3", F.element_at(full, -1).alias("ultima"))
+    return p.expand_steps(i.ops(spark, sf), 3)
 
 
 @register("T9_side_by_side", ("ops",), """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -29,6 +30,13 @@ STATE_THRESHOLDS = {
 }
 MACHINE_STATES = ("EXCELENTE", "BUENA", "REQUIERE_ATENCION", "CRITICA")
 STATE_CODES = {"EXCELENTE": 3, "BUENA": 2, "REQUIERE_ATENCION": 1, "CRITICA": 0}
+PERFORMANCE_BANDS = (0.90, 0.80, 0.60)
+CHANGE_RISK = (0.7, 0.9)
+CLUSTER_BEST = (0.80, 0.03)
+CLUSTER_LOW_AVAILABILITY, CLUSTER_HIGH_SCRAP, CLUSTER_FEW = 0.60, 0.08, 2
+QUALITY_BANDS = {"silhouette": (0.5, 0.3), "r2": (0.7, 0.5), "accuracy": (0.85, 0.70)}
+OVERFIT_GAP = 0.1
+NAME_GAP = "[^0-9a-zA-Z]+"
 # ----------------------------------------------------------------------------
 
 
@@ -136,7 +144,13 @@ def zero_as_null(c: str | Column) -> Column:
 
 
 def slug(c: str | Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(col(c), "[^0-9a-zA-Z]+", "_"), F.lit("_")))
+    """Column-name form of a text."""
+    return F.lower(F.btrim(F.regexp_replace(col(c), NAME_GAP, "_"), F.lit("_")))
+
+
+def slug_text(text: str) -> str:
+    """``slug`` of a Python string, for columns named after values."""
+    return re.sub(NAME_GAP, "_", text).strip("_").lower()
 
 
 def phase_of(op_id: str | Column = "op_id", op_text: str | Column = "op_text",
@@ -178,16 +192,16 @@ def performance_band(value: str | Column) -> Column:
     return (
         F.when(v.isNull(), "sin datos")
         .when(v > 1, "supera objetivo")
-        .when(v >= 0.90, "excelente")
-        .when(v >= 0.80, "bueno")
-        .when(v >= 0.60, "mejorable")
+        .when(v >= PERFORMANCE_BANDS[0], "excelente")
+        .when(v >= PERFORMANCE_BANDS[1], "bueno")
+        .when(v >= PERFORMANCE_BANDS[2], "mejorable")
         .otherwise("bajo")
     )
 
 
 def change_risk(value: str | Column) -> Column:
     v = col(value)
-    return F.when(v < 0.7, "verde").when(v < 0.9, "amarillo").otherwise("rojo")
+    return F.when(v < CHANGE_RISK[0], "verde").when(v < CHANGE_RISK[1], "amarillo").otherwise("rojo")
 
 
 def machine_state(disp: str | Column = "disponibilidad", scrap: str | Column = "scrap_rate",
@@ -214,10 +228,10 @@ def state_code(state: str | Column) -> Column:
 def cluster_meaning(n: str | Column, disp: str | Column, scrap: str | Column) -> Column:
     n, d, s = col(n), col(disp), col(scrap)
     return (
-        F.when((d >= 0.80) & (s <= 0.03), "mejor rendimiento")
-        .when(d < 0.60, "baja disponibilidad")
-        .when(s > 0.08, "alto scrap")
-        .when(n <= 2, "atipico")
+        F.when((d >= CLUSTER_BEST[0]) & (s <= CLUSTER_BEST[1]), "mejor rendimiento")
+        .when(d < CLUSTER_LOW_AVAILABILITY, "baja disponibilidad")
+        .when(s > CLUSTER_HIGH_SCRAP, "alto scrap")
+        .when(n <= CLUSTER_FEW, "atipico")
         .otherwise("rendimiento normal")
     )
 
@@ -234,6 +248,6 @@ def quality_band(metric: str, value: str | Column) -> Column:
     """Fit-quality words for silhouette, r2, accuracy and the train-test gap."""
     v = col(value)
     if metric == "gap":
-        return F.when(v > 0.1, "sobreajuste").otherwise("generaliza")
-    high, low = {"silhouette": (0.5, 0.3), "r2": (0.7, 0.5), "accuracy": (0.85, 0.70)}[metric]
+        return F.when(v > OVERFIT_GAP, "sobreajuste").otherwise("generaliza")
+    high, low = QUALITY_BANDS[metric]
     return F.when(v > high, "alta").when(v > low, "media").otherwise("baja")

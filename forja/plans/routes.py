@@ -54,12 +54,13 @@ def order_routes(ops: DataFrame) -> DataFrame:
         "dur_total_min", "n_ops", F.transform("s", lambda p: p["op_id"]).alias("ops_seq"))
 
 
-def route_steps(ops: DataFrame) -> DataFrame:
+def route_steps(ops: DataFrame, incidents: bool = True) -> DataFrame:
     """The route in long form: (order, step, phase), for orders of any length.
 
     Steps are numbered inside (order, day), so no order has to fit one task.
+    Without ``incidents`` only the other operations are steps.
     """
-    rows = phased(ops)
+    rows = phased(ops) if incidents else phased(ops).where(~F.col("incidente"))
     order = [F.col("pos").asc(), *[F.col(c).asc() for c in ("machine_name", "piezas_ok", "piezas_scrap")]]
     return row_numbers(rows, ["work_order_id"], F.col("ts_ini").cast("date"), order, "paso").select("work_order_id", "paso", "fase")
 
@@ -72,23 +73,23 @@ def phase_totals(ops: DataFrame) -> DataFrame:
         F.min("ts_ini").alias("ini"), F.max("ts_fin").alias("fin"))
 
 
-def order_pieces(ops: DataFrame) -> DataFrame:
-    """Distinct phases in order of first appearance and piece totals."""
+def order_phases(ops: DataFrame) -> DataFrame:
+    """Distinct phases of each order in order of first appearance; only (order, phase) rows meet."""
     per_phase = phase_totals(ops).groupBy("work_order_id", "fase").agg(
-        F.min("primera").alias("primera"), F.sum("ok").alias("ok"), F.sum("scrap").alias("scrap"))
-    g = per_phase.groupBy("work_order_id").agg(
-        F.sort_array(F.collect_list(F.struct("primera", "fase"))).alias("s"),
-        F.sum("ok").alias("piezas_ok_sum"), F.sum("scrap").alias("piezas_scrap_sum"))
-    return g.select(
-        "work_order_id", F.col("s")[0]["primera"]["ref"].alias("ref_id_str"),
-        F.array_join(F.transform("s", lambda p: p["fase"]), ARROW).alias("fases_unicas"), F.size("s").alias("n_fases"),
-        "piezas_ok_sum", "piezas_scrap_sum", (F.col("piezas_ok_sum") + F.col("piezas_scrap_sum")).alias("piezas_lanzadas"))
+        F.min("primera").alias("primera"), F.max("ultima").alias("ultima"), F.sum("n").alias("n"), F.sum("ok").alias("ok"),
+        F.sum("scrap").alias("scrap"), F.sum("mins").alias("mins"))
+    return per_phase.groupBy("work_order_id").agg(
+        F.sort_array(F.collect_list(F.struct("primera", "fase"))).alias("s"), F.max("ultima").alias("z"), F.sum("n").alias("n_ops"),
+        F.sum("ok").alias("piezas_ok_sum"), F.sum("scrap").alias("piezas_scrap_sum"), F.sum("mins").alias("duracion_min_sum")).select(
+        "work_order_id", F.col("s")[0]["primera"]["ref"].alias("ref_id_str"), F.transform("s", lambda p: p["fase"]).alias("fases"),
+        F.col("s")[0]["fase"].alias("fase_inicio"), F.col("z.fase").alias("fase_fin"), "n_ops", "piezas_ok_sum", "piezas_scrap_sum", "duracion_min_sum")
 
 
-def phase_sequences(ops: DataFrame) -> DataFrame:
-    """Every non-incident phase of each order, in order, as an array."""
-    g = phased(ops).where(~F.col("incidente")).groupBy("work_order_id").agg(F.sort_array(F.collect_list("pos")).alias("s"))
-    return g.select("work_order_id", F.transform("s", lambda p: p["fase"]).alias("fases_seq"))
+def order_pieces(ops: DataFrame) -> DataFrame:
+    """Distinct phases in order of first appearance and piece totals."""
+    return order_phases(ops).select(
+        "work_order_id", "ref_id_str", F.array_join("fases", ARROW).alias("fases_unicas"), F.size("fases").alias("n_fases"),
+        "piezas_ok_sum", "piezas_scrap_sum", (F.col("piezas_ok_sum") + F.col("piezas_scrap_sum")).alias("piezas_lanzadas"))
 
 
 def phase_flow(ops: DataFrame, orders: DataFrame, prefix: str = "CURV") -> DataFrame:
@@ -118,8 +119,8 @@ def phase_flow(ops: DataFrame, orders: DataFrame, prefix: str = "CURV") -> DataF
     })
 
 
-def order_flow(ops: DataFrame, orders: DataFrame, prefix: str = "CURV", with_sequence: bool = False) -> DataFrame:
-    """One row per order with totals, lead time and the flow per phase."""
+def order_flow(ops: DataFrame, orders: DataFrame, prefix: str = "CURV") -> DataFrame:
+    """One row per order with totals, lead time and the flow per phase; ``route_steps`` has the single steps."""
     item = F.struct(
         "orden", F.col("fase").alias("fase"), F.col("entrada").alias("entrada_estimada"), F.col("salida").alias("salida_estimada"),
         F.col("scrap").alias("piezas_scrap"), F.col("mins").alias("duracion_min"))
@@ -131,13 +132,12 @@ def order_flow(ops: DataFrame, orders: DataFrame, prefix: str = "CURV", with_seq
         F.first("min_incidencias").alias("incidencias_duracion_total"),
         F.sort_array(F.collect_list(item)).alias("flujo"),
         F.sort_array(F.collect_list(F.struct("primera", "fase"))).alias("u"))
-    out = g.select(
+    return g.select(
         "work_order_id", F.col("r.ref").alias("ref_id_str"), F.transform("u", lambda p: p["fase"]).alias("fases_unicas"), "n_ops",
         "piezas_lanzadas", F.greatest(F.col("piezas_lanzadas") - F.col("piezas_scrap_total"), F.lit(0.0)).alias("piezas_ok_total"),
         "piezas_scrap_total", "duracion_total_min", "primera_fase_ts", "ultima_fase_ts",
         x.minutes_between("primera_fase_ts", "ultima_fase_ts").alias("fabricacion_duracion_min"), "incidencias_duracion_total",
         F.transform("flujo", lambda p: p.dropFields("orden")).alias("flow_por_fase"))
-    return out.join(phase_sequences(ops), "work_order_id", "left") if with_sequence else out
 
 
 def order_life(flow: DataFrame) -> DataFrame:
@@ -166,14 +166,34 @@ def lookup_order(ops: DataFrame, order_id: str) -> DataFrame:
     return g.withColumn("piezas_lanzadas", F.col("piezas_ok_sum") + F.col("piezas_scrap_sum"))
 
 
-def expand_steps(seqs: DataFrame, column: str = "fases_seq") -> DataFrame:
-    """Array to columns OP1..OPn, n being the longest array."""
-    n = seqs.agg(F.max(F.size(column)).alias("n")).first()["n"] or 0
-    return seqs.select("work_order_id", *[F.get(column, F.lit(i)).alias(f"OP{i + 1}") for i in range(n)])
+def lookup_totals(ops: DataFrame, order_id: str) -> DataFrame:
+    """One order in one row: distinct phases, first and last phase, operations, pieces and minutes."""
+    return order_phases(ops.where(F.col("work_order_id") == order_id)).withColumn(
+        "piezas_lanzadas", F.col("piezas_ok_sum") + F.col("piezas_scrap_sum"))
 
 
-def start_end_counts(routes: DataFrame) -> DataFrame:
-    return routes.groupBy("fase_inicio", "fase_fin").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "fase_inicio", "fase_fin")
+def lookup_steps(ops: DataFrame, order_id: str) -> DataFrame:
+    """The operations of one order, in order."""
+    return route_steps(ops.where(F.col("work_order_id") == order_id))
+
+
+def expand_steps(ops: DataFrame, n: int) -> DataFrame:
+    """Columns OP1..OPn of the first non-incident steps, the number of steps and the last phase.
+
+    ``n_pasos`` tells whether an order has more steps than columns; the long
+    form has them all.
+    """
+    steps = route_steps(ops, incidents=False)
+    cols = [F.max(F.when(F.col("paso") == i, F.col("fase"))).alias(f"OP{i}") for i in range(1, n + 1)]
+    return steps.groupBy("work_order_id").agg(
+        F.count("*").cast("int").alias("n_pasos"), *cols, F.max_by("fase", "paso").alias("ultima"))
+
+
+def start_end_counts(ops: DataFrame) -> DataFrame:
+    """Orders by first and last phase; an order is only its two ends."""
+    ends = phased(ops).groupBy("work_order_id").agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
+    g = ends.groupBy(F.col("a.fase").alias("fase_inicio"), F.col("z.fase").alias("fase_fin")).agg(F.count("*").alias("n"))
+    return g.orderBy(F.desc("n"), "fase_inicio", "fase_fin")
 
 
 def catalogue(ops: DataFrame, column: str, k: int = 20) -> DataFrame:
@@ -204,42 +224,65 @@ def exploded_ops(life: DataFrame) -> DataFrame:
         F.col("o.piezas_scrap").alias("piezas_scrap"), F.col("o.duracion_min").alias("duracion_min"))
 
 
-def op_summary(exploded: DataFrame) -> DataFrame:
-    g = exploded.groupBy("work_order_id").agg(
-        F.count("op").alias("ops_count"), F.collect_set("op").alias("u"), F.sum("duracion_min").alias("duracion_ops_min"),
-        F.sum("piezas_scrap").alias("scrap_ops_total"), F.sort_array(F.collect_list(F.struct("orden_op", "op"))).alias("s"))
-    return g.select("work_order_id", "ops_count", F.size("u").alias("ops_unique"), "duracion_ops_min", "scrap_ops_total",
-                    F.array_join(F.transform("s", lambda p: p["op"]), " > ").alias("op"))
-
-
-def slug_text(text: str) -> str:
-    """Column-name form of an operation, for the pivot's value list."""
-    kept = "".join(c if c.isascii() and c.isalnum() else " " for c in text)
-    return "_".join(kept.lower().split())
-
-
-def op_pivots(exploded: DataFrame, ops: Sequence[str]) -> DataFrame:
-    """Minutes, minutes per unit and scrap by operation, for a given list."""
-    wide = exploded.groupBy("work_order_id").pivot("op", list(ops)).agg(
-        F.sum("duracion_min").alias("d"), F.sum("piezas_scrap").alias("s"))
-    launched = exploded.groupBy("work_order_id").agg(F.max("cantidad_lanzada").alias("__l"))
-    j = wide.join(launched, "work_order_id")
-    unit = F.nullif(F.col("__l"), F.lit(0.0))
-    cols: dict[str, Column] = {}
-    for op in ops:
-        cols[f"dur_min_{slug_text(op)}"] = F.col(f"`{op}_d`")
-    for op in ops:
-        cols[f"dur_min_{slug_text(op)}_por_ud"] = F.col(f"`{op}_d`") / unit
-    for op in ops:
-        cols[f"scrap_{slug_text(op)}"] = F.col(f"`{op}_s`")
-    return j.select("work_order_id", *[c.alias(n) for n, c in cols.items()])
-
-
-def model_table(life: DataFrame, ops: Sequence[str]) -> DataFrame:
-    """Order metrics joined with operation features; the target is renamed."""
-    exploded = exploded_ops(life)
-    base = order_metrics(life).drop("operaciones")
-    out = base.join(op_summary(exploded), "work_order_id", "left").join(op_pivots(exploded, ops), "work_order_id", "left")
+def _total(column: str, cond) -> Column:
+    """Sum of a field over the operations of the row that meet ``cond``; NULL if none has a value."""
+    known = F.filter("operaciones", lambda o: cond(o) & o[column].isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(F.transform(known, lambda o: o[column]), F.lit(0.0), lambda a, v: a + v))
+
+
+def _every(o: Column) -> Column:
+    return F.lit(True)
+
+
+def summary_columns() -> dict[str, Column]:
+    """Operation counts and totals of an order document, computed inside its row."""
+    names = F.filter(F.transform("operaciones", lambda o: o["op"]), lambda n: n.isNotNull())
+    some = F.size("operaciones") > 0
+    return {
+        "ops_count": F.when(some, F.size(names).cast("bigint")), "ops_unique": F.when(some, F.size(F.array_distinct(names))),
+        "duracion_ops_min": _total("duracion_min", _every), "scrap_ops_total": _total("piezas_scrap", _every),
+        "op": F.when(some, F.array_join(names, " > ")),
+    }
+
+
+def op_summary(life: DataFrame) -> DataFrame:
+    return life.where(F.size("operaciones") > 0).select("work_order_id", *[c.alias(n) for n, c in summary_columns().items()])
+
+
+def operations_of(life: DataFrame) -> list[str]:
+    """The operations that occur, sorted: a catalogue of phases."""
+    return sorted(r[0] for r in life.select(F.explode("operaciones.op").alias("op")).where("op IS NOT NULL").distinct().collect())
+
+
+def pivot_columns(ops: Sequence[str]) -> dict[str, Column]:
+    """Minutes, minutes per unit and scrap by operation; what is not in the list adds up under ``otras``."""
+    unit = F.nullif(F.col("cantidad_lanzada"), F.lit(0.0))
+    listed = {x.slug_text(op): (lambda o, op=op: o["op"] == op) for op in ops}
+    if len(listed) < len(ops) or "otras" in listed:
+        raise ValueError("two operations would share a column")
+    groups = {**listed, "otras": lambda o: ~F.coalesce(o["op"].isin(*ops) if ops else F.lit(False), F.lit(False))}
+    cols = {f"dur_min_{n}": _total("duracion_min", g) for n, g in groups.items()}
+    cols |= {f"dur_min_{n}_por_ud": F.col(f"dur_min_{n}") / unit for n in groups}
+    return cols | {f"scrap_{n}": _total("piezas_scrap", g) for n, g in groups.items()}
+
+
+def _with_pivots(life: DataFrame, ops: Sequence[str]) -> DataFrame:
+    cols = pivot_columns(ops)
+    rates = {n: c for n, c in cols.items() if n.endswith("_por_ud")}
+    return life.withColumns({n: c for n, c in cols.items() if n not in rates}).withColumns(rates)
+
+
+def op_pivots(life: DataFrame, ops: Sequence[str] | None = None) -> DataFrame:
+    """Pivots of the listed operations (by default of all that occur), inside the row of each order."""
+    ops = operations_of(life) if ops is None else list(ops)
+    rows = _with_pivots(life.where(F.size("operaciones") > 0), ops)
+    return rows.select("work_order_id", *pivot_columns(ops))
+
+
+def model_table(life: DataFrame, ops: Sequence[str] | None = None) -> DataFrame:
+    """Order metrics with operation features; the target is renamed.  No row leaves its task."""
+    ops = operations_of(life) if ops is None else list(ops)
+    out = _with_pivots(order_metrics(life).withColumns(summary_columns()), ops).drop("operaciones")
     return out.withColumnRenamed("fabricacion_duracion_min", "y_fabricacion_min")
 
 

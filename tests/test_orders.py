@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from frames import as_dicts, at, ops
 
+from forja.functions import scalar as x
 from forja.plans import routes as p
 from forja.plans import tooling as t
 from forja.sources import files
@@ -36,9 +37,10 @@ def test_route_sorts_missing_times_last(spark):
 
 def test_flow_orders_by_last_and_lists_by_first_appearance(spark):
     o, h = route(spark)
-    [r] = as_dicts(p.order_flow(o, h, with_sequence=True))
+    [r] = as_dicts(p.order_flow(o, h))
     assert r["fases_unicas"] == ["CURV10", "TALL20", "RECT60"]
-    assert r["fases_seq"] == ["CURV10", "TALL20", "CURV10", "RECT60"]
+    steps = [s["fase"] for s in as_dicts(p.route_steps(o, incidents=False), "paso")]
+    assert steps == ["CURV10", "TALL20", "CURV10", "RECT60"]
     flow = [(f["fase"], f["entrada_estimada"], f["salida_estimada"], f["piezas_scrap"]) for f in r["flow_por_fase"]]
     assert flow == [("TALL20", 100.0, 97.0, 3.0), ("CURV10", 97.0, 90.0, 7.0), ("RECT60", 90.0, 0.0, 200.0)]
     assert (r["piezas_ok_total"], r["incidencias_duracion_total"], r["n_ops"]) == (0.0, 7.0, 4)
@@ -80,17 +82,27 @@ def test_model_table(spark):
     assert r["dur_min_curv10"] == 15.0 and r["dur_min_curv10_por_ud"] == pytest.approx(0.15)
     assert r["dur_min_sold40"] is None and r["scrap_tall20"] == 3.0
     assert "y_fabricacion_min" in r and r["scrap_rate"] == 1.0
+    assert r["dur_min_otras"] == 1.0 and r["scrap_otras"] == 200.0  # RECT60 is not listed
+    [w] = as_dicts(p.model_table(life))
+    assert w["dur_min_rect60"] == 1.0 and w["dur_min_otras"] is None
+    assert sum(v or 0 for k, v in w.items() if k.startswith("dur_min_") and not k.endswith("por_ud")) == w["duracion_ops_min"] == 36.0
+    assert "Exchange" not in p.model_table(spark.createDataFrame(life.collect(), life.schema), ["CURV10"])._jdf.queryExecution().toString()
 
 
 def test_slug():
-    assert p.slug_text("Control final") == "control_final"
-    assert p.slug_text("__Producción 2!") == "producci_n_2"
+    assert x.slug_text("Control final") == "control_final"
+    assert x.slug_text("__Producción 2!") == "producci_n_2"
 
 
 def test_expand_and_lookup(spark):
     o, _ = route(spark)
-    [r] = as_dicts(p.expand_steps(p.phase_sequences(o)))
-    assert [r[f"OP{i}"] for i in range(1, 5)] == ["CURV10", "TALL20", "CURV10", "RECT60"]
+    [r] = as_dicts(p.expand_steps(o, 5))
+    assert [r[f"OP{i}"] for i in range(1, 6)] == ["CURV10", "TALL20", "CURV10", "RECT60", None] and (r["n_pasos"], r["ultima"]) == (4, "RECT60")
+    assert [s["fase"] for s in as_dicts(p.lookup_steps(o, "A"), "paso")] == ["CURV10", "CURV10", "TALL20", "CURV10", "RECT60"]
+    [t] = as_dicts(p.lookup_totals(o, "A"))
+    assert t["fases"] == ["CURV10", "TALL20", "RECT60"] and (t["fase_inicio"], t["fase_fin"], t["n_ops"]) == ("CURV10", "RECT60", 5)
+    [n] = as_dicts(p.start_end_counts(o))
+    assert (n["fase_inicio"], n["fase_fin"], n["n"]) == ("CURV10", "RECT60", 1)
     assert {x["fase"] for x in as_dicts(p.lookup_order(o, "A"))} == {"CURV10", "TALL20", "RECT60"}
     assert p.lookup_order(o, "none").count() == 0
 
