@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forja import views
-from forja.plans.fact import production_fact
+from forja.plans.fact import MONTH, production_fact
 from forja.sources import conform
 from forja.staging import staged
 
 
 def raw_ops(spark: SparkSession, sf: str) -> DataFrame:
     """Operations as recorded, with plant."""
-    return staged(spark, sf, "raw_ops", lambda: views.raw_ops(spark, sf, plant=True))
+    return views.raw_ops(spark, sf, plant=True)
 
 
 def fact(spark: SparkSession, sf: str) -> DataFrame:
-    """The integrated production fact."""
-    return staged(spark, sf, "produccion", lambda: build_fact(spark, sf))
+    """The integrated production fact, in a folder per month."""
+    return staged(spark, sf, "produccion", lambda: build_fact(spark, sf).withColumn(MONTH, F.trunc("ts_ini", "MM")), by=MONTH)
 
 
 def build_fact(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
 from forja.operators.lastop import last_valid_ops
-from forja.operators.ordered import attach_row
+from forja.operators.ordered import attach_row, join_spread
 from forja.sources.conform import unique_orders
 
 
+#: Month of an operation, where the stored fact is divided by it.
+MONTH = "mes_ini"
+
+
 @dataclass(frozen=True)
 class Tables:
     """All tables of a plant; any of them may be absent."""
@@ -39,8 +43,8 @@ def with_reference(ops: DataFrame, refs: DataFrame) -> DataFrame:
     """ops plus family and net weight; kept as is where the weight is present."""
     if "peso_neto_kg" in ops.columns:
         return ops
-    dim = refs.groupBy("ref_id_str").agg(F.max("familia").alias("familia"), F.max("peso_neto_kg").alias("peso_neto_kg"))
-    return ops.join(dim, "ref_id_str", "left")
+    dim = refs.where(F.col("ref_id_str").isNotNull()).groupBy("ref_id_str").agg(F.max("familia").alias("familia"), F.max("peso_neto_kg").alias("peso_neto_kg"))
+    return join_spread(ops, dim, ["ref_id_str"])
 
 
 def with_order(ops: DataFrame, orders: DataFrame, unique: bool = False) -> DataFrame:
@@ -91,6 +95,8 @@ class Filters:
 
 def filter_ops(ops: DataFrame, f: Filters) -> DataFrame:
     out = ops.where(in_range("ts_ini", f.start, f.end))
+    if MONTH in ops.columns:  # leaves the folders of other months unread
+        out = out.where(F.col(MONTH).between(F.lit(f.start.replace(day=1)), F.lit(f.end.replace(day=1))))
     if f.plants:
         out = out.where(F.col("planta").isin(*f.plants))
     if f.machine:

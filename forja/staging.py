@@ -18,25 +18,52 @@ from forja.session import shared_dir
 
 _ready: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 _roots: dict[str, str] = {}
+#: Raised whenever a derived table changes its meaning, so that none of an older kind is read again.
+VERSION = 2
+
+
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the files behind ``sf_dir``: names, sizes and times, as the store reports them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = []
+    for status in fs.listStatus(path):
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        parts += [(str(x.getPath().getName()), x.getLen(), x.getModificationTime()) for x in inner]
+    return hashlib.md5(repr((VERSION, sf_dir, sorted(parts))).encode()).hexdigest()[:16]
 
 
 def out_dir(spark: SparkSession, sf_dir: str) -> str:
-    """This application's folder for tables derived from ``sf_dir``."""
+    """Folder for tables derived from ``sf_dir`` as it is now.
+
+    It is named after the source's fingerprint, so another application with
+    the same shared folder finds what is there, and changed sources get a
+    folder of their own.
+    """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         _roots[app] = shared_dir(spark)
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    return f"{_roots[app]}/forja-{app}/{tag}"
+    return f"{_roots[app]}/forja-{fingerprint(spark, sf_dir)}"
 
 
-def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Table ``name`` of ``sf_dir``; ``build`` runs on first use only."""
-    app = spark.sparkContext.applicationId
-    key = (app, sf_dir, name)
+def _complete(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """Table ``name`` of ``sf_dir``; ``build`` runs only if no complete copy is there.
+
+    ``by`` names the column whose values become folders.
+    """
+    folder = out_dir(spark, sf_dir)
+    key = (folder, name, by or "")
     if key not in _ready:
-        path = f"{out_dir(spark, sf_dir)}/{name}"
+        path = f"{folder}/{name}"
         df = build()
-        df.write.mode("overwrite").parquet(path)
+        if not _complete(spark, path):
+            writer = df.hint("rebalance", by).write.partitionBy(by) if by else df.write
+            writer.mode("overwrite").parquet(path)
         _ready[key] = (path, df.schema)
     path, schema = _ready[key]
     return spark.read.schema(schema).parquet(path)
