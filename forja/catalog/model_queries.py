@@ -189,7 +189,7 @@ def m24(spark, sf):
 def m25(spark, sf):
     d = next_change(changes(spark, sf)).fillna(0.0, subset=["duracion_cambio_min"])
     s = f.temporal_split(d, "ts_cambio", ["machine_id", "next_ts", "piezas_hasta_cambio", "ops_hasta_cambio"])
-    model = forest.fit_regressor(s.where(~F.col("es_test")), f.CHANGE_FEATURES, "minutes_to_next_change", trees=200, depth=12, leaf=1)
+    model = forest.fit_regressor(s.where(~F.col("es_test")), f.CHANGE_FEATURES, "minutes_to_next_change", trees=200, depth=forest.DEEPEST, leaf=1)
     p = forest.predict_regression(model, s.where("es_test"))
     return metrics.regression_metrics(p, "minutes_to_next_change", "pred")
 
@@ -197,10 +197,94 @@ def m25(spark, sf):
 # --- model store ------------------------------------------------------------
 
 
+def model_root(spark):
+    return f"{shared_dir(spark)}/models-{spark.sparkContext.applicationId}"
+
+
+def stored(spark, sf, name, kind, features, build, classes=()):
+    """Fits and saves a model once per application and data folder; returns the reloaded one."""
+    def save():
+        model = build()
+        version = store.save_model(spark, model_root(spark), name, model, features, {}, classes, kind)
+        return store.load_model(spark, model_root(spark), name, version)[0]
+
+    return once(spark, sf, f"guardado_{name}", save)
+
+
+def stored_kmeans(spark, sf):
+    return stored(spark, sf, "maquinas", "kmeans", f.CLUSTER_FEATURES, lambda: store.scaled_model(
+        c.stats_of(machines(spark, sf)), f.CLUSTER_FEATURES, kmeans(spark, sf), assemble=True))
+
+
+def stored_scrap(spark, sf):
+    def build():
+        model, names, stats = scrap_model(spark, sf)
+        return store.scaled_model(stats, names, model)
+
+    return stored(spark, sf, "scrap", "forest", scrap_model(spark, sf)[1], build)
+
+
+def stored_state(spark, sf):
+    return stored(spark, sf, "estado", "forest", f.STATE_FEATURES, lambda: state_model(spark, sf), forest.classes(state_model(spark, sf)))
+
+
+@register("M29_stored_kmeans")
+def m29b(spark, sf):
+    """Clusters by the reloaded scaler and K-Means, beside those of the model in memory."""
+    m = machines(spark, sf).dropna(subset=list(f.CLUSTER_FEATURES))
+    again = stored_kmeans(spark, sf).transform(m).select("machine_name", F.col("cluster").alias("guardado"))
+    return m2(spark, sf).select("machine_name", "cluster").join(again, "machine_name")
+
+
+@register("M29_stored_scrap")
+def m29c(spark, sf):
+    """Scrap rates by the reloaded scaler and forest."""
+    data, _ = scrap_data(spark, sf)
+    p = forest.predict_regression(stored_scrap(spark, sf), data)
+    return metrics.regression_metrics(p, "scrap_rate", "pred", ["es_test"])
+
+
+@register("M29_stored_state")
+def m29d(spark, sf):
+    """States by the reloaded forest."""
+    p = forest.predict_state(stored_state(spark, sf), state_rows(spark, sf))
+    return p.groupBy("estado", "estado_predicho").agg(F.count("*").alias("n"))
+
+
+@register("M28_stored_clustering")
+def m28b(spark, sf):
+    """A candidate with one more cluster against the stored model, on the same machines."""
+    points = c.scaled_points(machines(spark, sf))
+    candidate = c.fit_kmeans(points, 4).transform(points)
+    old = stored_kmeans(spark, sf).transform(points.select("machine_name", *f.CLUSTER_FEATURES))
+    return metrics.compare_clusterings(candidate, old, [f"z_{n}" for n in f.CLUSTER_FEATURES])
+
+
+@register("M28_stored_regression")
+def m28c(spark, sf):
+    """A candidate forest without the machine columns against the stored one, on the test rows."""
+    data, _ = scrap_data(spark, sf)
+    names = list(f.SCRAP_FEATURES)
+    candidate = forest.fit_regressor(data.where(~F.col("es_test")), names, "scrap_rate", prediction="nuevo")
+    rows = forest.predict_regression(candidate, data.where("es_test"))
+    return metrics.compare_models(forest.predict_regression(stored_scrap(spark, sf), rows), "scrap_rate", "nuevo", "pred")
+
+
+@register("M28_stored_classification")
+def m28d(spark, sf):
+    """A shallower candidate forest against the stored one, on the test rows."""
+    rows = state_rows(spark, sf)
+    candidate = forest.fit_classifier(rows.where(~F.col("es_test")), f.STATE_FEATURES, "estado", depth=4)
+    p = forest.predict_state(candidate, rows.where("es_test")).select(
+        "machine_name", "periodo", "estado", *f.STATE_FEATURES, F.col("estado_predicho").alias("nuevo"))
+    p = forest.predict_state(stored_state(spark, sf), p)
+    return metrics.compare_classifiers(p, "estado", "nuevo", "estado_predicho")
+
+
 @register("M29_model_store")
 def m29(spark, sf):
     """Saves the duration model, reads it back and scores with it."""
-    root = f"{shared_dir(spark)}/models-{spark.sparkContext.applicationId}"
+    root = model_root(spark)
     rows = duration_split(spark, sf)
     m = metrics.duration_metrics(linear.predict_duration(duration_model(spark, sf), rows.where("es_test")), "tiempo_total_min", "pred_tiempo_total_min").first()
     version = store.save_model(spark, root, "duracion", duration_model(spark, sf), ["ref_id_str", "cantidad_lanzada"],

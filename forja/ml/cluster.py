@@ -37,7 +37,7 @@ def fit_hierarchical(points: DataFrame, k: int):
     return BisectingKMeans(k=k, seed=SEED, predictionCol="cluster").fit(points)
 
 
-def sweep(points: DataFrame, cols: Sequence[str] = CLUSTER_FEATURES, max_k: int = 10, n_init: int = 1) -> DataFrame:
+def sweep(points: DataFrame, cols: Sequence[str] = CLUSTER_FEATURES, max_k: int = 10, n_init: int = 10) -> DataFrame:
     """Cost and silhouette for k = 2..min(max_k, n-1); marks the best k.
 
     One small row per k; the points are cached once for all fits.

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
+DEEPEST = 30  # the deepest trees that Spark grows
 
 
 def fit_regressor(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10,

@@ -72,6 +72,23 @@ def compare_models(df: DataFrame, truth: str, candidate: str, stored: str) -> Da
     return j.withColumns({f"{c}_delta": F.col(f"{c}_nuevo") - F.col(f"{c}_guardado") for c in ("mae", "rmse", "r2")})
 
 
+def compare_clusterings(candidate: DataFrame, stored: DataFrame, cols: Sequence[str], label: str = "cluster") -> DataFrame:
+    """Silhouette and Davies-Bouldin of two assignments of the same rows, and the deltas."""
+    sides = []
+    for side, df in (("nuevo", candidate), ("guardado", stored)):
+        sides += [silhouette(df, cols, label, None).select(F.col("silhouette").alias(f"silhouette_{side}")),
+                  davies_bouldin(df, cols, label, None).select(F.col("davies_bouldin").alias(f"davies_bouldin_{side}"))]
+    j = attach_row(sides[0], *sides[1:])
+    return j.withColumns({f"{c}_delta": F.col(f"{c}_nuevo") - F.col(f"{c}_guardado") for c in ("silhouette", "davies_bouldin")})
+
+
+def compare_classifiers(df: DataFrame, truth: str, candidate: str, stored: str) -> DataFrame:
+    """Accuracy of two prediction columns on the same rows, and the delta."""
+    hit = lambda c: F.avg(F.when(F.col(truth) == F.col(c), 1.0).otherwise(0.0))
+    g = df.agg(F.count("*").alias("n"), hit(candidate).alias("exactitud_nuevo"), hit(stored).alias("exactitud_guardado"))
+    return g.withColumn("exactitud_delta", F.col("exactitud_nuevo") - F.col("exactitud_guardado"))
+
+
 def error_by(df: DataFrame, key: str, truth: str, pred: str) -> DataFrame:
     e = F.abs(F.col(truth) - F.col(pred))
     return df.groupBy(key).agg(F.avg(truth).alias("real"), F.avg(pred).alias("predicho"), F.avg(e).alias("error_medio"), F.count(e).alias("n_operaciones"))
@@ -84,6 +101,15 @@ def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("real"), F.col(pred).alias("predicho")).agg(F.count("*").alias("n"))
 
 
+def state_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """Per true class: its rows, those predicted as it, and rows predicted as it in all."""
+    c = confusion(df, truth, pred)
+    real = c.groupBy(F.col("real").alias("estado")).agg(
+        F.sum("n").alias("n"), x.sum0(F.when(F.col("real") == F.col("predicho"), F.col("n"))).alias("iguales"))
+    guess = c.groupBy(F.col("predicho").alias("estado")).agg(F.sum("n").alias("n_predichas"))
+    return real.join(guess, "estado", "left").fillna(0, subset=["n_predichas"])
+
+
 def classification_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """Precision, recall, F1 and support per class, accuracy, macro, weighted.
 
@@ -119,7 +145,7 @@ def roc_points(scores: DataFrame, cls: str = "clase", truth: str = "positivo", s
     g = scores.where(F.col(score).isNotNull()).groupBy(cls, score).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("f"))
     r = running_totals(g, [cls], F.floor(-F.col(score) * 4096), [F.col(score).desc()], {"tp": F.col("p"), "fp": F.col("f")})
     tot = g.groupBy(cls).agg(F.sum("p").alias("np"), F.sum("f").alias("nf"))
-    return r.join(F.broadcast(tot), cls).select(
+    return r.join(tot, cls).select(
         cls, score, "tp", "fp", "p", "f", "np", "nf",
         (F.col("fp") / F.nullif(F.col("nf"), F.lit(0))).alias("fpr"), (F.col("tp") / F.nullif(F.col("np"), F.lit(0))).alias("tpr"))
 
@@ -149,9 +175,8 @@ def cluster_stats(points: DataFrame, cols: Sequence[str], label: str = "cluster"
         F.count("*").alias("n"), F.array(*[F.avg(c) for c in cols]).alias("centro"),
         F.avg(sum((F.col(c) * F.col(c) for c in cols[1:]), F.col(cols[0]) * F.col(cols[0]))).alias("norma2"))
     v = F.array(*[F.col(c) for c in cols])
-    # as many rows as clusters, a model parameter
-    spread = points.join(F.broadcast(g.select(label, "centro")), label).groupBy(label).agg(F.avg(F.sqrt(_dist2(v, F.col("centro")))).alias("dispersion"))
-    return g.join(F.broadcast(spread), label)
+    spread = points.join(g.select(label, "centro"), label).groupBy(label).agg(F.avg(F.sqrt(_dist2(v, F.col("centro")))).alias("dispersion"))
+    return g.join(spread, label)
 
 
 def _as_array(stats: DataFrame, label: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,19 @@ SCHEMA = ("name string, version int, kind string, features array<string>, classe
           "metrics map<string,double>, path string")
 
 
+def scaler_stage(stats: DataFrame, cols: Sequence[str]) -> SQLTransformer:
+    """The scaling of ``metrics.scaler_stats`` (one row) as a stage that is stored with its model."""
+    row = stats.first()
+    z = ", ".join(f"(`{c}` - {float(row[f'media_{c}'] or 0.0)!r}D) / {float(row[f'desv_{c}'] or 1.0)!r}D AS `z_{c}`" for c in cols)
+    return SQLTransformer(statement=f"SELECT *, {z} FROM __THIS__")
+
+
+def scaled_model(stats: DataFrame, cols: Sequence[str], *stages: Transformer, assemble: bool = False) -> PipelineModel:
+    """Scaler and fitted stages as one model that scores unscaled rows; ``assemble`` adds the feature vector."""
+    vector = [VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features")] if assemble else []
+    return PipelineModel([scaler_stage(stats, cols), *vector, *stages])
+
+
 def list_models(spark: SparkSession, root: str) -> DataFrame:
     """Stored models with features, classes and metrics."""
     try:

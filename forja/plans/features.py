@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
 from forja.operators.lastop import last_valid_ops
-from forja.operators.ordered import attach_row, row_numbers, top_k
+from forja.operators.ordered import attach_row, join_spread, row_numbers, top_k
 
 # --- fixed values -----------------------------------------------------------
 CLUSTER_FEATURES = ("disponibilidad", "scrap_rate", "uph_real", "dur_prod")
@@ -89,11 +89,14 @@ def machine_groups(ops: DataFrame, k: int = TOP_MACHINES) -> DataFrame:
 
 
 def scrap_features(ops: DataFrame, only_valid: bool = True) -> DataFrame:
-    """Per-operation features of the scrap model with the target."""
+    """Per-operation features of the scrap model with the target.
+
+    Rows without a reference share one frequency, as a reference of their own.
+    """
     rows = ops.where(F.col("total_piezas") > 0) if only_valid else ops
     top = machine_groups(rows).withColumn("machine_group", F.col("machine_name"))
-    freq = rows.where(F.col("ref_id_str").isNotNull()).groupBy("ref_id_str").agg(F.count("*").alias("ref_frequency"))
-    j = rows.join(freq, "ref_id_str", "left").join(F.broadcast(top), "machine_name", "left")
+    freq = rows.groupBy("ref_id_str").agg(F.count("*").alias("ref_frequency"))
+    j = join_spread(rows, freq, ["ref_id_str"]).join(F.broadcast(top), "machine_name", "left")  # TOP_MACHINES rows
     return j.select(
         "work_order_id", "machine_name", "ts_ini", "ref_id_str", "op_id",
         "duracion_min", F.hour("ts_ini").alias("hora_del_dia"), F.weekday("ts_ini").alias("dia_semana"), "ref_frequency",
@@ -133,12 +136,12 @@ def stratified_split(df: DataFrame, label: str, key: Column, test_share: float =
     keyed = df.withColumn("__k", key)
     ranked = row_numbers(keyed, [label], F.substring("__k", 1, 3), [F.col("__k").asc()], "__r")
     sizes = df.groupBy(label).agg(F.count("*").alias("__n"))
-    out = ranked.join(F.broadcast(sizes), label)  # one row per class
+    out = ranked.join(sizes, label)
     return out.withColumn("es_test", F.col("__r") <= F.ceil(F.col("__n") * F.lit(test_share))).drop("__k", "__r", "__n")
 
 
 def temporal_split(df: DataFrame, ts: str, tie: Sequence[str], train_share: float = 0.8) -> DataFrame:
     """Adds ``es_test``: all but the first int(share x n) rows by time."""
-    ranked = row_numbers(df, [], F.col(ts).cast("date"), [F.col(ts).asc_nulls_last(), *[F.col(c).asc() for c in tie]], "__r")
+    ranked = row_numbers(df, [], F.date_trunc("minute", ts), [F.col(ts).asc_nulls_last(), *[F.col(c).asc() for c in tie]], "__r")
     out = attach_row(ranked, df.agg(F.count("*").alias("__n")))
     return out.withColumn("es_test", F.col("__r") > F.floor(F.col("__n") * F.lit(train_share))).drop("__r", "__n")

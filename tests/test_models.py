@@ -210,3 +210,21 @@ def test_duration_model_scenarios_and_store(spark, tmp_path):
     assert a == pytest.approx(b)
     with pytest.raises(KeyError):
         store.load_model(spark, root, "other")
+
+
+def test_stored_scaler_scores_as_before(spark, tmp_path):
+    m = machines(spark)
+    points = cluster.scaled_points(m)
+    model = cluster.fit_kmeans(points, 2, n_init=2)
+    whole = store.scaled_model(cluster.stats_of(m), f.CLUSTER_FEATURES, model, assemble=True)
+    store.save_model(spark, str(tmp_path), "m", whole, f.CLUSTER_FEATURES, {})
+    back, _ = store.load_model(spark, str(tmp_path), "m")
+    a = {r["machine_name"]: r["cluster"] for r in model.transform(points).collect()}
+    b = {r["machine_name"]: r["cluster"] for r in back.transform(m).collect()}
+    assert a == b
+    cols = [f"z_{c}" for c in f.CLUSTER_FEATURES]
+    [d] = as_dicts(metrics.compare_clusterings(model.transform(points), back.transform(m), cols))
+    assert d["silhouette_delta"] == pytest.approx(0) and d["davies_bouldin_delta"] == pytest.approx(0)
+    rows = spark.createDataFrame([("x", "x", "y"), ("y", "y", "y")], "t string, a string, b string")
+    [k] = as_dicts(metrics.compare_classifiers(rows, "t", "a", "b"))
+    assert (k["exactitud_nuevo"], k["exactitud_guardado"], k["exactitud_delta"]) == (1.0, 0.5, 0.5)
