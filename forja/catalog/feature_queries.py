@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from forja.catalog import inputs as i
@@ -9,7 +11,9 @@ from forja.catalog.base import last_op_sql, register
 from forja.catalog.route_queries import CUT, FLOW, FLOW_T, changes, life
 from forja.functions import scalar as x
 from forja.ml import metrics as m
+from forja.operators.ordered import join_spread
 from forja.plans import features as f
+from forja.plans import oee
 from forja.plans.tooling import next_change
 from forja.staging import staged
 
@@ -87,9 +91,12 @@ def p26(spark, sf):
     return f.with_state(weeks(spark, sf)).select("machine_name", "periodo", x.state_code("estado").alias("codigo"))
 
 
-@register("A45_state_distribution", ("ops",), WEEK + "SELECT estado, count(*) AS n FROM weeks GROUP BY 1")
+@register("A45_state_distribution", ("ops",), WEEK + """SELECT estado, count(*) AS n, count(CASE WHEN estado = estado_alt THEN 1 END) AS iguales,
+      (SELECT count(*) FROM weeks w WHERE w.estado_alt = weeks.estado) AS n_predichas FROM weeks GROUP BY 1""")
 def a45(spark, sf):
-    return f.with_state(weeks(spark, sf)).groupBy("estado").agg(F.count("*").alias("n"))
+    """Real states and, for a stated rule as the prediction, the predicted ones."""
+    w = weeks(spark, sf).select(x.machine_state().alias("estado"), x.machine_state(thresholds=ALT).alias("predicho"))
+    return m.state_counts(w, "estado", "predicho")
 
 
 @register("W7_latest_period", ("ops",), WEEK + """
@@ -164,6 +171,27 @@ def m7(spark, sf):
     return i.rounded(m.calinski_harabasz(z_weeks(spark, sf), ZCOLS, noise=None), 3)
 
 
+BAND = "CASE WHEN {v} > {a} THEN 'alta' WHEN {v} > {b} THEN 'media' ELSE 'baja' END"
+
+
+@register("M30_silhouette_band", ("ops",), CEN + f""",
+    d AS (SELECT machine_name, periodo, p.cluster AS c0, cs.cluster AS c1, cs.n, {dot('p.{}', 'p.{}')} + q - 2*{dot('p.{}', 'c_{}')} AS md FROM zw p, cs),
+    ab AS (SELECT machine_name, periodo, max(CASE WHEN c0 = c1 THEN n END) AS n0, max(CASE WHEN c0 = c1 AND n > 1 THEN md*n/(n-1) END) AS a,
+      min(CASE WHEN c0 <> c1 THEN md END) AS b FROM d GROUP BY 1, 2),
+    v AS (SELECT avg(CASE WHEN n0 = 1 THEN 0 ELSE coalesce((b-a)/nullif(greatest(a, b), 0), 0) END) AS v FROM ab WHERE b IS NOT NULL)
+    SELECT {BAND.format(v='v', a=0.5, b=0.3)} AS banda FROM v""")
+def m30b(spark, sf):
+    return m.silhouette(z_weeks(spark, sf), ZCOLS, noise=None).select(x.quality_band("silhouette", "silhouette").alias("banda"))
+
+
+@register("M30_accuracy_band", ("ops",), WEEK + f""", v AS (SELECT avg(CASE WHEN estado = estado_alt THEN 1.0 ELSE 0 END) AS v FROM weeks)
+    SELECT {BAND.format(v='v', a=0.85, b=0.7)} AS banda FROM v""")
+def m30c(spark, sf):
+    w = weeks(spark, sf).select(x.machine_state().alias("estado"), x.machine_state(thresholds=ALT).alias("predicho"))
+    hit = w.agg(F.avg(F.when(F.col("estado") == F.col("predicho"), 1.0).otherwise(0.0)).alias("v"))
+    return hit.select(x.quality_band("accuracy", "v").alias("banda"))
+
+
 # --- scrap features and regression metrics ----------------------------------
 
 SCRAP = """WITH v AS (SELECT * FROM ops WHERE total_piezas > 0),
@@ -186,7 +214,8 @@ def baseline(spark, sf):
     ft = features(spark, sf)
     a = ft.groupBy("machine_name").agg(F.avg("scrap_rate").alias("pred"))
     b = ft.groupBy("ref_id_str").agg(F.avg("scrap_rate").alias("pred2"))
-    return ft.join(a, "machine_name").join(b, "ref_id_str")
+    known = ft.where(F.col("machine_name").isNotNull() & F.col("ref_id_str").isNotNull())
+    return join_spread(join_spread(known, a, ["machine_name"]), b, ["ref_id_str"])
 
 
 @register("M10_scrap_features", ("ops",), SCRAP + "SELECT * FROM ft")
@@ -338,7 +367,7 @@ def order_times(spark, sf):
     return total_time(life(spark, sf)).select("work_order_id", "ref_id_str", "cantidad_lanzada", "tiempo_total_min")
 
 
-@register("M22_total_time", FLOW_T, TIMES.replace("tiempo_total_min AS tiempo_total_min", "x") + "SELECT work_order_id, round(tiempo_total_min, 4) AS tiempo_total_min FROM tm")
+@register("M22_total_time", FLOW_T, TIMES + "SELECT work_order_id, round(tiempo_total_min, 4) AS tiempo_total_min FROM tm")
 def m22(spark, sf):
     return i.rounded(order_times(spark, sf).select("work_order_id", "tiempo_total_min"), 4)
 
@@ -352,12 +381,21 @@ def m23(spark, sf):
     return i.rounded(m.duration_metrics(t.join(mean, "ref_id_str"), "tiempo_total_min", "pred"), 4, r2=5)
 
 
-@register("T6_availability_pivot", ("ops",), """
-    SELECT machine_name, """ + ", ".join(f"max(CASE WHEN a = {y} THEN d END) AS \"{y}\"" for y in range(1995, 2002)) + """
-    FROM (SELECT machine_name, year(fecha) AS a, CASE WHEN sum(duracion_min) > 0 THEN sum(CASE WHEN estado = 'produccion' THEN duracion_min ELSE 0 END)/sum(duracion_min) ELSE 0 END AS d
-      FROM ops GROUP BY 1, 2) GROUP BY 1""")
+T6_DAYS = 7
+
+
+@register("T6_availability_pivot", ("ops",), """WITH d AS (SELECT machine_name, fecha, CASE WHEN sum(duracion_min) > 0
+      THEN sum(CASE WHEN estado = 'produccion' THEN duracion_min ELSE 0 END)/sum(duracion_min) ELSE 0 END AS v
+      FROM ops WHERE machine_name IS NOT NULL AND fecha IS NOT NULL GROUP BY 1, 2),
+    n AS (SELECT machine_name, v, date_diff('day', fecha, (SELECT max(fecha) FROM d)) AS hace FROM d)
+    SELECT machine_name, """ + ", ".join(f"max(CASE WHEN hace = {k} THEN v END) AS hace_{k}" for k in range(T6_DAYS)) + f""",
+      count(CASE WHEN hace >= {T6_DAYS} THEN 1 END) AS dias_fuera FROM n GROUP BY 1""")
 def t6(spark, sf):
-    made = F.when(F.col("estado") == "produccion", F.col("duracion_min")).otherwise(0.0)
-    cell = x.ratio0(F.sum(made), F.sum("duracion_min"))
-    g = i.ops(spark, sf).groupBy("machine_name", F.year("fecha").alias("a")).agg(cell.alias("d"))
-    return g.groupBy("machine_name").pivot("a", list(range(1995, 2002))).agg(F.max("d"))
+    """Machine x date over the last days with data; the days outside are counted."""
+    days = oee.machine_day_availability(i.ops(spark, sf))
+    last = days.agg(F.max("fecha").alias("f")).first()["f"]
+    if last is None:
+        last = date(1970, 1, 1)
+    wide = oee.availability_pivot(days, last - timedelta(days=T6_DAYS - 1), last)
+    names = {str(last - timedelta(days=k)): f"hace_{k}" for k in range(T6_DAYS)}
+    return wide.select("machine_name", *[F.col(f"`{d}`").alias(n) for d, n in names.items()], "dias_fuera")

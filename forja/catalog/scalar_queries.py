@@ -294,12 +294,9 @@ def f4(spark, sf):
     WITH b AS (SELECT min(fecha) AS a, max(fecha) AS z FROM ops)
     SELECT CAST(greatest(a, least(DATE '1990-01-01', z)) AS DATE) AS inicio, CAST(greatest(a, least(DATE '1996-06-30', z)) AS DATE) AS fin FROM b""")
 def f5(spark, sf):
-    b = i.ops(spark, sf).agg(F.min("fecha").alias("a"), F.max("fecha").alias("z"))
-
-    def clamp(d: date):
-        return F.greatest("a", F.least(F.lit(d), F.col("z")))
-
-    return b.select(clamp(date(1990, 1, 1)).alias("inicio"), clamp(date(1996, 6, 30)).alias("fin"))
+    b = i.ops(spark, sf).agg(F.min("fecha").alias("a"), F.max("fecha").alias("z")).first()
+    got = pf.Filters(date(1990, 1, 1), date(1996, 6, 30)).clamp(b["a"], b["z"])
+    return spark.createDataFrame([(got.start, got.end)], "inicio date, fin date")
 
 
 @register("F6_plants_by_machine", ("ops",), """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
-from forja.operators.ordered import quantiles
+from forja.operators.ordered import join_spread, quantiles
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def mean_by(df: DataFrame, key: str, value: str) -> DataFrame:
 def frequency(df: DataFrame, key: str, name: str) -> DataFrame:
     """Each row with the number of rows that share its key (NULL keys: NULL)."""
     freq = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(name))
-    return df.join(freq, key, "left")
+    return join_spread(df, freq, [key])
 
 
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -102,17 +102,27 @@ def categorical_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def quality_report(df: DataFrame, name: str, ranges: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    """All audits of a table in one long (tabla, prueba, columna, valor) table."""
+    """All audits of a table in one long (tabla, prueba, columna, valor) table.
+
+    Nulls, ranges and drift come from one pass; duplicates and identifiers
+    need their own grouping.
+    """
+    drift = F.abs(F.col("duracion_min") - x.minutes_between("ts_ini", "ts_fin"))
+    tests = [("faltantes", c, F.count_if(F.col(c).isNull())) for c in df.columns]
+    for c in ranges:
+        v = F.col(c)
+        tests += [("minimo", c, F.min(v)), ("maximo", c, F.max(v)), ("negativos", c, F.count_if(v < 0)), ("ceros", c, F.count_if(v == 0))]
+    tests.append(("mas_de_1_min", "duracion_min", F.count_if(drift > 1)))
+    one = df.agg(*[a.cast("double").alias(f"v{k}") for k, (_, _, a) in enumerate(tests)])
+    items = F.array(*[F.struct(F.lit(t).alias("prueba"), F.lit(c).alias("columna"), F.col(f"v{k}").alias("valor")) for k, (t, c, _) in enumerate(tests)])
+    long = one.select(F.explode(items).alias("i")).select("i.*").where((F.col("prueba") != "faltantes") | (F.col("valor") > 0))
+
     def rows(audit: DataFrame, test: str, col, value) -> DataFrame:
-        return audit.select(F.lit(name).alias("tabla"), F.lit(test).alias("prueba"), col.alias("columna"), value.cast("double").alias("valor"))
-
-    r = range_audit(df, ranges)
-    out = rows(null_profile(df), "faltantes", F.col("columna"), F.col("faltantes"))
-    out = out.unionByName(rows(duplicate_count(df), "duplicadas", F.lit("*"), F.col("duplicadas")))
-    for stat in ("minimo", "maximo", "negativos", "ceros"):
-        out = out.unionByName(rows(r, stat, F.col("columna"), F.col(stat)))
-    out = out.unionByName(rows(id_audit(df, ids), "distintos", F.col("columna"), F.col("distintos")))
-    return out.unionByName(rows(duration_drift(df), "mas_de_1_min", F.lit("duracion_min"), F.col("mas_de_1_min")))
+        return audit.select(F.lit(test).alias("prueba"), col.alias("columna"), value.cast("double").alias("valor"))
+
+    long = long.unionByName(rows(duplicate_count(df), "duplicadas", F.lit("*"), F.col("duplicadas")))
+    long = long.unionByName(rows(id_audit(df, ids), "distintos", F.col("columna"), F.col("distintos")))
+    return long.select(F.lit(name).alias("tabla"), "prueba", "columna", "valor")
 
 
 def clean(raw: DataFrame) -> DataFrame:
