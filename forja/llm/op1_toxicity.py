@@ -30,8 +30,8 @@ from forja.llm.registry import register
 
 #: Bound of the labelled sample that arcs and calibration are learned from.
 SAMPLE = 20_000
-#: Most learned arcs, least toxic texts and least log odds of one.
-ARCS, SUPPORT, ODDS = 4_000, 5, 2.5
+#: Most learned arcs; least toxic texts of one, as a number and as a share of the sample's; its least log odds.
+ARCS, SUPPORT, SHARE, ODDS = 4_000, 5, 0.02, 4.0
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 
@@ -260,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, s
     counted = fitting.mapInArrow(lexical_counts, "kind int, code long, toxic long, clean long")
     odds = (F.log((F.col("toxic") + 0.5) / (n_bad + 1.0)) - F.log((F.col("clean") + 0.5) / (n_good + 1.0)))
     arcs = (counted.groupBy("kind", "code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .filter((F.col("toxic") >= SUPPORT) & (F.col("toxic") > F.col("clean"))).withColumn("odds", odds).filter(F.col("odds") >= ODDS)
+            .filter(F.col("toxic") >= max(SUPPORT, SHARE * n_bad)).withColumn("odds", odds).filter(F.col("odds") >= ODDS)
             .orderBy(F.desc("odds"), "kind", "code").limit(ARCS).collect())
     grammar = build([(r["kind"], int(np.int64(r["code"]).view(np.uint64)), min(r["odds"], 6.0) / 4.0) for r in arcs])
     shared = spark.sparkContext.broadcast(grammar)  # at most ARCS arcs and the seeds
