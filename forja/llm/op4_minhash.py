@@ -7,7 +7,8 @@ of which the topmost is thinned to the weight.  A register keeps its earliest
 time, and two texts agree in a register with probability equal to their
 weighted Jaccard similarity.  Bands of registers give buckets; in each the
 best connected member leads, and only links between members and leader are
-verified, then links that could still join two classes.
+verified; then the members of a bucket that are still in different classes are
+compared in blocks, inside tasks, so that only links leave them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Members of a bucket that are laid into one block.
+BLOCK = 256
 _ODD = [np.uint64(2 * int(x) + 1) for x in mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) >> np.uint64(1)]
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -174,6 +177,82 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.filter(F.col("both") >= similarity * (F.col("n") - F.col("both"))).select("a", "b")
 
 
+def block_links(named: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): labels joined by a link between members of a bucket; named: band, node, n, label, size of the bucket.
+
+    A bucket is dealt into blocks, and every two blocks meet in one group, so
+    a group has at most about 2 BLOCK rows however large the bucket is.  A pair
+    is looked at in the first bucket that it shares.  Items travel as 31 bits.
+    """
+    count = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = named.withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), count - 1)))
+    own = own.select("band", "node", "n", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    small = sets.select("node", F.transform("items", lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("items"))
+    rows = own.join(small.join(nodes.select("node", "bands"), "node"), "node")
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "own", "n", "label", "bands", "items")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+            ends = _ends(whole)
+            for a, b in zip([0, *ends[:-1]], ends, strict=False):
+                yield from _group_links(whole.slice(a, b - a), similarity)
+            held = [whole.slice(ends[-1])] if ends else [whole]
+        for rest in held:
+            if rest.num_rows:
+                yield from _group_links(rest, similarity)
+
+    return rows.mapInArrow(work, "a binary, b binary").distinct()
+
+
+def _ends(batch: pa.RecordBatch) -> list[int]:
+    """Where groups end within a batch; its last group may go on in the next batch."""
+    key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+    return (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()
+
+
+def _group_links(group: pa.RecordBatch, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Labels of one group that a verified pair joins; pairs whose labels are joined already are skipped."""
+    band, lo, hi = (group.column(i)[0].as_py() for i in range(3))
+    names = group.column(5).to_pylist()
+    order = {x: i for i, x in enumerate(dict.fromkeys(names))}
+    if len(order) < 2:
+        return
+    label = np.array([order[x] for x in names])
+    own, n = group.column(3).to_numpy(zero_copy_only=False), group.column(4).to_numpy(zero_copy_only=False)
+    bands = group.column(6).flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
+    counts = pa.compute.list_value_length(group.column(7)).to_numpy(zero_copy_only=False).astype(np.int64)
+    items = group.column(7).flatten().to_numpy(zero_copy_only=False)
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    links = []
+    for i in range(len(names)):
+        if lo != hi and own[i] != lo:
+            continue
+        with_me = np.arange(i + 1, len(names)) if lo == hi else np.flatnonzero(own == hi)
+        with_me = with_me[(label[with_me] != label[i]) & (np.minimum(n[with_me], n[i]) >= similarity * np.maximum(n[with_me], n[i]))]
+        if not len(with_me):
+            continue
+        same = bands[with_me] == bands[i]
+        with_me = with_me[bands[i][same.argmax(axis=1)] == band]
+        if not len(with_me):
+            continue
+        mine = np.unique(items[edge[i] : edge[i + 1]])
+        taken = counts[with_me]
+        ends = np.cumsum(taken)
+        theirs = items[np.arange(ends[-1]) - np.repeat(ends - taken, taken) + np.repeat(edge[with_me], taken)]
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        both = np.bincount(np.repeat(np.arange(len(with_me)), taken), weights=mine[at] == theirs, minlength=len(with_me))
+        for j in with_me[both >= similarity * (n[with_me] + n[i] - both)]:
+            if label[j] != label[i]:
+                links.append((names[i], names[j]))
+                label[label == label[j]] = label[i]
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node of the component; only nodes with an edge."""
     spark = edges.sparkSession
@@ -213,7 +292,8 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     stars = members.join(leaders, "band").filter((F.col("node") != F.col("b")) & near)
     pairs = written(spark, stars.select(F.col("node").alias("a"), "b").distinct(), "pairs")
 
-    wanted = written(spark, degrees.select("node").join(nodes.select("node", "key"), "node"), "wanted")
+    # as many rows as texts with a near neighbour: never to be broadcast, however few they are here
+    wanted = written(spark, degrees.select("node").join(nodes.select("node", "key"), "node"), "wanted").hint("merge")
     keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     sets = written(spark, multisets(wanted.join(keyed, "key").select("node", "text")).dropDuplicates(["node"]), "sets")
     links = written(spark, verified(pairs, sets, similarity), "links")
@@ -221,16 +301,10 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
 
     # what could still join two classes: members of a bucket that are neither its leader nor in one class
     named = members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi")).select("band")
-    named = written(spark, named.join(mixed, "band").join(leaders.select("band", "b"), "band").filter(F.col("node") != F.col("b")).drop("b"), "mixed")
-    other = named.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = named.join(other, "band").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("lb")) & near)
-    rest = rest.select(F.col("node").alias("a"), "b").distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    extra = written(spark, verified(rest.join(done, ["a", "b"], "left_anti"), sets, similarity), "links")
-    joined = extra.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-    joined = joined.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    bridges = components(joined.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    named = written(spark, named.join(leaders.select("band", "b"), "band").filter(F.col("node") != F.col("b")).drop("b"), "named")
+    mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+    mixed = mixed.filter(F.col("lo") != F.col("hi")).select("band", "size")
+    bridges = components(written(spark, block_links(named.join(mixed, "band"), nodes, sets, similarity), "bridges"))
     bridges = bridges.select(F.col("node").alias("part"), F.col("label").alias("whole"))
     final = sketches.select("key", "node").distinct().join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     return final.join(bridges, "part", "left").select("key", F.coalesce("whole", "part").alias("label"))
