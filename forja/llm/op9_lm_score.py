@@ -44,30 +44,36 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return Prefix(data, LOWER_CODES).ranges(start, stop), row
 
 
-def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of the LEXICON most frequent words of all texts; ties go to the smaller hash."""
+def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes, counts) of the LEXICON most frequent words of all texts, the number of all other words.
+
+    Ties go to the smaller hash.  The words in all are counted under the hash 0.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
 
-        held, held_n = np.zeros(0, np.uint64), np.zeros(0)
+        held, held_n, total = np.zeros(0, np.uint64), np.zeros(0), 0
         for batch in batches:
             for a, b in slices(batch.column(0), 4 << 20):
                 codes, n = np.unique(word_codes(batch.column(0).slice(a, b - a))[0], return_counts=True)
+                total += int(n.sum())
                 held, where = np.unique(np.concatenate([held, codes]), return_inverse=True)
                 held_n = np.bincount(where, weights=np.concatenate([held_n, n]), minlength=len(held))
                 if len(held) > FLUSH:
                     yield batch_of(held, held_n)
                     held, held_n = np.zeros(0, np.uint64), np.zeros(0)
-        yield batch_of(held, held_n)
+        yield batch_of(np.append(held, np.uint64(0)), np.append(held_n, total))
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "code").limit(LEXICON).collect()
+    rows = counts.filter("n > 0").orderBy(F.desc("n"), "code").limit(LEXICON + 1).collect()
+    total = max([r["n"] for r in rows if r["code"] == 0], default=0)
+    rows = [r for r in rows if r["code"] != 0][:LEXICON]
     codes = np.array([r["code"] for r in rows], np.int64).view(np.uint64)
     n = np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(codes)
-    return codes[order], n[order]
+    return codes[order], n[order], int(total - n.sum())
 
 
 @dataclass
@@ -84,13 +90,13 @@ class Model:
     side_bias: np.ndarray
 
     @classmethod
-    def start(cls, lexicon: np.ndarray, counts: np.ndarray) -> Model:
+    def start(cls, lexicon: np.ndarray, counts: np.ndarray, others: int) -> Model:
         """Small fixed weights; the biases are the log frequencies, so that the first guess is the unigram model."""
         place = np.empty(len(lexicon), np.int64)
         place[np.argsort(-counts, kind="stable")] = np.arange(len(lexicon))
         place = place % GROUPS * SIDE + place // GROUPS  # frequent words are dealt over the groups
         rng = np.random.default_rng(7)
-        mass = np.full(CODES, 1.0)
+        mass = np.full(CODES, 1.0 + others / BUCKETS)
         mass[place] = counts + 1.0
         split = mass.reshape(GROUPS, SIDE)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
@@ -114,7 +120,7 @@ class Model:
     def encode(self, codes: np.ndarray) -> np.ndarray:
         """Code of every word: its place in the lexicon, or a bucket."""
         free = np.setdiff1d(np.arange(CODES), self.place)[-BUCKETS:]
-        out = free[(mix(codes) % np.uint64(BUCKETS)).astype(np.int64)]
+        out = free[(mix(codes) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)]
         if len(self.lexicon):
             at = np.minimum(np.searchsorted(self.lexicon, codes), len(self.lexicon) - 1)
             known = self.lexicon[at] == codes
@@ -124,7 +130,7 @@ class Model:
     def windows(self, codes: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Codes at OFFSETS of every word; CODES beyond the ends of its text."""
         n = len(codes)
-        out = np.full((len(OFFSETS), n), CODES, dtype=np.int64)
+        out = np.full((len(OFFSETS), n), CODES, dtype=np.uint16)
         for j, step in enumerate(OFFSETS):
             to = slice(max(0, -step), n - max(0, step))
             source = slice(max(0, step), n + min(0, step))
@@ -134,39 +140,47 @@ class Model:
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.tables[0][context[0]]
+        total = self.bias + np.take(self.tables[0], context[0], axis=0)
         for j in range(1, len(OFFSETS)):
-            total = total + self.tables[j][context[j]]
-        return np.tanh(total + self.bias)
+            total += np.take(self.tables[j], context[j], axis=0)
+        return np.tanh(total, out=total)
+
+    def layers(self, h: np.ndarray, group: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+        """(exp, sum) of the softmax over groups and of that over the word's own group."""
+        x = exponentials(h @ self.group + self.group_bias)
+        y = np.take(self.side_bias, group, axis=0)
+        for k, low, high in runs:
+            y[low:high] += h[low:high] @ self.side[k]
+        return *x, *exponentials(y)
 
     def log_probabilities(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         """log P(word | both sides) of every word."""
         out = np.empty(len(target))
         for a in range(0, len(target), BATCH):
-            t = target[a : a + BATCH]
-            h = self.hidden(context[:, a : a + BATCH])
-            g = t // SIDE
-            x = log_softmax(h @ self.group + self.group_bias)
-            value = x[np.arange(len(t)), g].astype(np.float64)
-            for k, rows in segments(g):
-                y = log_softmax(h[rows] @ self.side[k] + self.side_bias[k])
-                value[rows] += y[np.arange(len(rows)), t[rows] % SIDE]
-            out[a : a + BATCH] = value
+            order, t, around, runs = by_group(target[a : a + BATCH], context[:, a : a + BATCH])
+            row, group = np.arange(len(t)), t // SIDE
+            x, xs, y, ys = self.layers(self.hidden(around), group, runs)
+            out[a + order] = np.log(x[row, group] / xs[:, 0]) + np.log(y[row, t % SIDE] / ys[:, 0])
         return out
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+_ONES = np.ones((max(GROUPS, SIDE), 1), np.float32)
+
+
+def exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of the values, held within 40 of 0 so that sums and logarithms are finite; sums of its rows)."""
+    np.clip(x, -40.0, 40.0, out=x)
+    np.exp(x, out=x)
+    return x, x @ _ONES[: x.shape[1]]
 
 
-def segments(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(key, rows with it), by key."""
-    order = np.argsort(keys, kind="stable")
-    edges = np.searchsorted(keys[order], np.arange(GROUPS + 1))
-    for k in range(GROUPS):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k] : edges[k + 1]]
+def by_group(target: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(order, targets, contexts, (group, start, stop) of each run) with the words of a group side by side."""
+    group = (target // SIDE).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    runs = [(k, int(edges[k]), int(edges[k + 1])) for k in range(GROUPS) if edges[k] < edges[k + 1]]
+    return order, target[order], context[:, order], runs
 
 
 class Trainer:
@@ -174,48 +188,49 @@ class Trainer:
 
     def __init__(self, model: Model):
         self.model = model.with_flat(model.flat().copy())
-        self.seen = [np.full(p.shape, 1e-2, np.float32) for p in self.model.parameters()]
+        self.parameters = self.model.parameters()
+        self.seen = [np.full(p.shape, 1e-2, np.float32) for p in self.parameters]
 
     def _move(self, i: int, gradient: np.ndarray, at=...) -> None:
-        value = self.model.parameters()[i]
+        value = self.parameters[i]
         self.seen[i][at] += gradient * gradient
         value[at] -= RATE * gradient / np.sqrt(self.seen[i][at])
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
         """One step on the mean loss of a batch."""
         m, n = self.model, np.float32(len(target))
+        _, target, context, runs = by_group(target, context)
         h = m.hidden(context)
-        g = target // SIDE
-        p = np.exp(log_softmax(h @ m.group + m.group_bias))
-        p[np.arange(len(g)), g] -= 1
-        p /= n
+        row, group = np.arange(len(target)), target // SIDE
+        p, ps, q, qs = m.layers(h, group, runs)
+        p /= ps * n
+        p[row, group] -= 1 / n
+        q /= qs * n
+        q[row, target % SIDE] -= 1 / n
         back = p @ m.group.T
-        moves = []
-        for k, rows in segments(g):
-            q = np.exp(log_softmax(h[rows] @ m.side[k] + m.side_bias[k]))
-            q[np.arange(len(rows)), target[rows] % SIDE] -= 1
-            q /= n
-            back[rows] += q @ m.side[k].T
-            moves.append((k, h[rows].T @ q, q.sum(axis=0)))
-        self._move(2, h.T @ p)
-        self._move(3, p.sum(axis=0))
-        for k, w, b in moves:
-            self._move(4, w, k)
-            self._move(5, b, k)
+        side, side_bias = np.zeros_like(m.side), np.zeros_like(m.side_bias)
+        for k, low, high in runs:
+            back[low:high] += q[low:high] @ m.side[k].T
+            side[k] = h[low:high].T @ q[low:high]
+            side_bias[k] = q[low:high].sum(axis=0)
         back *= 1 - h * h
         self._move(1, back.sum(axis=0))
+        self._move(2, h.T @ p)
+        self._move(3, p.sum(axis=0))
+        self._move(4, side)
+        self._move(5, side_bias)
         for j in range(len(OFFSETS)):
-            order = np.argsort(context[j], kind="stable")
+            order = np.argsort(context[j], kind="stable")  # 16 bits: sorted by radix
             codes = context[j][order]
             first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            self._move(0, np.add.reduceat(back[order], first, axis=0), (j, codes[first]))
+            self._move(0, np.add.reduceat(back.take(order, axis=0), first, axis=0), (j, codes[first].astype(np.int64)))
 
 
 def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     """Model of all texts; without a word it is the uniform first guess."""
     spark = docs.sparkSession
-    lexicon, counts = vocabulary(docs, text)
-    model = Model.start(lexicon, counts)
+    lexicon, counts, others = vocabulary(docs, text)
+    model = Model.start(lexicon, counts, others)
     source = docs.select(F.col(text).alias("text"))
     for _ in range(rounds if len(lexicon) else 0):
         shared = spark.sparkContext.broadcast(model)  # CODES x WIDTH numbers for each offset, and the two softmax layers

@@ -43,7 +43,7 @@ def test_scores_are_the_sums_and_training_helps(spark):
 
 
 def test_probabilities_sum_to_one():
-    model = op.Model.start(np.sort(op.mix(np.arange(50, dtype=np.uint64))), np.arange(50, 0, -1))
+    model = op.Model.start(np.sort(op.mix(np.arange(50, dtype=np.uint64))), np.arange(50, 0, -1), 40)
     context = np.full((4, op.CODES), 7)
     assert np.exp(model.log_probabilities(np.arange(op.CODES), context)).sum() == pytest.approx(1, abs=1e-4)
 
