@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,19 +247,49 @@ def automaton(vocabulary: Vocabulary) -> Automaton:
     return _built[tag]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
+class Speller:
+    """What piece ids spell: the bytes of every piece, laid end to end."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.top = max([*vocabulary.ids, *vocabulary.byte_ids]) + 1
+        spelled = [b""] * (self.top + 1)
+        for i, piece in zip(vocabulary.ids, vocabulary.pieces, strict=True):
+            spelled[i] = piece.replace(b"\xff", b" ")
+        for b, i in enumerate(vocabulary.byte_ids):
+            spelled[i] = bytes([b])
+        self.sizes = np.array([len(s) for s in spelled], dtype=np.int32)
+        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.letters = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The text of each run of ``counts`` ids, without the space that every encoded text begins with."""
+        ids = np.where((ids >= 0) & (ids < self.top), ids, self.top)
+        n = self.sizes[ids]
+        ends = np.cumsum(n, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        data = self.letters[np.arange(total) + np.repeat(self.begins[ids] - ends + n, n)].tobytes()
+        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return [data[x:y][1:] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", exact: str | None = None) -> DataFrame:
     """``docs`` with ``ids``, the piece ids of the best segmentation of the whole text.
 
     '' has no id, null stays null.  Of segmentations with equal scores the one
-    whose last pieces are longer wins.  Rows are worked alone, other columns
-    are passed on, one called ``ids`` is replaced.
+    whose last pieces are longer wins.  With ``exact`` a column of that name
+    tells whether the ids, decoded again, are the very text (null: true).
+    Rows are worked alone, other columns are passed on, those with the new
+    names are replaced.
     """
-    fields = [f for f in docs.schema if f.name != ids]
+    fields = [f for f in docs.schema if f.name not in (ids, exact)]
     schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if exact:
+        schema = schema.add(exact, T.BooleanType())
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(shared.value)
+        speller = Speller(shared.value) if exact else None
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for a, b in slices(column, SLICE):
@@ -267,10 +298,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
                 found, per = machine.encode(own)
                 lists = listed(found, per, pa.int32())
                 if own.null_count:
-                    none = pa.array(np.array(own.is_null()))
-                    lists = pa.compute.if_else(none, pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in fields), lists],
-                                                 names=[*(f.name for f in fields), ids])
+                    lists = pc.if_else(pc.is_null(own), pa.scalar(None, lists.type), lists)
+                out = [*(part.column(part.schema.get_field_index(f.name)) for f in fields), lists]
+                if speller:
+                    data, offsets = flat(own)
+                    raw = data.tobytes()
+                    again = speller.texts(found, per)
+                    out.append(pa.array([raw[x:y] == z for x, y, z in zip(offsets[:-1], offsets[1:], again, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return docs.mapInArrow(work, schema)
 
@@ -282,34 +317,16 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        top = max([*known.ids, *known.byte_ids]) + 1
-        spelled = [b""] * (top + 1)
-        for i, piece in zip(known.ids, known.pieces, strict=True):
-            spelled[i] = piece.replace(b"\xff", b" ")
-        for b, i in enumerate(known.byte_ids):
-            spelled[i] = bytes([b])
-        sizes = np.array([len(s) for s in spelled])
-        begins = np.cumsum(sizes) - sizes
-        letters = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        speller = Speller(shared.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 column = part.column(part.schema.get_field_index(ids))
-                counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat_ids = column.flatten().to_numpy(zero_copy_only=False)
-                flat_ids = np.where((flat_ids >= 0) & (flat_ids < top), flat_ids, top).astype(np.int64)
-                n = sizes[flat_ids]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                at = np.arange(total) - np.repeat(ends - n, n) + np.repeat(begins[flat_ids], n)
-                data = letters[at].tobytes()
-                edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-                null = np.array(column.is_null())
-                texts = [None if z else data[x:y].decode("utf-8", "replace")[1:] for x, y, z in zip(edge[:-1], edge[1:], null, strict=True)]
+                counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = speller.texts(column.flatten().to_numpy(zero_copy_only=False), counts)
+                texts = [x.decode("utf-8", "replace") if y else None for x, y in zip(found, column.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(f.name)) for f in fields), pa.array(texts, pa.string())],
-                    names=[*(f.name for f in fields), text])
+                    [*(part.column(part.schema.get_field_index(f.name)) for f in fields), pa.array(texts, pa.string())], names=schema.names)
 
     return rows.mapInArrow(work, schema)
 
@@ -317,6 +334,5 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
 @register()
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every whole document, and whether they decode to the very text."""
-    vocabulary = load()
-    rows = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary), vocabulary)
-    return rows.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact"))
+    rows = encode(documents(spark, sf_dir).select("doc_id", "text"), load(), exact="exact")
+    return rows.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), "exact")

@@ -59,7 +59,8 @@ def test_round_trip(spark):
         pytest.skip("needs the model file")
     v = op.load()
     texts = ["The quick brown fox.", " two  spaces ", "", None, "tab\tnew\nline\r", "日本語 ▁ £ 𝄞", "x" * 5000, "é" * 300, "\u0000 nul", "same", "same"]
-    rows = op.decode(op.encode(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), v), v).collect()
+    rows = op.decode(op.encode(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), v, exact="exact"), v).collect()
+    assert all(r["exact"] for r in rows)
     assert {r["doc_id"]: r["decoded"] for r in rows} == dict(enumerate(texts))
     assert {r["doc_id"]: r["ids"] for r in rows}[2] == [] and {r["doc_id"]: r["ids"] for r in rows}[3] is None
     short = ["The quick brown fox.", " two  spaces ", "日本"]
