@@ -37,10 +37,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, their number, and whether the ids decode to the very text."""
-    vocabulary = op5_sentencepiece.load()
-    rows = op5_sentencepiece.decode(op5_sentencepiece.encode(docs, vocabulary), vocabulary, text="__decoded")
-    return (rows.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)))
-            .withColumn("exact", F.col("__decoded").eqNullSafe(F.col("text"))).drop("__decoded"))
+    rows = op5_sentencepiece.encode(docs, op5_sentencepiece.load(), exact="exact")
+    return rows.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)))
 
 
 STAGES = [
