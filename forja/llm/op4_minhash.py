@@ -343,7 +343,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.col("id").alias("__id"), F.col("key").alias("__key"), mine.alias("__again")), "dropped")
     rows = docs.withColumn("__key", text_key(F.col(text)))
     same = (F.col("__key") == F.col("__away")) & F.col(f"`{key}`").eqNullSafe(F.col("__id"))
-    rows = rows.join(away.withColumnRenamed("__key", "__away"), same, "left")
+    # as many rows as near copies: never to be broadcast, however few they are here
+    rows = rows.join(away.withColumnRenamed("__key", "__away").hint("merge"), same, "left")
     single = rows.filter("__again IS NULL").select(*[f"`{c}`" for c in docs.columns])
     again = rows.filter("__again").dropDuplicates(["__key", key]).select(*[f"`{c}`" for c in docs.columns])
     return single.unionByName(again)
