@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forja.llm.common import LOWER_CODES, Prefix, crc_mod, documents, flat, slices, table, words
+from forja.llm.common import LOWER_CODES, Prefix, crc_mod, documents, flat, slices, table, words, written
 from forja.llm.registry import register
 
 #: Bound of the labelled sample that arcs and calibration are learned from.
 SAMPLE = 20_000
-#: Most learned arcs; least toxic texts of one, as a number and as a share of the sample's; its least log odds.
-ARCS, SUPPORT, SHARE, ODDS = 4_000, 5, 0.02, 4.0
+#: Most learned arcs; least toxic texts and least log odds of one.
+ARCS, SUPPORT, ODDS = 4_000, 5, 4.0
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 
@@ -243,6 +243,11 @@ def lexical_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, sample: int = SAMPLE) -> Grammar:
     """Grammar learned from at most ``sample`` labelled rows, the first by the hash of their key.
 
+    An arc has ``SUPPORT`` toxic texts and log odds of ``ODDS``, whatever part
+    of the toxic texts that is, and so many toxic ones among its own texts that
+    less than one of all words and stems looked at would have them by chance
+    (Chernoff's bound of the binomial tail).
+
     Rows without key, text or label are left out; a key labelled twice is
     toxic if either label says so.  Without any labelled row the seeds and the
     default calibration remain.
@@ -259,9 +264,14 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, s
         return build([])
     counted = fitting.mapInArrow(lexical_counts, "kind int, code long, toxic long, clean long")
     odds = (F.log((F.col("toxic") + 0.5) / (n_bad + 1.0)) - F.log((F.col("clean") + 0.5) / (n_good + 1.0)))
-    arcs = (counted.groupBy("kind", "code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .filter(F.col("toxic") >= max(SUPPORT, SHARE * n_bad)).withColumn("odds", odds).filter(F.col("odds") >= ODDS)
-            .orderBy(F.desc("odds"), "kind", "code").limit(ARCS).collect())
+    seen = (counted.groupBy("kind", "code").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+            .filter(F.col("toxic") + F.col("clean") >= SUPPORT))
+    seen = written(spark, seen, "markers")
+    among, rate, n = seen.count(), n_bad / (n_bad + n_good), F.col("toxic") + F.col("clean")
+    surprise = (F.col("toxic") * F.log(F.col("toxic") / (n * rate))
+                + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - rate)))).otherwise(0.0))
+    arcs = (seen.filter(F.col("toxic") >= SUPPORT).withColumn("odds", odds).filter(F.col("odds") >= ODDS)
+            .filter(surprise >= math.log(max(among, 1))).orderBy(F.desc("odds"), "kind", "code").limit(ARCS).collect())
     grammar = build([(r["kind"], int(np.int64(r["code"]).view(np.uint64)), min(r["odds"], 6.0) / 4.0) for r in arcs])
     shared = spark.sparkContext.broadcast(grammar)  # at most ARCS arcs and the seeds
 

@@ -49,6 +49,17 @@ def test_learns_stems(spark):
     assert got[1] >= op.THRESHOLD > got[2] == got[3] == got[None] and all(0 <= v <= 1 for v in got.values())
 
 
+def test_learns_the_markers_of_a_small_language(spark):
+    rows = [(i, f"the text {i} holds vequaire and more", "en", "s") for i in range(494)]
+    rows += [(494 + i, f"un texto {i} con bocoos y otras", "es", "s") for i in range(6)]
+    rows += [(500 + i, f"the text {i} holds words and more" if i % 20 else f"un texto {i} con flores y otras", "en", "s") for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i < 500)) for i in range(3500)], "doc_id long, toxic int")
+    grammar = op.learn(docs(spark, rows), labels, "doc_id", "text", "toxic")
+    x = grammar.features(pa.array(["otro texto con bocoes", "otro texto con flores", "the text holds vequment"]))
+    assert x[0, 1] > 0 and x[1, 1] == 0 and x[2, 1] > 0
+    assert grammar.score(x)[0] >= op.THRESHOLD > grammar.score(x)[1]
+
+
 def test_without_labels(spark):
     df, labels = labelled(spark, 20)
     assert len(op.learn(df, labels.limit(0), "doc_id", "text", "toxic").words)
