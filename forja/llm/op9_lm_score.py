@@ -2,7 +2,9 @@
 
 A small bidirectional window network predicts every word from the two words
 before and the two after it; the summed log-probabilities score a text.  The
-vocabulary comes from the counts of all words of the corpus.  Every partition
+vocabulary comes from the counts of all words of the corpus.  The network knows
+the most frequent words and buckets of the others; a word's probability within
+its bucket comes from the counts, which Spark joins.  Every partition
 trains its own copy by gradient steps in numpy on all of its words, and the
 copies are averaged with the words they saw (a sum per parameter, grouped by
 Spark); then the next round starts from the average.
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forja.llm.common import LOWER_CODES, Prefix, documents, flat, mix, slices, words
+from forja.llm.common import LOWER_CODES, Prefix, documents, flat, mix, slices, words, written
 from forja.llm.registry import register
 
 #: Words with a code of their own; all others share BUCKETS codes by their hash.
@@ -33,6 +35,8 @@ ROUNDS = 2
 BATCH = 8192
 RATE = 0.1
 FLUSH = 1 << 20
+#: Words outside the lexicon whose counts every task holds; the counts of all others are joined.
+HELD = 1 << 15
 
 
 def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,11 +48,8 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return Prefix(data, LOWER_CODES).ranges(start, stop), row
 
 
-def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted hashes, counts) of the LEXICON most frequent words of all texts, the number of all other words.
-
-    Ties go to the smaller hash.  The words in all are counted under the hash 0.
-    """
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(code, n): how often every word of all texts occurs, by its hash; the words in all are counted under the hash 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -67,7 +68,16 @@ def vocabulary(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray, int]
         yield batch_of(np.append(held, np.uint64(0)), np.append(held_n, total))
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    rows = counts.filter("n > 0").orderBy(F.desc("n"), "code").limit(LEXICON + 1).collect()
+    return counts.filter("n > 0")
+
+
+def vocabulary(docs: DataFrame, text: str, counts: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes, counts) of the LEXICON most frequent words of all texts, the number of all other words.
+
+    Ties go to the smaller hash.  ``counts`` are the texts' ``word_counts``, if they are at hand.
+    """
+    counts = word_counts(docs, text) if counts is None else counts
+    rows = counts.orderBy(F.desc("n"), "code").limit(LEXICON + 1).collect()
     total = max([r["n"] for r in rows if r["code"] == 0], default=0)
     rows = [r for r in rows if r["code"] != 0][:LEXICON]
     codes = np.array([r["code"] for r in rows], np.int64).view(np.uint64)
@@ -117,10 +127,13 @@ class Model:
             at += p.size
         return Model(self.lexicon, self.place, *out)
 
+    def buckets(self) -> np.ndarray:
+        """Codes that words outside the lexicon share."""
+        return np.setdiff1d(np.arange(CODES), self.place)[-BUCKETS:]
+
     def encode(self, codes: np.ndarray) -> np.ndarray:
         """Code of every word: its place in the lexicon, or a bucket."""
-        free = np.setdiff1d(np.arange(CODES), self.place)[-BUCKETS:]
-        out = free[(mix(codes) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)]
+        out = self.buckets()[(mix(codes) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)]
         if len(self.lexicon):
             at = np.minimum(np.searchsorted(self.lexicon, codes), len(self.lexicon) - 1)
             known = self.lexicon[at] == codes
@@ -226,11 +239,11 @@ class Trainer:
             self._move(0, np.add.reduceat(back.take(order, axis=0), first, axis=0), (j, codes[first].astype(np.int64)))
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """Model of all texts; without a word it is the uniform first guess."""
+def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counts: DataFrame | None = None) -> Model:
+    """Model of all texts; without a word it is the uniform first guess.  ``counts`` as in ``vocabulary``."""
     spark = docs.sparkSession
-    lexicon, counts, others = vocabulary(docs, text)
-    model = Model.start(lexicon, counts, others)
+    lexicon, own, others = vocabulary(docs, text, counts)
+    model = Model.start(lexicon, own, others)
     source = docs.select(F.col(text).alias("text"))
     for _ in range(rounds if len(lexicon) else 0):
         shared = spark.sparkContext.broadcast(model)  # CODES x WIDTH numbers for each offset, and the two softmax layers
@@ -263,20 +276,102 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+@dataclass
+class Spelling:
+    """P(word | its bucket) = n / (1 + the bucket's n): the counts of all words outside the lexicon.
+
+    The one is the share of all words that the counted texts do not hold.
+    ``codes`` and ``logs`` are log n of the most frequent of the words,
+    ``rest`` is (code, log) of all others: a table, for there is no bound to
+    their number.
+    """
+
+    codes: np.ndarray
+    logs: np.ndarray
+    mass: np.ndarray
+    rest: DataFrame
+
+    @classmethod
+    def of(cls, counts: DataFrame, model: Model, held: int = HELD) -> Spelling:
+        """From the ``word_counts`` of a corpus."""
+        shared = counts.sparkSession.sparkContext.broadcast(model)
+
+        def bucket_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, sums = shared.value, np.zeros(CODES, np.int64)
+            for batch in batches:
+                code = batch.column(0).to_numpy().view(np.uint64)
+                n = np.where(code == 0, 0, batch.column(1).to_numpy())
+                sums += np.bincount(known.encode(code), weights=n, minlength=CODES).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CODES, dtype=np.int32)), pa.array(sums)], names=["bucket", "n"])
+
+        n = np.zeros(CODES)
+        for r in counts.select("code", "n").mapInArrow(bucket_sums, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            n[r["bucket"]] = r["n"]
+        mass = np.zeros(CODES)
+        mass[model.buckets()] = np.log(1.0 + n[model.buckets()])
+        order = [F.desc("n"), F.col("code")]
+        top = counts.filter("code != 0").orderBy(*order).limit(len(model.lexicon) + held).collect()
+        found = {int(c) for c in model.lexicon.view(np.int64)}
+        most = sorted((int(np.int64(r["code"]).view(np.uint64)), r["n"]) for r in top if r["code"] not in found)
+        rest = counts.filter("code != 0 AND n > 1")  # log 1 adds nothing
+        if top:
+            last = top[-1]
+            rest = rest.filter((F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.col("code") > last["code"]))
+        return cls(np.array([c for c, _ in most], np.uint64), np.log(np.array([k for _, k in most], np.float64)), mass,
+                   rest.select("code", F.log("n").alias("log")))
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``codes``, whether it is there) of every word."""
+        at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
+        return at, self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
+
+    def local(self) -> Spelling:
+        """Without the table, as it is sent to the tasks."""
+        return Spelling(self.codes, self.logs, self.mass, None)
+
+
+def _rare(docs: DataFrame, model: Model, spelling: Spelling, text: str) -> DataFrame:
+    """(a, b, rare): summed log n of the words in ``spelling.rest``, for every text that has one, by the text's 128-bit key."""
+    key = [F.xxhash64(F.col(text)).alias("a"), F.xxhash64(F.lit(7), F.col(text)).alias("b")]
+    shared = docs.sparkSession.sparkContext.broadcast((model, spelling.local()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, local = shared.value
+        for batch in batches:
+            for a, b in slices(batch.column(2)):
+                codes, row = word_codes(batch.column(2).slice(a, b - a))
+                away = (local.mass[known.encode(codes)] > 0) & ~local.find(codes)[1]
+                codes, row = codes[away], row[away]
+                order = np.lexsort((codes, row))
+                codes, row = codes[order], row[order]
+                first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])])) if len(codes) else row
+                times = np.diff(np.append(first, len(codes)))
+                at = pa.array(row[first] + a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(codes[first].view(np.int64)), pa.array(times.astype(np.int64))],
+                    names=["a", "b", "code", "times"])
+
+    rows = docs.select(*key, F.col(text).alias("text")).mapInArrow(work, "a long, b long, code long, times long")
+    logs = rows.join(spelling.rest.hint("merge"), "code").groupBy("a", "b").agg(F.sum(F.col("log") * F.col("times")).alias("sum"))
+    copies = docs.select(*key).groupBy("a", "b").agg(F.count("*").alias("copies"))  # each copy of a text was summed
+    return logs.join(copies, ["a", "b"]).select("a", "b", (F.col("sum") / F.col("copies")).alias("rare"))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", spelling: Spelling | None = None) -> DataFrame:
     """``docs`` with n_words, log_likelihood (summed over all words, 0 without one) and mean_log (0 without a word).
 
-    A word outside the lexicon is predicted as its bucket.  Null counts as
-    empty; rows are scored alone, repeated rows alike; columns with the three
-    names are replaced.
+    With ``spelling`` a word outside the lexicon has the probability of its
+    bucket times its own within the bucket; without it, it is predicted as its
+    bucket.  Null counts as empty; rows are scored alone, repeated rows alike;
+    columns with the three names are replaced.
     """
     new = [("n_words", T.LongType()), ("log_likelihood", T.DoubleType()), ("mean_log", T.DoubleType())]
     fields = [f for f in docs.schema if f.name not in {n for n, _ in new}]
     schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in new)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, spelling.local() if spelling else None))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, local = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for a, b in slices(column):
@@ -284,6 +379,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 codes, row = word_codes(column.slice(a, b - a))
                 target = known.encode(codes)
                 value = known.log_probabilities(target, known.windows(target, row))
+                if local is not None:
+                    at, held = local.find(codes)
+                    value -= local.mass[target]
+                    value[held] += local.logs[at[held]]
                 n = np.bincount(row, minlength=b - a)
                 total = np.bincount(row, weights=value, minlength=b - a).astype(np.float64)
                 yield pa.RecordBatch.from_arrays(
@@ -291,11 +390,22 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                      pa.array(n.astype(np.int64)), pa.array(total), pa.array(total / np.maximum(n, 1))],
                     names=[*(f.name for f in fields), *(n for n, _ in new)])
 
-    return docs.mapInArrow(work, schema)
+    if spelling is None:
+        return docs.mapInArrow(work, schema)
+    keyed = docs.withColumn("__a", F.xxhash64(F.col(text))).withColumn("__b", F.xxhash64(F.lit(7), F.col(text)))
+    fields += [T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType())]
+    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in new)])
+    rare = _rare(docs, model, spelling, text).withColumnsRenamed({"a": "__a", "b": "__b"})
+    total = F.col("log_likelihood") + F.coalesce("rare", F.lit(0.0))
+    rows = keyed.mapInArrow(work, schema).join(rare.hint("merge"), ["__a", "__b"], "left")  # a text with many copies is split at run time
+    return rows.select(*[F.col(f"`{f.name}`") for f in fields[:-2]], "n_words", total.alias("log_likelihood"),
+                       (total / F.greatest("n_words", F.lit(1))).alias("mean_log"))
 
 
 @register()
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every whole document under a model of all documents."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return score(docs, train(docs)).select("doc_id", "n_words", "log_likelihood", "mean_log")
+    counts = written(spark, word_counts(docs, "text"), "words")
+    model = train(docs, counts=counts)
+    return score(docs, model, spelling=Spelling.of(counts, model)).select("doc_id", "n_words", "log_likelihood", "mean_log")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -48,6 +50,33 @@ def test_probabilities_sum_to_one():
     assert np.exp(model.log_probabilities(np.arange(op.CODES), context)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_words_outside_the_lexicon_have_their_own_probability(spark):
+    often = [f"w{i}" for i in range(op.LEXICON)]
+    seldom = [f"r{i}" for i in range(300)]
+    texts = [" ".join(often)] * 20 + [" ".join(seldom[: 10 * k]) for k in range(1, 13)] + [" ".join(seldom), "r0 r290 r0 w1"] * 2
+    texts += [None, "", "r5 never", "w5 w6 w7 w8 w9"]
+    df = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts[:-2])])
+    counts = op.word_counts(df, "text").cache()
+    model = op.train(df, rounds=1, counts=counts)
+    n = Counter(w for t in texts[:-2] for w in word_list(t))
+    code = dict(zip(n, model.encode(op.word_codes(pa.array([" ".join(n)]))[0]), strict=True))
+    own = set(model.place)
+    bucket = Counter()
+    for w, k in n.items():
+        bucket[code[w]] += 0 if code[w] in own else k
+    new = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    plainly = {r["doc_id"]: r for r in op.score(new, model).collect()}
+    for held in (0, 7, op.HELD):
+        got = {r["doc_id"]: r for r in op.score(new, model, spelling=op.Spelling.of(counts, model, held)).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            words = word_list(t)
+            codes = model.encode(op.word_codes(pa.array([" ".join(words)]))[0]) if words else []
+            spelt = sum(np.log((n[w] or 1) / (1 + bucket[c])) for w, c in zip(words, codes, strict=True) if c not in own)
+            assert got[i]["log_likelihood"] == pytest.approx(plainly[i]["log_likelihood"] + spelt, rel=1e-6, abs=1e-6)
+            assert got[i]["mean_log"] == pytest.approx(got[i]["log_likelihood"] / max(len(words), 1))
+
+
 def test_empty(spark):
     model = op.train(docs(spark, [(1, None, None, None), (2, "", None, None)]))
     got = op.score(docs(spark, [(1, "some words", "en", "s"), (None, None, None, None)]), model).collect()
