@@ -40,12 +40,19 @@ BARRIER = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd":
            "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "tbody": frozenset(["table"])}
 MAIN = frozenset(["article", "main"])
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promotion|"
-    r"cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|pagination|pager|sidebar|aside|widget|widgets|related|"
-    r"recommended|share|sharing|social|toolbar|masthead|header|footer|copyright|legal|comment|comments|commentlist|"
-    r"disqus|respond|replies|reply|feedback|search|skip|hidden)(?:$|[\s_-])")
+FURNITURE_NAMES = frozenset((
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie "
+    "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login nav "
+    "navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related "
+    "recommended share sharing social toolbar masthead header footer copyright legal comment comments commentlist "
+    "disqus respond replies reply feedback search skip hidden").split())
+#: Furniture that never holds the article, even if most of the page's text or an article element is in it.
+BESIDE = frozenset("comment comments commentlist disqus respond replies reply feedback related recommended".split())
+#: Names that say what a wrapper has, lacks or stands beside, not what it is.
+ABOUT = re.compile(r"^(?:has|have|with|without|no|not|hide|show)[_-]|[_-](?:has|with|without|no)[_-]")
+#: Elements of furniture that may stand around a whole page.
+WRAPPERS = frozenset(["form", "fieldset", "header"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -53,40 +60,75 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 class Node:
     """Block element with its own counts; ``items`` holds text pieces, breaks and child nodes in page order."""
 
-    __slots__ = ("name", "parent", "items", "chars", "links", "tags", "link_tags", "out", "density", "total")
+    __slots__ = ("name", "parent", "items", "chars", "links", "tags", "link_tags", "out", "main", "kind", "index", "inside", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, out: bool):
-        self.name, self.parent, self.out = name, parent, out
+    def __init__(self, name: str, parent: Node | None, out: bool, kind: int = 0, index: int = -1):
+        self.name, self.parent, self.out, self.kind, self.index = name, parent, out, kind, index
+        self.main = name in MAIN or parent is not None and parent.main
         self.items: list = []
-        self.chars = self.links = self.tags = self.link_tags = 0
+        self.chars = self.links = self.tags = self.link_tags = self.inside = 0
         self.density = self.total = 0.0
 
 
-def _furniture(name: str, attributes: str) -> bool:
-    if name in SKIPPED:
-        return True
+def _furniture(name: str, attributes: str, main: bool = False) -> int:
+    """0: none; 1: unless it holds the article; 2: furniture.  ``main``: inside an article, whose headers belong to it."""
+    kind = 0
+    if name in SKIPPED and not (main and name == "header"):
+        if name not in WRAPPERS:
+            return 2
+        kind = 1
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return kind
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and name not in ("body", "html", "article", "main"):
-            if FURNITURE_NAMES.search(value):
-                return True
-        elif key == "role" and value.strip() in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+        if key in ("class", "id") and name not in ("body", "html", "article", "main") and not (main and name in HEADINGS):
+            for token in value.split():
+                found = FURNITURE_NAMES.intersection(re.split("[_-]", token)) if not ABOUT.search(token) else frozenset()
+                if found and not (main and found == {"header"}):
+                    kind = max(kind, 2 if found & BESIDE else 1)
+        elif key == "role" and value.strip() in FURNITURE_ROLES:
+            kind = max(kind, 1 if value.strip() == "form" else 2)
+        elif key == "hidden" or key == "aria-hidden" and value == "true":
+            return 2
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return kind
 
 
 def parse(page: str) -> Node:
-    """Tree of the block elements of a page; unclosed and crossed tags are mended."""
+    """Tree of the block elements of a page; what looks like furniture but holds the article is none."""
+    root, held = _parse(page, frozenset())
+    if held:
+        root, _ = _parse(page, held)
+    return root
+
+
+def _parse(page: str, spared: frozenset[int]) -> tuple[Node, frozenset[int]]:
+    """(tree, numbers of the wrappers that look like furniture but hold the article); unclosed and crossed tags are mended.
+
+    A wrapper holds it if it holds the only article or main element that the
+    page has, or more than half of its text outside links.  ``spared``: numbers
+    of elements that are not furniture.
+    """
     root = Node("html", None, False)
+    wrappers: list[Node] = []
+    around: set[int] = set()
+    count = plain = 0
+    shown = False  # an article or main element outside all furniture
     node, link, position, size = root, 0, 0, len(page)
     hidden: list[str] = []  # inline elements of furniture that are open
 
     def text(piece: str) -> None:
-        if not piece or node.out or hidden:
+        nonlocal plain
+        if not piece or hidden:
+            return
+        if node.out and node.kind == 2:
+            return
+        if not link:
+            n = len("".join(piece.split()))
+            plain += n
+            node.inside += n
+        if node.out:
             return
         piece = entities.unescape(piece) if "&" in piece else piece
         node.items.append(piece)
@@ -130,7 +172,7 @@ def parse(page: str) -> Node:
             if name == "a":
                 link = 1
                 node.link_tags += not node.out
-            if hidden or _furniture(name, m[3]):
+            if hidden or _furniture(name, m[3], node.main):
                 hidden.append(name)
             continue
         if name in VOID:
@@ -148,10 +190,32 @@ def parse(page: str) -> Node:
                 node = at.parent
         elif node.name == "p":
             node = node.parent
-        child = Node(name, node, node.out or _furniture(name, m[3]))
+        count += 1
+        own = 0 if count in spared else _furniture(name, m[3], node.main)
+        child = Node(name, node, node.out or own > 0, 2 if 2 in (own, node.kind) else own or node.kind, count)
         node.items.append(child)
+        if own == 1 and child.kind == 1:
+            wrappers.append(child)
+        if name in MAIN and child.kind < 2:
+            shown = shown or not child.out
+            up = child
+            while up is not None and up.out:
+                around.add(up.index)
+                up = up.parent
         node, hidden = child, []
-    return root
+    if not wrappers or spared or shown:
+        return root, frozenset()
+    held = {w.index for w in wrappers if w.index in around}
+    if not held:
+        for w in wrappers:
+            total, stack = 0, [w]
+            while stack:
+                x = stack.pop()
+                total += x.inside
+                stack += [y for y in x.items if isinstance(y, Node)]
+            if 2 * total > plain:
+                held.add(w.index)
+    return root, frozenset(held)
 
 
 def _measure(root: Node) -> list[Node]:

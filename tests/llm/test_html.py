@@ -34,6 +34,22 @@ def test_odd_pages():
     assert op.main_text(page(f"<article><p>{LONG}</p><section class='comments'><p>{LONG}</p></section></article>")) == LONG
 
 
+def test_wrappers_of_the_article_are_no_furniture():
+    article, nav = f"<article><p>{LONG}</p></article>", "<nav><a href='/'>Home</a></nav>"
+    for name in ("has-sidebar", "layout with-sidebar", "no-comments", "content-with-nav", "site-header", "page-overlay"):
+        assert op.main_text(page(f"<div class='{name}'>{nav}{article}<div class='sidebar'>Side</div></div>")) == LONG
+    assert op.main_text(page(f"<form id='aspnetForm'>{nav}<div><main><p>{LONG}</p></main></div><fieldset>Mail</fieldset></form>")) == LONG
+    assert op.main_text(page(f"<form>{nav}<div><p>{LONG}</p><p>{LONG}</p></div></form>")) == f"{LONG} {LONG}"
+    assert op.main_text(page(f"<div class='widget'><div class='promo'>{article}</div></div>")) == LONG
+    assert op.main_text(page(f"{article}<div class='related'><article><p>{LONG} {LONG}</p></article></div>")) == LONG
+    assert op.main_text(page(f"<div><p>{LONG}</p></div><div id='comments'><article class='comment'><p>{LONG} {LONG}</p></article></div>")) == LONG
+
+
+def test_headings_inside_the_article():
+    for head in ("<header><h1>Head</h1></header>", "<div class='entry-header'><h1>Head</h1></div>", "<h1 class='entry-header banner'>Head</h1>"):
+        assert op.main_text(page(f"<header>Site</header><article>{head}<p>{LONG}</p></article>")) == f"Head {LONG}"
+
+
 def test_operator(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "x"), (None, None, None, None), (1, "u", f"<article><p>{LONG}</p></article>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
