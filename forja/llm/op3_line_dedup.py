@@ -1,7 +1,9 @@
 """Site-relative line frequency: drop the lines that a site repeats on its pages.
 
 Only DataFrame functions.  A page is a distinct text of a site, so a text
-that a site holds a thousand times counts once.  The lines to drop are few: a
+that a site holds a thousand times counts once.  Pages made mostly of lines
+that others repeat too are near copies, not pages with a frame: a line counts
+once for all of them with the same smallest key (min-hash) among such lines.  The lines to drop are few: a
 site with ``p`` pages of ``l`` distinct lines on average has at most
 ``l / ratio`` of them, whatever ``p`` is.
 """
@@ -29,15 +31,31 @@ def _line_key(line: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
-    """(site, lines): per site the keys of the trimmed lines on more than ``ratio`` of its pages."""
-    pages = docs.select(
-        F.coalesce(host, F.lit("")).alias("site"), text_key(text).alias("page"),
-        F.array_distinct(F.transform(
-            F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), _line_key)).alias("lines"))
-    lines = pages.select("site", "page", F.explode("lines").alias("line")).distinct()
+    """(site, lines): per site the keys of the trimmed lines on more than ``ratio`` of its pages, near copies counted once.
+
+    A near copy has most of its lines, and most of its characters, in lines
+    that exceed the limits when all pages count.
+    """
+    trimmed = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    pages = docs.select(F.coalesce(host, F.lit("")).alias("site"), text_key(text).alias("page"), trimmed.alias("own"))
+    lines = pages.select("site", "page", F.explode(F.transform("own", _line_key)).alias("line")).distinct()
     seen = lines.groupBy("site", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     sizes = pages.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
-    return (seen.join(sizes, "site").filter(F.col("n") > ratio * F.col("pages"))
+    often = (seen.join(sizes, "site").filter(F.col("n") > ratio * F.col("pages"))
+             .groupBy("site", "pages").agg(F.collect_list("line").alias("often")))
+    often = written(docs.sparkSession, often, "frequent-lines")
+    held = pages.join(often, "site").withColumn("shared", F.filter("own", lambda x: F.array_contains(F.col("often"), _line_key(x))))
+
+    def chars(lines: str) -> Column:
+        return F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
+
+    near = (2 * F.size("shared") > F.size("own")) & (2 * chars("shared") > chars("own"))
+    keys = F.transform("shared", _line_key)
+    cluster = F.when(near, F.struct(F.lit(None).cast("binary").alias("page"), F.array_min(keys).alias("least"))).otherwise(
+        F.struct(F.col("page"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("least")))
+    counted = held.select("site", "pages", cluster.alias("cluster"), F.explode(keys).alias("line")).distinct()
+    counted = counted.groupBy("site", "pages", "line").agg(F.count("*").alias("n"))
+    return (counted.filter((F.col("n") >= min_pages) & (F.col("n") > ratio * F.col("pages")))
             .groupBy("site").agg(F.collect_list("line").alias("lines")))
 
 
@@ -48,7 +66,7 @@ def drop_lines(docs: DataFrame, text: str = "text", host: str | Column = "source
     A line is trimmed of spaces before it is compared; blank lines are never
     counted or dropped.  It is dropped (all its occurrences) if it stands on
     more than ``ratio`` and at least ``min_pages`` of the site's distinct
-    pages.  Rows without a site form one site of their own.  A null text stays
+    pages, where a group of near copies counts once.  Rows without a site form one site of their own.  A null text stays
     null and counts as an empty page; repeated rows are cleaned alike; a text
     of boilerplate alone becomes ''.  Other columns are passed on, whatever
     their names; ``n_lines`` and ``n_dropped`` replace columns so called.

@@ -25,6 +25,15 @@ def test_copies_are_one_page_and_ratio_counts(spark):
     assert run(spark, rows, ratio=0.2)[0]["text"] == "x0"
 
 
+def test_near_copies_keep_their_article(spark):
+    article = [f"line {k} of an article with some length" for k in range(10)]
+    rows = [(i, "\n".join(["menu", *(x if k != i % 10 else f"{x}, edition {i}" for k, x in enumerate(article))]), "en", "a") for i in range(40)]
+    rows += [(100 + i, f"menu\nanother text of its own with number {i}", "en", "a") for i in range(60)]
+    got = run(spark, rows)
+    for i, text, _, _ in rows:
+        assert got[i]["text"] == text.removeprefix("menu\n")
+
+
 def test_edges(spark):
     rows = [(None, None, None, None), (1, "", "en", None), (1, "", "en", None), (2, "a\n" * 5000 + "b", "en", None)]
     rows += [(10 + i, f"a\nz{i}", "en", None) for i in range(6)]
