@@ -10,6 +10,7 @@ from forja import views
 from forja.catalog import inputs as i
 from forja.catalog.base import last_op_sql, register
 from forja.functions import scalar as x
+from forja.operators.ordered import quantiles
 from forja.plans import fact as pf
 from forja.plans import quality as q
 from forja.sources import conform
@@ -411,12 +412,10 @@ def a34(spark, sf):
     f"SELECT '{c}' AS columna, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.9), 6) AS q90 FROM fact"
     for c in ("scrap_rate", "throughput_uph", "duracion_min")))
 def a34b(spark, sf):
-    """The band-located form that holds at any group size."""
-    from forja.operators.ordered import exact_quantiles
-
+    """Exact quantiles of several columns at once: the column is the key."""
     cols = ["scrap_rate", "throughput_uph", "duracion_min"]
     long = i.fact(spark, sf).select(*cols).unpivot([], cols, "columna", "valor")
-    return i.rounded(exact_quantiles(long, ["columna"], "valor", {"q25": 0.25, "q90": 0.9}))
+    return i.rounded(quantiles(long, ["columna"], "valor", {"q25": 0.25, "q90": 0.9}))
 
 
 CATS = ("evento", "estado", "planta", "turno", "machine_name")
