@@ -18,6 +18,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,26 +29,45 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forja.llm.common import documents, listed, slices, written
+from forja.llm.common import documents, flat, listed, slices, written
 from forja.llm.registry import register
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text aligned at once, and of a block whose pairs are counted together (or one text, if that is longer).
-SLICE, BLOCK = 1 << 19, 4 << 20
+SLICE, BLOCK = 2 << 20, 4 << 20
+#: Stretches of text whose ids a task remembers, and of how many characters at most.
+KNOWN, SHORT = 1 << 17, 40
+#: Stretches given to a tokenizer at once.
+BATCH = 1 << 14
 
 Encoder = Callable[[list[str]], list[list[int]]]
 
 
 @dataclass
 class Side:
-    """A tokenizer in a task: ids of texts (each with one space before it), and the bytes of every id."""
+    """A tokenizer in a task: ids of texts (each with one space before it), the bytes of every id, and whether texts cannot be cut at spaces."""
 
     encode: Encoder
     spelled: list[bytes]
+    whole: bool = False
 
     def __post_init__(self):
         self.bytes = pa.array(self.spelled, pa.large_binary())
+        self.known: dict[str, list[int]] = {}
+
+    def lists(self, texts: list[str]) -> list[list[int]]:
+        """Ids of different texts; short ones are remembered."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = [t for t in texts if t not in self.known]
+        for i in range(0, len(new), BATCH):
+            self.known.update(zip(new[i : i + BATCH], self.encode(new[i : i + BATCH]), strict=True))
+        found = list(map(self.known.__getitem__, texts))
+        for t in new:
+            if len(t) > SHORT:
+                del self.known[t]
+        return found
 
 
 def byte_letters() -> dict[str, int]:
@@ -84,7 +104,7 @@ def piece_side(model: bytes) -> Side:
     model = sentencepiece.SentencePieceProcessor(model_proto=model)
     spelled = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else model.id_to_piece(i).replace("▁", " ").encode()
                for i in range(model.get_piece_size())]
-    return Side(lambda texts: model.encode(texts, num_threads=1), spelled)
+    return Side(lambda texts: model.encode(texts, num_threads=1), spelled, any(b" " in s.lstrip(b" ") for s in spelled))
 
 
 _sides: dict[tuple, Side] = {}
@@ -98,12 +118,39 @@ def side(kind: Callable[[bytes], Side], model: bytes) -> Side:
     return _sides[key]
 
 
+def units(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(stretches of the texts, each after one space, and the text of each stretch).
+
+    A text is cut at a space between a printable ASCII character or one of
+    U+00C0 to U+00FF and any other; neither tokenizer has a token over such a
+    place, so the stretches can be encoded alone.  Null and empty texts have none.
+    """
+    data, offsets = flat(texts)
+    if not len(data):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+    plain = (data > 32) & (data < 127)
+    plain[1:] |= data[:-1] == 0xC3
+    cut = data == 32
+    cut[1:] &= plain[:-1]
+    cut[0] = False
+    cut[:-1] &= ~(cut[:-1] & np.isin(np.arange(1, len(data)), offsets))  # a text's last character stays with what is before it
+    cut[-1] = False
+    first = offsets[:-1][np.diff(offsets) > 0]
+    cut[first] = False
+    start = np.sort(np.concatenate([first, np.flatnonzero(cut) + 1]))
+    keep = ~cut
+    place = np.concatenate([[0], np.cumsum(keep)])
+    ends = np.append(place[start], place[-1])
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[keep])])
+    return found, np.searchsorted(offsets, start, side="right") - 1
+
+
 class Tokens:
     """One side's tokens of a slice: ids, how many in each text, where they end when all texts are laid end to end."""
 
-    def __init__(self, own: Side, lists: list[list[int]]):
-        self.per = np.array([len(x) for x in lists], dtype=np.int64)
-        column = listed(np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(self.per.sum())), self.per, pa.int32())
+    def __init__(self, own: Side, ids: np.ndarray, per: np.ndarray):
+        self.per = per
+        column = listed(ids, per, pa.int32())
         self.ids = pc.list_flatten(column)
         self.row = pc.list_parent_indices(column)
         taken = own.bytes.take(self.ids)
@@ -116,14 +163,36 @@ class Tokens:
         whole = self.letters.to_pybytes() if self.letters else b""
         return [whole[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
 
-
-def lists_of(a: Side, b: Side, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-    """Ids of both sides; none for a text that is null, empty, or that either side spells otherwise."""
-    some = [t or "" for t in texts]
-    found = [[x if t else [] for x, t in zip(s.encode(some), some, strict=True)] for s in (a, b)]
-    want = [b" " + t.encode() if t else b"" for t in some]
-    good = [x == y == z for x, y, z in zip(want, *(Tokens(s, f).texts() for s, f in zip((a, b), found, strict=True)), strict=True)]
-    return tuple([x if g else [] for x, g in zip(f, good, strict=True)] for f in found)
+    def only(self, own: Side, good: np.ndarray) -> Tokens:
+        """Without the tokens of other texts."""
+        return Tokens(own, self.ids.to_numpy()[np.repeat(good, self.per)], np.where(good, self.per, 0))
+
+
+def tokens(own: Side, stretches: list[str], code: np.ndarray, row: np.ndarray, rows: int) -> Tokens:
+    """Tokens of the texts made of the coded stretches; a stretch is encoded once."""
+    lists = own.lists(stretches)
+    size = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    flat_ids = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(size.sum()))
+    n = size[code]
+    ends = np.cumsum(n)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat((np.cumsum(size) - size)[code], n)
+    return Tokens(own, flat_ids[at], np.bincount(row, weights=n, minlength=rows).astype(np.int64))
+
+
+def both_sides(a: Side, b: Side, texts: pa.Array) -> tuple[Tokens, Tokens]:
+    """Tokens of both sides; none for a text that is null, empty, or that either side spells otherwise."""
+    if a.whole or b.whole:
+        found, row = pc.fill_null(texts, "").cast(pa.large_binary()), np.arange(len(texts))
+        some = pc.greater(pc.binary_length(found), 0)
+        found, row = found.filter(some), row[some.to_numpy(zero_copy_only=False)]
+    else:
+        found, row = units(texts)
+    codes = found.dictionary_encode()
+    stretches, code = codes.dictionary.cast(pa.large_string()).to_pylist(), codes.indices.to_numpy()
+    sides = [tokens(s, stretches, code, row, len(texts)) for s in (a, b)]
+    want = [b" " + t.encode() if t else b"" for t in texts.to_pylist()]
+    good = np.array([x == y == z for x, y, z in zip(want, *(s.texts() for s in sides), strict=True)], dtype=bool)
+    return tuple(t if good.all() else t.only(s, good) for s, t in zip((a, b), sides, strict=True))
 
 
 def side_by_side(a: Tokens, b: Tokens) -> pa.Table:
@@ -170,12 +239,12 @@ _spellers: dict[tuple[int, int], Speller] = {}
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
-def aligned(a: Side, b: Side, texts: list[str | None]) -> tuple[pa.Table, pa.Table, list[bytes]]:
+def aligned(a: Side, b: Side, texts: pa.Array) -> tuple[pa.Table, pa.Table, list[bytes]]:
     """(figures of every text, its different links (row, pair, n), its groups as text) of a slice."""
     size = (len(a.spelled), len(b.spelled))
     if size not in _spellers:
         _spellers[size] = Speller(*size)
-    left, right = (Tokens(s, x) for s, x in zip((a, b), lists_of(a, b, texts), strict=True))
+    left, right = both_sides(a, b, texts)
     table = side_by_side(left, right)
     row, cut = table["row"].to_numpy(), table["cut"].to_numpy()
     figures = pa.table({"n_a": left.per, "n_b": right.per, "n_groups": np.bincount(row[cut], minlength=len(texts)),
@@ -249,7 +318,7 @@ def align(docs: DataFrame, byte_model: bytes, piece_model: bytes, text: str = "t
             column = batch.column(len(fields))
             for x, y in slices(column, min(SLICE, block_bytes)):
                 part = column.slice(x, y - x)
-                parts.append(aligned(a, b, part.to_pylist()))
+                parts.append(aligned(a, b, part))
                 own.append([batch.column(i).slice(x, y - x) for i in range(len(fields))])
                 held += part.nbytes
                 if held >= block_bytes:

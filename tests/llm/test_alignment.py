@@ -3,6 +3,8 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from plain import docs
@@ -69,6 +71,23 @@ def merged(a, b):
     return out
 
 
+def test_stretches_are_cut_where_no_token_crosses():
+    a, b = op.byte_side(op.model(op.BYTE_BPE)), op.piece_side(op.model(op.PIECE_BPE))
+    texts = [*ODD, "tail ", "a  b c", "\u00a0 x \u3000 y", "é x ü y", "it's we'll 'd", "one\ttwo \n three", "x y ", " "]
+    cut = op.both_sides(a, b, pa.array(texts))
+    stretches, row = op.units(pa.array(texts))
+    assert len(stretches) > 4000 and len(op.units(pa.array([None, ""]))[0]) == 0
+    for s, t in zip((a, b), cut, strict=True):
+        whole = s.encode([x or "" for x in texts])
+        ends = np.cumsum(t.per)
+        for x, want, stop, n in zip(texts, whole, ends, t.per, strict=True):
+            if n:
+                assert t.ids.to_pylist()[stop - n : stop] == want, x
+    a.whole = True  # a model with tokens over spaces has its texts encoded whole
+    for s, t in zip(op.both_sides(a, b, pa.array(texts)), cut, strict=True):
+        assert s.ids.equals(t.ids) and (s.per == t.per).all()
+
+
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
