@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from forja.catalog import inputs as i
 from forja.catalog.base import register
+from forja.catalog.feature_queries import MACH
 from forja.catalog.feature_queries import features as scrap_rows
 from forja.catalog.feature_queries import order_times, weeks
 from forja.catalog.route_queries import changes
 from forja.ml import cluster as c
-from forja.ml import forest, linear, metrics, store
+from forja.ml import density, forest, linear, metrics, store
 from forja.plans import features as f
 from forja.plans.tooling import next_change
 from forja.session import shared_dir
@@ -49,6 +50,26 @@ def m2(spark, sf):
     return kmeans(spark, sf).transform(c.scaled_points(machines(spark, sf))).select("machine_name", *f.CLUSTER_FEATURES, "cluster")
 
 
+EPS, MIN_SAMPLES = 0.5, 3
+DENSE = MACH + """, mm AS (SELECT * FROM met WHERE total_dur > 0 AND """ + " AND ".join(f"{n} IS NOT NULL" for n in f.CLUSTER_FEATURES) + """),
+    st AS (SELECT """ + ", ".join(f"avg({n}) AS a_{n}, CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1 END AS d_{n}" for n in f.CLUSTER_FEATURES) + """ FROM mm),
+    z AS (SELECT machine_name, """ + ", ".join(f"({n} - a_{n})/d_{n} AS z_{n}" for n in f.CLUSTER_FEATURES) + """ FROM mm, st),
+    nb AS (SELECT a.machine_name AS a, b.machine_name AS b FROM z a, z b WHERE """ + " + ".join(
+    f"(a.z_{n} - b.z_{n})*(a.z_{n} - b.z_{n})" for n in f.CLUSTER_FEATURES) + f""" <= {EPS * EPS}),
+    core AS (SELECT a FROM nb GROUP BY a HAVING count(*) >= {MIN_SAMPLES}),
+    names AS (WITH RECURSIVE r(root, a) AS (SELECT a, a FROM core UNION SELECT root, nb.b FROM r JOIN nb ON nb.a = r.a JOIN core c ON c.a = nb.b)
+      SELECT a, min(root) AS name FROM r GROUP BY a),
+    own AS (SELECT machine_name, coalesce(min(n1.name), min(n2.name)) AS name, count(n1.name) > 0 AS es_nucleo
+      FROM z LEFT JOIN names n1 ON n1.a = machine_name LEFT JOIN nb ON nb.a = machine_name LEFT JOIN names n2 ON n2.a = nb.b GROUP BY machine_name)
+    SELECT machine_name, CASE WHEN name IS NULL THEN -1 ELSE CAST(dense_rank() OVER (ORDER BY name NULLS LAST) - 1 AS INTEGER) END AS cluster, es_nucleo FROM own"""
+
+
+@register("M3_density", ("ops",), DENSE)
+def m3(spark, sf):
+    points = metrics.standardise(machines(spark, sf).dropna(subset=list(f.CLUSTER_FEATURES)), f.CLUSTER_FEATURES)
+    return density.density_clusters(points, "machine_name", [f"z_{n}" for n in f.CLUSTER_FEATURES], EPS, MIN_SAMPLES)
+
+
 @register("M4_hierarchical")
 def m4(spark, sf):
     points = c.scaled_points(machines(spark, sf))

@@ -9,6 +9,7 @@ when an executor is lost.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,3 +68,27 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
         _ready[key] = (path, df.schema)
     path, schema = _ready[key]
     return spark.read.schema(schema).parquet(path)
+
+
+_temporary: dict[str, list[str]] = {}
+
+
+def temporary(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written into the shared folder and read back: lineage is cut and survives lost executors.
+
+    ``clear_temporary`` removes what this application wrote, once its results are no longer read.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = shared_dir(spark)
+    path = f"{_roots[app]}/forja-tmp-{app}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _temporary.setdefault(app, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_temporary(spark: SparkSession) -> None:
+    """Removes the temporary tables of this application."""
+    for path in _temporary.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
