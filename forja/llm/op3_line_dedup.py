@@ -1,11 +1,13 @@
 """Site-relative line frequency: drop the lines that a site repeats on its pages.
 
 Only DataFrame functions.  A page is a distinct text of a site, so a text
-that a site holds a thousand times counts once.  Pages made mostly of lines
-that others repeat too are near copies, not pages with a frame: a line counts
-once for all of them with the same smallest key (min-hash) among such lines.  The lines to drop are few: a
-site with ``p`` pages of ``l`` distinct lines on average has at most
-``l / ratio`` of them, whatever ``p`` is.
+that a site holds a thousand times counts once.  So does a group of near
+copies: a page that consists of frequent lines to four fifths or more belongs
+to the pages with the same rarest of these lines, which a frame, being on all
+pages of the site, never is.  Both the pages with a line and all pages are
+then counted in groups.  The lines to drop are few: a site with ``p`` pages of
+``l`` distinct lines on average has at most ``l / ratio`` of them, whatever
+``p`` is.
 """
 
 from __future__ import annotations
@@ -27,35 +29,34 @@ def host_of(url: Column) -> Column:
 
 
 def _line_key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(7), line).alias("b"))
+    return F.unhex(F.md5(line))
 
 
 def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
-    """(site, lines): per site the keys of the trimmed lines on more than ``ratio`` of its pages, near copies counted once.
-
-    A near copy has most of its lines, and most of its characters, in lines
-    that exceed the limits when all pages count.
-    """
+    """(site, lines): per site the keys of the trimmed lines on more than ``ratio`` of its pages, groups of near copies counted once."""
     trimmed = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     pages = docs.select(F.coalesce(host, F.lit("")).alias("site"), text_key(text).alias("page"), trimmed.alias("own"))
     lines = pages.select("site", "page", F.explode(F.transform("own", _line_key)).alias("line")).distinct()
     seen = lines.groupBy("site", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     sizes = pages.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("pages"))
     often = (seen.join(sizes, "site").filter(F.col("n") > ratio * F.col("pages"))
-             .groupBy("site", "pages").agg(F.collect_list("line").alias("often")))
+             .groupBy("site", "pages").agg(F.collect_list(F.struct("n", "line")).alias("often")))
     often = written(docs.sparkSession, often, "frequent-lines")
-    held = pages.join(often, "site").withColumn("shared", F.filter("own", lambda x: F.array_contains(F.col("often"), _line_key(x))))
+    held = pages.join(often, "site").withColumn("shared", F.filter("own", lambda x: F.array_contains(F.col("often.line"), _line_key(x))))
 
     def chars(lines: str) -> Column:
         return F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x))
 
-    near = (2 * F.size("shared") > F.size("own")) & (2 * chars("shared") > chars("own"))
+    near = (F.size("shared") > 0) & (5 * F.size("shared") >= 4 * F.size("own")) & (5 * chars("shared") >= 4 * chars("own"))
     keys = F.transform("shared", _line_key)
-    cluster = F.when(near, F.struct(F.lit(None).cast("binary").alias("page"), F.array_min(keys).alias("least"))).otherwise(
-        F.struct(F.col("page"), F.lit(None).cast("struct<a:bigint,b:bigint>").alias("least")))
-    counted = held.select("site", "pages", cluster.alias("cluster"), F.explode(keys).alias("line")).distinct()
-    counted = counted.groupBy("site", "pages", "line").agg(F.count("*").alias("n"))
-    return (counted.filter((F.col("n") >= min_pages) & (F.col("n") > ratio * F.col("pages")))
+    rarest = F.array_min(F.filter("often", lambda o: F.array_contains(keys, o["line"])))
+    held = held.select("site", "pages", "page", keys.alias("keys"), F.when(near, rarest["line"]).alias("group"))
+    # a site's groups: its pages without the near copies, and the groups of these
+    grouped = held.filter("group IS NOT NULL").groupBy("site").agg(F.count_distinct("page").alias("copies"), F.count_distinct("group").alias("groups"))
+    counted = held.select("site", "pages", F.when(F.col("group").isNull(), F.col("page")).alias("page"), "group", F.explode("keys").alias("line")).distinct()
+    counted = counted.groupBy("site", "pages", "line").agg(F.count("*").alias("n")).join(grouped, "site", "left")
+    all_groups = F.col("pages") - F.coalesce("copies", F.lit(0)) + F.coalesce("groups", F.lit(0))
+    return (counted.filter((F.col("n") >= min_pages) & (F.col("n") > ratio * all_groups))
             .groupBy("site").agg(F.collect_list("line").alias("lines")))
 
 
@@ -66,24 +67,28 @@ def drop_lines(docs: DataFrame, text: str = "text", host: str | Column = "source
     A line is trimmed of spaces before it is compared; blank lines are never
     counted or dropped.  It is dropped (all its occurrences) if it stands on
     more than ``ratio`` and at least ``min_pages`` of the site's distinct
-    pages, where a group of near copies counts once.  Rows without a site form one site of their own.  A null text stays
-    null and counts as an empty page; repeated rows are cleaned alike; a text
-    of boilerplate alone becomes ''.  Other columns are passed on, whatever
-    their names; ``n_lines`` and ``n_dropped`` replace columns so called.
+    pages, where a group of near copies counts once.  Rows without a site form
+    one site of their own.  A null text stays null and counts as an empty
+    page; repeated rows are cleaned alike; of equally rare lines the one with
+    the smaller md5 names a group; very long texts are read whole; a text of
+    boilerplate alone becomes ''; an empty table gives no row.  Other columns
+    are passed on, whatever their names; ``n_lines`` and ``n_dropped`` replace
+    columns so called, in upper or lower case.
     """
     where = F.col(host) if isinstance(host, str) else host
     found = written(docs.sparkSession, boilerplate(docs, where, F.col(text), ratio, min_pages), "boilerplate")
-    found = found.select(F.col("site").alias("__site"), F.col("lines").alias("__drop"))
-    rows = docs.withColumn("__site", F.coalesce(where, F.lit(""))).withColumn("__all", F.split(F.col(text), "\n"))
-    rows = rows.join(found, "__site", "left")
-    kept = F.when(F.col("__drop").isNull(), F.col("__all")).otherwise(F.filter(
-        "__all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _line_key(F.trim(x)))))
-    rows = rows.withColumn("__kept", kept)
-    old = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return rows.select(
-        *[F.when(F.col(text).isNotNull(), F.concat_ws("\n", "__kept")).alias(c) if c == text else F.col(f"`{c}`") for c in old],
-        F.coalesce(F.size("__all"), F.lit(0)).alias("n_lines"),
-        (F.coalesce(F.size("__all"), F.lit(0)) - F.coalesce(F.size("__kept"), F.lit(0))).alias("n_dropped"))
+    mark = "_"  # begins the names of helper columns, which no column of docs does
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    site, drop, lines, kept = (f"{mark}{c}" for c in ("site", "drop", "all", "kept"))
+    rows = docs.withColumns({site: F.coalesce(where, F.lit("")), lines: F.split(F.col(text), "\n")})
+    rows = rows.join(found.select(F.col("site").alias(site), F.col("lines").alias(drop)), site, "left")
+    rows = rows.withColumn(kept, F.when(F.col(drop).isNull(), F.col(lines)).otherwise(F.filter(
+        lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(drop), _line_key(F.trim(x))))))
+    old = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    n_lines, n_kept = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(kept), F.lit(0))
+    return rows.select(*[F.when(F.col(text).isNotNull(), F.concat_ws("\n", kept)).alias(c) if c == text else F.col(f"`{c}`") for c in old],
+                       n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
 
 
 @register(sql=f"""
@@ -93,9 +98,23 @@ lines AS (
   SELECT DISTINCT site, text, trim(l, ' ') AS line
   FROM (SELECT site, text, unnest(string_split(text, chr(10))) AS l FROM pages) WHERE trim(l, ' ') <> ''),
 sizes AS (SELECT site, count(*) AS pages FROM pages GROUP BY site),
-bad AS (
-  SELECT site, line FROM lines JOIN sizes USING (site)
+often AS (
+  SELECT site, line, count(*) AS n, pages FROM lines JOIN sizes USING (site)
   GROUP BY site, line, pages HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * pages),
+held AS (
+  SELECT site, text, count(*) AS own, sum(length(line)) AS chars, count(n) AS shared, coalesce(sum(CASE WHEN n IS NOT NULL THEN length(line) END), 0) AS shared_chars,
+    min(CASE WHEN n IS NOT NULL THEN {{'n': n, 'k': md5(line)}} END) AS rarest
+  FROM lines LEFT JOIN often USING (site, line) GROUP BY site, text),
+grouped AS (
+  SELECT site, text, CASE WHEN shared > 0 AND 5*shared >= 4*own AND 5*shared_chars >= 4*chars THEN rarest.k END AS grp FROM held),
+groups AS (
+  SELECT site, count(*) AS copies, count(DISTINCT grp) AS groups FROM grouped WHERE grp IS NOT NULL GROUP BY site),
+counted AS (
+  SELECT DISTINCT site, line, pages, grp, CASE WHEN grp IS NULL THEN text END AS text
+  FROM lines JOIN often USING (site, line) JOIN grouped USING (site, text)),
+bad AS (
+  SELECT site, line FROM counted LEFT JOIN groups USING (site) GROUP BY site, line, pages, copies, groups
+  HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * (pages - coalesce(copies, 0) + coalesce(groups, 0))),
 cut AS (
   SELECT d.doc_id, d.text, list_filter(string_split(d.text, chr(10)),
       lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(b.lines, []), trim(x, ' '))) AS kept,
