@@ -29,31 +29,18 @@ KEY_AXES = 3
 
 def _boxes(spots: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
     """Weight and tight bounds of the points of each group."""
-    return spots.groupBy(*keys).agg(F.sum("n").alias("n"), F.array(*[F.min(F.get("lo", F.lit(i))) for i in range(d)]).alias("lo"),
-                                    F.array(*[F.max(F.get("hi", F.lit(i))) for i in range(d)]).alias("hi"))
-
-
-def _sum(parts: list[Column]) -> Column:
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
+    return spots.groupBy(*keys).agg(F.sum("n").alias("n"), F.expr(f"array({', '.join(f'min(get(lo, {i}))' for i in range(d))})").alias("lo"),
+                                    F.expr(f"array({', '.join(f'max(get(hi, {i}))' for i in range(d))})").alias("hi"))
 
 
 def _verdict(d: int, eps: float) -> Column:
     """TRUE if all points of two boxes are neighbours, FALSE if none is, NULL if that is open."""
-    def axis(side: str, bound: str, i: int) -> Column:
-        return F.get(F.col(f"{bound}_{side}"), F.lit(i))
-
-    near, far = [], []
-    for i in range(d):
-        low, high = axis("a", "lo", i) - axis("b", "hi", i), axis("b", "lo", i) - axis("a", "hi", i)
-        gap = F.greatest(low, high, F.lit(0.0))
-        near.append(gap * gap)
-        reach = F.greatest(-low, -high)
-        far.append(reach * reach)
-    limit = F.lit(float(eps) * float(eps))
-    return F.when(_sum(far) <= limit, True).when(_sum(near) > limit, False)
+    low = [f"(get(lo_a, {i}) - get(hi_b, {i}))" for i in range(d)]
+    high = [f"(get(lo_b, {i}) - get(hi_a, {i}))" for i in range(d)]
+    far = " + ".join(f"power(greatest(-{x}, -{y}), 2)" for x, y in zip(low, high, strict=True))
+    near = " + ".join(f"power(greatest({x}, {y}, 0D), 2)" for x, y in zip(low, high, strict=True))
+    limit = f"power({float(eps)!r}D, 2)"
+    return F.expr(f"CASE WHEN {far} <= {limit} THEN true WHEN {near} > {limit} THEN false END")
 
 
 def _side(df: DataFrame, side: str, *keep: str) -> DataFrame:
@@ -64,7 +51,7 @@ def _neighbour_cells(cells: DataFrame, others: DataFrame, d: int, eps: float) ->
     """(cell_a, cell_b, open) of different cells whose boxes come within eps; ``open`` unless all their points are neighbours."""
     axes, r = min(d, KEY_AXES), math.ceil(math.sqrt(d))
     steps = [o for o in itertools.product(range(-r, r + 1), repeat=axes) if sum(max(0, abs(s) - 1) ** 2 for s in o) <= d]
-    offsets = F.array(*[F.array(*[F.lit(s) for s in o]) for o in steps])
+    offsets = F.expr("array(" + ", ".join(f"array({', '.join(map(str, o))})" for o in steps) + ")")
     key = F.slice("cell", 1, axes)
     a = cells.withColumn("o", F.explode(offsets)).select(F.col("cell").alias("cell_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"),
                                                          F.zip_with(key, "o", lambda c, s: c + s).alias("k"))
@@ -102,10 +89,8 @@ def density_clusters(points: DataFrame, key: str, cols: Sequence[str], eps: floa
     # a hair less than eps / sqrt(d), so that rounding never puts two points of a cell out of reach
     side = float(eps) / math.sqrt(d) * (1 - 1e-9)
     v = F.array(*[F.col(c).cast("double") for c in cols])
-    known = F.lit(True)
-    for c in cols:
-        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    own = temporary(spark, points.where(known).select(F.col(key).alias("key"), v.alias("lo")), "density-points")
+    own = points.select(F.col(key).alias("key"), v.alias("lo")).where(F.forall("lo", lambda c: c.isNotNull() & ~F.isnan(c)))
+    own = temporary(spark, own, "density-points")
     spots = own.groupBy("lo").agg(F.count("*").alias("n"), F.min("key").alias("first"))
     spots = spots.select(F.xxhash64("lo").alias("spot"), "first", "n", "lo", F.col("lo").alias("hi"),
                          F.transform("lo", lambda c: F.floor(c / side)).alias("cell"),
@@ -127,10 +112,11 @@ def density_clusters(points: DataFrame, key: str, cols: Sequence[str], eps: floa
     as_a = some.select("first_a", "lo_a", "hi_a", F.lit(0).alias("box_a"))
     boxes = temporary(spark, _boxes(spots, ["cell", "box"], d), "density-boxes")
     level_b = [_side(boxes, "b", "cell", "box", "n"), _side(spots, "b", "cell", "box", "n")]
+    open_pairs = temporary(spark, open_pairs, "density-open")
     more = _touching(open_pairs, [as_a, as_a], level_b, ["first_a"], d, eps).groupBy("first_a").agg(F.sum("n").alias("more"))
     counts = some.select("first_a", "n_cell").join(sure.select("first_a", "sure"), "first_a", "left").join(more, "first_a", "left")
     total = F.col("n_cell") + F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0))
-    core_few = counts.where(total >= min_samples).select(F.col("first_a").alias("first"))
+    core_few = temporary(spark, counts.where(total >= min_samples).select(F.col("first_a").alias("first")), "density-core-few")
     dense = cells.where(F.col("n") >= min_samples).select("cell")
     core = spots.join(dense, "cell", "left_semi").unionByName(few.drop("n_cell").join(core_few, "first", "left_semi"))
     core = temporary(spark, core, "density-core")
