@@ -14,18 +14,27 @@ from pyspark.sql import functions as F
 
 SEED = 42
 DEEPEST = 30  # the deepest trees that Spark grows
+#: Bound on the leaves of a tree: a leaf holds at least 1 / LEAVES of the rows, so the trees on the driver do not grow with the data.
+LEAVES = 512
+#: Rows keep their node of each tree from pass to pass, and a pass splits as many nodes as a gigabyte of statistics holds.
+GROWTH = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024, "seed": SEED}
 
 
 def fit_regressor(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10,
                   leaf: int = 5, prediction: str = "pred") -> PipelineModel:
-    """Forest over all features at each split."""
+    """Forest over all features at each split; leaves hold ``leaf`` rows, or more where LEAVES asks for it."""
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="features"),
         RandomForestRegressor(labelCol=label, predictionCol=prediction, numTrees=trees, maxDepth=depth,
-                              minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=SEED),
+                              minInstancesPerNode=leaf_rows(train, leaf), featureSubsetStrategy="all", **GROWTH),
     ]).fit(train)
 
 
+def leaf_rows(train: DataFrame, least: int) -> int:
+    """Rows that a leaf must hold."""
+    return max(least, -(-train.count() // LEAVES))
+
+
 def fit_classifier(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 12,
                    leaf: int = 2) -> PipelineModel:
     """Forest with classes in alphabetical order."""
@@ -33,7 +42,7 @@ def fit_classifier(train: DataFrame, features: Sequence[str], label: str, trees:
         StringIndexer(inputCol=label, outputCol="label_ix", stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(inputCols=list(features), outputCol="features"),
         RandomForestClassifier(labelCol="label_ix", predictionCol="pred_ix", numTrees=trees, maxDepth=depth,
-                               minInstancesPerNode=leaf, seed=SEED),
+                               minInstancesPerNode=leaf_rows(train, leaf), **GROWTH),
     ]).fit(train)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
@@ -140,8 +141,33 @@ def stratified_split(df: DataFrame, label: str, key: Column, test_share: float =
     return out.withColumn("es_test", F.col("__r") <= F.ceil(F.col("__n") * F.lit(test_share))).drop("__k", "__r", "__n")
 
 
+def _located(histogram: DataFrame, wanted: Column) -> DataFrame:
+    """One row (cut, rest) of (b, n, wanted): the bucket that holds the wanted rank, and the rank inside it.
+
+    The buckets, a fixed number of days or of minutes, are summed up inside one array.
+    """
+    row = histogram.groupBy().agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("all"), F.max(wanted).alias("w"))
+    return row.select(F.expr("""aggregate(all, struct(cast(null AS timestamp_ntz) AS cut, w AS rest), (a, x) -> CASE
+        WHEN a.cut IS NOT NULL THEN a WHEN a.rest <= x.n THEN struct(x.b AS cut, a.rest AS rest) ELSE struct(a.cut AS cut, a.rest - x.n AS rest) END)""").alias("c")).select("c.*")
+
+
 def temporal_split(df: DataFrame, ts: str, tie: Sequence[str], train_share: float = 0.8) -> DataFrame:
-    """Adds ``es_test``: all but the first int(share x n) rows by time."""
-    ranked = row_numbers(df, [], F.date_trunc("minute", ts), [F.col(ts).asc_nulls_last(), *[F.col(c).asc() for c in tie]], "__r")
-    out = attach_row(ranked, df.agg(F.count("*").alias("__n")))
-    return out.withColumn("es_test", F.col("__r") > F.floor(F.col("__n") * F.lit(train_share))).drop("__r", "__n")
+    """Adds ``es_test``: all but the first int(share x n) rows by time (NULL last) and ``tie``.
+
+    The cut is located among days, then among the minutes of its day; only
+    rows of one minute are ever ranked.
+    """
+    at = F.coalesce(F.col(ts).cast("timestamp_ntz"), F.lit("9999-12-31").cast("timestamp_ntz"))
+    day, minute = F.date_trunc("day", at).cast("timestamp_ntz"), F.date_trunc("minute", at).cast("timestamp_ntz")
+    keyed = df.withColumns({"__day": day, "__minute": minute})
+    days = keyed.groupBy(F.col("__day").alias("b")).agg(F.count("*").alias("n"))
+    total = days.agg(F.floor(F.sum("n") * F.lit(train_share)).cast("long").alias("w"))
+    first = _located(attach_row(days, total), F.col("w")).select(F.col("cut").alias("__d"), F.col("rest").alias("__r"))
+    keyed = attach_row(keyed, first)
+    inside = keyed.where("__day = __d").groupBy(F.col("__minute").alias("b")).agg(F.count("*").alias("n"), F.max("__r").alias("w"))
+    second = _located(inside, F.col("w")).select(F.col("cut").alias("__m"), F.col("rest").alias("__rest"))
+    keyed = attach_row(keyed, second)
+    order = W.partitionBy("__minute").orderBy(F.col(ts).asc_nulls_last(), *[F.col(c).asc() for c in tie])
+    apart = keyed.where("__minute <> __m").withColumn("es_test", F.col("__minute") > F.col("__m"))
+    last = keyed.where("__minute = __m").withColumn("es_test", F.row_number().over(order) > F.col("__rest"))
+    return apart.unionByName(last).drop("__day", "__minute", "__d", "__r", "__m", "__rest")

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -228,3 +228,29 @@ def test_stored_scaler_scores_as_before(spark, tmp_path):
     rows = spark.createDataFrame([("x", "x", "y"), ("y", "y", "y")], "t string, a string, b string")
     [k] = as_dicts(metrics.compare_classifiers(rows, "t", "a", "b"))
     assert (k["exactitud_nuevo"], k["exactitud_guardado"], k["exactitud_delta"]) == (1.0, 0.5, 0.5)
+
+
+def test_temporal_split_is_the_sorted_prefix(spark):
+    r = random.Random(1)
+    rows = [(i, None if r.random() < 0.05 else datetime(2024, 1, 1) + timedelta(seconds=r.choice([0, 30, 60, 3600, 86400]) * r.randint(0, 40)), r.randint(0, 3))
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp_ntz, t int")
+    order = sorted(rows, key=lambda x: (x[1] is None, x[1] or 0, x[2], x[0]))
+    for share in (0.8, 0.0, 1.0, 0.97, 0.3):
+        got = {x["id"]: x["es_test"] for x in f.temporal_split(df, "ts", ["t", "id"], share).collect()}
+        assert got == {x[0]: i >= int(300 * share) for i, x in enumerate(order)}
+    assert f.temporal_split(df.where("false"), "ts", ["id"]).count() == 0
+
+
+def test_temporal_split_ranks_rows_of_one_minute_only(spark):
+    df = spark.createDataFrame([(1, datetime(2024, 1, 1))], "id int, ts timestamp_ntz")
+    plan = f.temporal_split(df, "ts", ["id"])._jdf.queryExecution().analyzed().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert windows and all("[__minute" in line for line in windows)
+
+
+def test_forest_leaves_are_bounded(spark):
+    rows = spark.range(3000).selectExpr("cast(id as double) AS x", "rand(1) AS y")
+    assert forest.leaf_rows(rows, 1) == 6 and forest.leaf_rows(rows, 50) == 50 and forest.leaf_rows(rows.limit(10), 1) == 1
+    model = forest.fit_regressor(rows, ["x"], "y", trees=2, depth=forest.DEEPEST, leaf=1)
+    assert all(t.numNodes <= 2 * forest.LEAVES for t in model.stages[-1].trees)
