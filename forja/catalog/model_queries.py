@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from forja.catalog import inputs as i
 from forja.catalog.base import register
-from forja.catalog.feature_queries import MACH
+from forja.catalog.feature_queries import MACH, state_sql
 from forja.catalog.feature_queries import features as scrap_rows
 from forja.catalog.feature_queries import order_times, weeks
 from forja.catalog.route_queries import changes
 from forja.ml import cluster as c
-from forja.ml import density, forest, linear, metrics, store
+from forja.ml import density, forest, linear, metrics, micro, store
 from forja.plans import features as f
 from forja.plans.tooling import next_change
 from forja.session import shared_dir
@@ -76,6 +76,30 @@ def m4(spark, sf):
     return c.fit_hierarchical(points, 3).transform(points).select("machine_name", *f.CLUSTER_FEATURES, "cluster")
 
 
+@register("M4_agglomerative")
+def m4b(spark, sf):
+    """The hierarchy from below (Ward), cut at three groups."""
+    points = metrics.standardise(machines(spark, sf).dropna(subset=list(f.CLUSTER_FEATURES)), f.CLUSTER_FEATURES)
+    return micro.fit_agglomerative(points, [f"z_{n}" for n in f.CLUSTER_FEATURES], 3).select("machine_name", *f.CLUSTER_FEATURES, "cluster")
+
+
+ZDIST = "sqrt(" + " + ".join(f"(a.z_{n} - b.z_{n})*(a.z_{n} - b.z_{n})" for n in f.CLUSTER_FEATURES) + ")"
+
+
+@register("M5_silhouette_euclidean", ("ops",), MACH + f""", mm AS (SELECT *, {state_sql()} AS cluster FROM met WHERE total_dur > 0 AND """ + " AND ".join(f"{n} IS NOT NULL" for n in f.CLUSTER_FEATURES) + """),
+    st AS (SELECT """ + ", ".join(f"avg({n}) AS a_{n}, CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1 END AS d_{n}" for n in f.CLUSTER_FEATURES) + """ FROM mm),
+    z AS (SELECT machine_name, cluster, """ + ", ".join(f"({n} - a_{n})/d_{n} AS z_{n}" for n in f.CLUSTER_FEATURES) + f""" FROM mm, st),
+    d AS (SELECT a.machine_name, a.cluster AS c0, b.cluster AS c1, sum({ZDIST}) AS s, count(*) AS n FROM z a, z b GROUP BY 1, 2, 3),
+    ab AS (SELECT machine_name, max(CASE WHEN c0 = c1 THEN n END) AS n0, max(CASE WHEN c0 = c1 AND n > 1 THEN s/(n-1) END) AS a,
+      min(CASE WHEN c0 <> c1 THEN s/n END) AS b FROM d GROUP BY 1)
+    SELECT round(avg(CASE WHEN n0 = 1 THEN 0 ELSE coalesce((b-a)/nullif(greatest(a, b), 0), 0) END), 5) AS silhouette FROM ab WHERE b IS NOT NULL""")
+def m5b(spark, sf):
+    """Machines by their state; with up to about micro.CELLS machines exact, beyond that within the bound of the same row."""
+    points = f.with_state(machines(spark, sf).dropna(subset=list(f.CLUSTER_FEATURES))).withColumnRenamed("estado", "cluster")
+    points = metrics.standardise(points, f.CLUSTER_FEATURES)
+    return i.rounded(micro.silhouette_euclidean(points, [f"z_{n}" for n in f.CLUSTER_FEATURES], noise=None).select("silhouette"), 5)
+
+
 @register("M8_k_sweep")
 def m8(spark, sf):
     return c.sweep(c.scaled_points(machines(spark, sf)))
