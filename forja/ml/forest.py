@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -23,11 +23,20 @@ GROWTH = {"cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024,
 def fit_regressor(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10,
                   leaf: int = 5, prediction: str = "pred") -> PipelineModel:
     """Forest over all features at each split; leaves hold ``leaf`` rows, or more where LEAVES asks for it."""
-    return Pipeline(stages=[
+    return _fitted(train, leaf, lambda rows: [
         VectorAssembler(inputCols=list(features), outputCol="features"),
         RandomForestRegressor(labelCol=label, predictionCol=prediction, numTrees=trees, maxDepth=depth,
-                              minInstancesPerNode=leaf_rows(train, leaf), featureSubsetStrategy="all", **GROWTH),
-    ]).fit(train)
+                              minInstancesPerNode=rows, featureSubsetStrategy="all", **GROWTH),
+    ])
+
+
+def _fitted(train: DataFrame, leaf: int, stages: Callable[[int], list]) -> PipelineModel:
+    """Fits the stages for the rows that a leaf must hold; the training rows are computed once for all passes."""
+    train = train.persist()
+    try:
+        return Pipeline(stages=stages(leaf_rows(train, leaf))).fit(train)
+    finally:
+        train.unpersist()
 
 
 def leaf_rows(train: DataFrame, least: int) -> int:
@@ -38,12 +47,12 @@ def leaf_rows(train: DataFrame, least: int) -> int:
 def fit_classifier(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 12,
                    leaf: int = 2) -> PipelineModel:
     """Forest with classes in alphabetical order."""
-    return Pipeline(stages=[
+    return _fitted(train, leaf, lambda rows: [
         StringIndexer(inputCol=label, outputCol="label_ix", stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(inputCols=list(features), outputCol="features"),
         RandomForestClassifier(labelCol="label_ix", predictionCol="pred_ix", numTrees=trees, maxDepth=depth,
-                               minInstancesPerNode=leaf_rows(train, leaf), **GROWTH),
-    ]).fit(train)
+                               minInstancesPerNode=rows, **GROWTH),
+    ])
 
 
 def classes(model: PipelineModel) -> list[str]:
