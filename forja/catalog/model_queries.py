@@ -15,13 +15,14 @@ from forja.ml import density, forest, linear, metrics, micro, store
 from forja.plans import features as f
 from forja.plans.tooling import next_change
 from forja.session import shared_dir
+from forja.staging import fingerprint
 
 _fitted: dict[tuple[str, str, str], object] = {}
 
 
 def once(spark, sf, name, build):
-    """Fitted model kept for the application: several queries use it."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """Fitted model kept for the application and the state of the sources: several queries use it."""
+    key = (spark.sparkContext.applicationId, fingerprint(spark, sf), name)
     if key not in _fitted:
         _fitted[key] = build()
     return _fitted[key]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from forja import views
+from forja import schemas, views
 from forja.catalog import inputs as i
 from forja.catalog.base import register
 from forja.functions import scalar as x
@@ -175,10 +175,13 @@ def a42(spark, sf):
     return i.rounded(p.op_pivots(life(spark, sf), views.PHASES))
 
 
-@register("K15_model_table", FLOW_T, FLOW + f"""
+MODEL_SQL = FLOW + f"""
   SELECT v.work_order_id, ref_id_str, cantidad_lanzada, cantidad_final_ok, scrap_total, tiempo_total_min, primera_fase_ts, ultima_fase_ts,
     round(fabricacion_duracion_min, 6) AS y_fabricacion_min, incidencias_duracion_total, {METRICS},
-    s.* EXCLUDE (work_order_id), q.* EXCLUDE (work_order_id) FROM vida v LEFT JOIN {OPS_SUM} s USING (work_order_id) LEFT JOIN {PIVOT} q USING (work_order_id)""")
+    s.* EXCLUDE (work_order_id), q.* EXCLUDE (work_order_id) FROM vida v LEFT JOIN {OPS_SUM} s USING (work_order_id) LEFT JOIN {PIVOT} q USING (work_order_id)"""
+
+
+@register("K15_model_table", FLOW_T, MODEL_SQL)
 def k15(spark, sf):
     return i.rounded(p.model_table(life(spark, sf), views.PHASES))
 
@@ -348,6 +351,45 @@ def s12(spark, sf):
         "work_order_id", "cantidad_lanzada", "scrap_total", "primera_fase_ts", "ultima_fase_ts", F.size("operaciones").alias("operaciones"))
 
 
+@register("S11_order_life_scan", FLOW_T, FLOW + """, doc AS (
+    SELECT CAST(work_order_id AS BIGINT) % 50 AS r, cantidad_lanzada, n FROM vida JOIN (SELECT work_order_id, count(*) AS n FROM flow GROUP BY 1) USING (work_order_id))
+  SELECT CASE r WHEN 0 THEN 'ilegible' WHEN 1 THEN 'tipo' WHEN 2 THEN 'sin_of' WHEN 3 THEN 'sin_operaciones' END AS motivo,
+    count(*) AS documentos, CAST(sum(CASE WHEN r NOT IN (0, 3) THEN n ELSE 0 END) AS BIGINT) AS operaciones,
+    round(coalesce(sum(CASE WHEN r > 0 THEN cantidad_lanzada END), 0), 6) AS lanzadas FROM doc GROUP BY 1""")
+def s11(spark, sf):
+    """Order documents of which some are cut off, hold text for a number, or lack id or operations, scanned and quarantined."""
+    rest = F.pmod(F.col("work_order_id").cast("long"), F.lit(50))
+    docs = life(spark, sf).select(rest.alias("r"), *schemas.ORDER_LIFE.names)
+    docs = docs.withColumns({"work_order_id": F.when(F.col("r") != 2, F.col("work_order_id")),
+                             "operaciones": F.when(F.col("r") != 3, F.col("operaciones"))})
+    line = F.to_json(F.struct(*schemas.ORDER_LIFE.names), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"})
+    line = F.when(F.col("r") == 0, F.substr(line, F.lit(1), F.length(line) - 1)).when(
+        F.col("r") == 1, F.regexp_replace(line, r'"scrap_total":[^,}]*', '"scrap_total":"n/a"')).otherwise(line)
+    path = f"{out_dir(spark, sf)}/of_vida_sucia"
+    docs.select(line.alias("value")).write.mode("overwrite").text(path)
+    scanned = files.scan_order_life(spark, path, f"{path}_leida")
+    return i.rounded(scanned.groupBy("motivo").agg(
+        F.count("*").alias("documentos"), F.sum(F.greatest(F.coalesce(F.size("operaciones"), F.lit(0)), F.lit(0))).alias("operaciones"),
+        x.sum0("cantidad_lanzada").alias("lanzadas")))
+
+
+@register("S13_model_orders_csv", FLOW_T, MODEL_SQL)
+def s13b(spark, sf):
+    """The model-ready orders written as CSV and read back by name and type."""
+    path = f"{out_dir(spark, sf)}/of_modelo_csv"
+    rows = k15(spark, sf)
+    files.write_csv(rows, path)
+    return files.read_csv(spark, path, rows.schema)
+
+
+@register("A42_operation_totals", FLOW_T, FLOW + """
+  SELECT work_order_id, fase AS op, sum(mins) AS duracion_min, sum(scrap) AS piezas_scrap,
+    round(sum(mins)/nullif(max(lanzadas), 0), 6) AS min_por_ud FROM flow GROUP BY 1, 2""")
+def a42b(spark, sf):
+    """The pivots in long form, which needs no list of operations."""
+    return i.rounded(p.operation_totals(life(spark, sf)), 6)
+
+
 @register("S13_tool_changes_csv", ("ops",), CUT + """
   SELECT CAST(machine_id AS VARCHAR) AS machine_id, machine_name, ts_cambio, piezas_hasta_cambio, scrap_hasta_cambio, duracion_cambio_min, ops_hasta_cambio FROM ch""")
 def s13(spark, sf):

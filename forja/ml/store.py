@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -30,22 +31,41 @@ def scaled_model(stats: DataFrame, cols: Sequence[str], *stages: Transformer, as
 def list_models(spark: SparkSession, root: str) -> DataFrame:
     """Stored models with features, classes and metrics."""
     try:
-        return spark.read.schema(SCHEMA).json(f"{root}/_models")
+        return spark.read.schema(SCHEMA).option("recursiveFileLookup", True).json(f"{root}/_models")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], SCHEMA)
 
 
+def _claim(spark: SparkSession, root: str, name: str, version: int) -> bool:
+    """Whether this caller now owns the version: its claim file is created only if it is absent."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_claims/{name}/{version}")
+    try:
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False).close()
+    except Py4JJavaError as e:
+        if not e.java_exception.getClass().getSimpleName().endswith("FileAlreadyExistsException"):
+            raise
+        return False
+    return True
+
+
 def save_model(spark: SparkSession, root: str, name: str, model: PipelineModel, features: Sequence[str],
                metrics: Mapping[str, float], classes: Sequence[str] = (), kind: str = "") -> int:
-    """Writes the next version of ``name`` and its row; returns the version."""
+    """Writes the next free version of ``name``, then its row; returns the version.
+
+    A version belongs to who creates its claim file (atomic on file systems
+    with exclusive creation, as Hadoop's), so savers at the same time get
+    different ones; each row is a folder of its own.  A saver that dies leaves its version unlisted.
+    """
     last = list_models(spark, root).where(F.col("name") == name).agg(F.max("version").alias("v")).first()["v"]
     version = (last or 0) + 1
+    while not _claim(spark, root, name, version):
+        version += 1
     path = f"{root}/{name}/{version}"
     model.write().overwrite().save(path)
     row = (name, version, kind, list(features), list(classes), {k: float(v) for k, v in metrics.items()}, path)
-    spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").json(f"{root}/_models")
+    spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("overwrite").json(f"{root}/_models/{name}-{version}")
     return version
 
 

@@ -249,9 +249,32 @@ def op_summary(life: DataFrame) -> DataFrame:
     return life.where(F.size("operaciones") > 0).select("work_order_id", *[c.alias(n) for n, c in summary_columns().items()])
 
 
+#: Most operations that may become columns; more are an error, never a cut.
+MOST_OPERATIONS = 256
+
+
 def operations_of(life: DataFrame) -> list[str]:
-    """The operations that occur, sorted: a catalogue of phases."""
-    return sorted(r[0] for r in life.select(F.explode("operaciones.op").alias("op")).where("op IS NOT NULL").distinct().collect())
+    """The operations that occur, sorted: a catalogue of phases.
+
+    More than ``MOST_OPERATIONS`` raise a ValueError: such data need the
+    caller's own list, or ``operation_totals``, which has no columns by name.
+    """
+    names = life.select(F.explode("operaciones.op").alias("op")).where("op IS NOT NULL").distinct()
+    found = [r[0] for r in names.limit(MOST_OPERATIONS + 1).collect()]
+    if len(found) > MOST_OPERATIONS:
+        raise ValueError(f"over {MOST_OPERATIONS} operations: pass a list of them or use operation_totals")
+    return sorted(found)
+
+
+def operation_totals(life: DataFrame) -> DataFrame:
+    """Minutes, minutes per unit and scrap by (order, operation): the pivots in long form, for any number of operations."""
+    unit = F.nullif(F.col("cantidad_lanzada"), F.lit(0.0))
+    names = F.array_distinct(F.transform("operaciones", lambda o: o["op"]))
+    each = F.transform(F.filter(names, lambda n: n.isNotNull()), lambda n: F.struct(
+        n.alias("op"), _total("duracion_min", lambda o: o["op"] == n).alias("duracion_min"),
+        _total("piezas_scrap", lambda o: o["op"] == n).alias("piezas_scrap")))
+    rows = life.select("work_order_id", unit.alias("unidades"), F.explode(each).alias("t")).select("work_order_id", "unidades", "t.*")
+    return rows.withColumn("min_por_ud", F.col("duracion_min") / F.col("unidades")).drop("unidades")
 
 
 def pivot_columns(ops: Sequence[str]) -> dict[str, Column]:

@@ -77,6 +77,38 @@ def read_order_life(spark: SparkSession, path: str, multiline: bool = False) ->
     return spark.read.schema(schemas.ORDER_LIFE).json(path, multiLine=multiline)
 
 
+def scan_order_life(spark: SparkSession, path: str, out: str, multiline: bool = False) -> DataFrame:
+    """Order documents with ``archivo``, ``registro`` and ``motivo``, stored under ``out`` in a folder per reason.
+
+    ``motivo`` is NULL for a sound document, else ``ilegible`` (no JSON, or a
+    JSON array file broken anywhere), ``tipo`` (a field of another type: that
+    field is NULL, the others are read), ``sin_of`` (no order id) or
+    ``sin_operaciones``.  ``registro`` is the text of a document that could not
+    be read in full.  A bad document never fails the scan.  The documents are
+    parsed once, with all their fields: a reader that skips a field would not
+    see that it is bad.
+    """
+    schema = T.StructType([*schemas.ORDER_LIFE.fields, T.StructField("registro", T.StringType(), True)])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "registro").json(path, multiLine=multiline)
+    known = F.trim(F.coalesce("work_order_id", F.lit(""))) != ""
+    rows = rows.select("*", F.col("_metadata.file_path").alias("archivo")).withColumn(
+        "motivo",
+        F.when(F.col("registro").isNotNull() & ~known, "ilegible").when(F.col("registro").isNotNull(), "tipo")
+        .when(~known, "sin_of").when(F.coalesce(F.size("operaciones"), F.lit(0)) <= 0, "sin_operaciones"))
+    rows.write.mode("overwrite").partitionBy("motivo").parquet(out)
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def sound_order_life(scanned: DataFrame) -> DataFrame:
+    """The sound documents of ``scan_order_life``."""
+    return scanned.where(F.col("motivo").isNull()).select(*schemas.ORDER_LIFE.names)
+
+
+def quarantine(scanned: DataFrame) -> DataFrame:
+    """The bad documents of ``scan_order_life`` with all that was read of them."""
+    return scanned.where(F.col("motivo").isNotNull())
+
+
 def write_order_life(life: DataFrame, path: str) -> None:
     """One JSON document per order and line; times in ISO form."""
     life.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").option(

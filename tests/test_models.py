@@ -254,3 +254,17 @@ def test_forest_leaves_are_bounded(spark):
     assert forest.leaf_rows(rows, 1) == 6 and forest.leaf_rows(rows, 50) == 50 and forest.leaf_rows(rows.limit(10), 1) == 1
     model = forest.fit_regressor(rows, ["x"], "y", trees=2, depth=forest.DEEPEST, leaf=1)
     assert all(t.numNodes <= 2 * forest.LEAVES for t in model.stages[-1].trees)
+
+
+def test_savers_at_once_get_versions_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    points = cluster.scaled_points(machines(spark))
+    model = store.scaled_model(cluster.stats_of(machines(spark)), f.CLUSTER_FEATURES, cluster.fit_kmeans(points, 2, n_init=1))
+    root = str(tmp_path)
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: store.save_model(spark, root, "m", model, [str(n)], {}), range(4)))
+    assert sorted(got) == [1, 2, 3, 4]
+    stored = {r["version"]: r["features"] for r in store.list_models(spark, root).collect()}
+    assert stored == {v: [str(n)] for n, v in enumerate(got)}
+    assert store.save_model(spark, root, "other", model, [], {}) == 1

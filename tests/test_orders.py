@@ -127,3 +127,15 @@ def test_tool_changes_repeat_equal_rows_and_order_work_first(spark):
     rows = [cut(6, 8, 1.0, True), cut(6, 8, 1.0, True), cut(6, 8, 4.0), cut(6, 8, 4.0)]
     got = as_dicts(t.tool_changes(ops(spark, *rows)), "ops_hasta_cambio")
     assert [(r["piezas_hasta_cambio"], r["ops_hasta_cambio"]) for r in got] == [(1.0, 1), (9.0, 3)]
+
+
+def test_operations_as_columns_are_bounded(spark, monkeypatch):
+    schema = "work_order_id string, cantidad_lanzada double, operaciones array<struct<op string, duracion_min double, piezas_scrap double>>"
+    life = spark.createDataFrame([("A", 4.0, [("X", 1.0, 0.0), ("Y", 3.0, None), ("X", 1.0, 2.0), (None, 9.0, 9.0)]), ("B", 0.0, [("Z", 1.0, 1.0)]),
+                                  ("C", 1.0, []), ("D", 1.0, None)], schema)
+    assert p.operations_of(life) == ["X", "Y", "Z"]
+    monkeypatch.setattr(p, "MOST_OPERATIONS", 2)
+    with pytest.raises(ValueError, match="operation_totals"):
+        p.op_pivots(life)
+    assert sorted(map(tuple, p.operation_totals(life).collect())) == [
+        ("A", "X", 2.0, 2.0, 0.5), ("A", "Y", 3.0, None, 0.75), ("B", "Z", 1.0, 1.0, None)]

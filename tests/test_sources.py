@@ -144,3 +144,31 @@ def test_accented_minutes_only_in_production_kpis(spark):
     df = ops(spark, {"evento": "PRODUCCION"}, {"work_order_id": "B", "evento": "PRODUCCIÓN", "piezas_ok": 5.0}).withColumn("peso_neto_kg", F.lit(2.0))
     [k] = as_dicts(r.production_kpis(df))
     assert k["min_produccion"] == 60.0 and k["kg_ok"] == 30.0 and k["ordenes_activas"] == 2
+
+
+def test_order_documents_with_errors(spark, tmp_path):
+    good = '{"work_order_id":"A","cantidad_lanzada":5,"operaciones":[{"op":"CURV10","piezas_scrap":1}],"extra":[1]}'
+    lines = [good, good[:-1], good.replace('"cantidad_lanzada":5', '"cantidad_lanzada":"many"'), good.replace('"A"', '" "'),
+             '{"work_order_id":"B","operaciones":[]}', '{"work_order_id":"C"}', "no json", "[]", "{}"]
+    write(tmp_path, "vida.json", "\n".join(lines) + "\n\n")
+    got = files.scan_order_life(spark, str(tmp_path / "vida.json"), str(tmp_path / "out"))
+    assert sorted((r["motivo"] or "", r["work_order_id"] or "", r["registro"] is not None) for r in got.collect()) == sorted([
+        ("", "A", False), ("ilegible", "", True), ("tipo", "A", True), ("sin_of", " ", False), ("sin_operaciones", "B", False),
+        ("sin_operaciones", "C", False), ("ilegible", "", True), ("sin_of", "", False)])
+    [sound] = files.sound_order_life(got).collect()
+    assert (sound["cantidad_lanzada"], sound["operaciones"][0]["op"]) == (5.0, "CURV10")
+    bad = files.quarantine(got)
+    assert bad.count() == 7 and all(r["archivo"].endswith("vida.json") for r in bad.collect())
+    typed = bad.where("motivo = 'tipo'").first()
+    assert typed["cantidad_lanzada"] is None and typed["operaciones"][0]["op"] == "CURV10" and "many" in typed["registro"]
+
+
+def test_order_documents_as_one_array(spark, tmp_path):
+    one = '{"work_order_id":"%s",\n "operaciones":[{"op":"X"}]}'
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "a.json", "[" + ",".join(one % n for n in "AB") + "]")
+    write(tmp_path / "in", "b.json", "[" + one % "C" + ", {]")
+    write(tmp_path / "in", "c.json", "")
+    got = files.scan_order_life(spark, str(tmp_path / "in"), str(tmp_path / "out"), multiline=True)
+    assert {r["work_order_id"] for r in files.sound_order_life(got).collect()} == {"A", "B"}
+    assert [(r["motivo"], r["archivo"][-6:]) for r in got.where("motivo IS NOT NULL").collect()] == [("ilegible", "b.json")]
