@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forja.ml.metrics import scaler_stats, silhouette, standardise
+from forja.ml.metrics import scaler_stats, standardise
 from forja.operators.ordered import attach_row
 from forja.plans.features import CLUSTER_FEATURES
 
@@ -37,23 +38,112 @@ def fit_hierarchical(points: DataFrame, k: int):
     return BisectingKMeans(k=k, seed=SEED, predictionCol="cluster").fit(points)
 
 
+#: Rows of which the sweep draws its first centres; all rows take part in every round.
+START_ROWS = 4096
+
+
+def _first_centres(points: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int) -> list[tuple[int, int, list[list[float]]]]:
+    """(k, seed, centres) for every k and seed, spread out over at most START_ROWS rows (the first by a hash of their values)."""
+    z = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = points.select(z.alias("z")).orderBy(F.xxhash64("z"), "z").limit(START_ROWS).collect()
+    some = np.array([r["z"] for r in rows], dtype=float).reshape(len(rows), len(cols))
+    out = []
+    for k in ks:
+        for seed in range(n_init):
+            rng = np.random.default_rng([SEED, k, seed])
+            picked = [int(rng.integers(len(some)))]
+            near = ((some - some[picked[0]]) ** 2).sum(1)
+            while len(picked) < k:
+                total = near.sum()
+                picked.append(int(rng.choice(len(some), p=near / total) if total > 0 else rng.integers(len(some))))
+                near = np.minimum(near, ((some - some[picked[-1]]) ** 2).sum(1))
+            out.append((k, seed, some[picked].tolist()))
+    return out
+
+
+def _near(v: Column, centres: Column) -> Column:
+    """(squared distance, number) of the nearest centre, the first of equals."""
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(
+        F.aggregate(F.zip_with(v, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("c"))))
+
+
+def _assigned(points: DataFrame, cols: Sequence[str], models: dict[tuple[int, int], list[list[float]]], extra: Sequence[str] = ()) -> DataFrame:
+    """Every point once per model with its nearest centre; a model is k short vectors, so all of them are one broadcast row."""
+    spark = points.sparkSession
+    one = spark.createDataFrame([([(k, seed, c) for (k, seed), c in models.items()],)], "m array<struct<k int, seed int, centres array<array<double>>>>")
+    rows = attach_row(points.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"), *extra), one)
+    rows = rows.select("v", *extra, F.explode("m").alias("m"))
+    return rows.select("v", *extra, "m.k", "m.seed", _near(F.col("v"), F.col("m.centres")).alias("n")).select("v", *extra, "k", "seed", "n.d", "n.c")
+
+
+def fit_sweep(points: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int = 10, max_iter: int = 100,
+              tol: float = 1e-6) -> dict[int, tuple[float, list[list[float]]]]:
+    """k -> (cost, centres) of the best of ``n_init`` K-Means fits, all k and seeds moved by one job per round.
+
+    A round sends back one row per model and cluster, whatever the number of
+    points.  A model whose centres move by less than ``tol`` rests; an empty
+    cluster keeps its centre.  Rows with a NULL feature take no part.
+    """
+    points = points.dropna(subset=list(cols))
+    moving = {(k, seed): c for k, seed, c in _first_centres(points, cols, ks, n_init)}
+    resting = {}
+    for _ in range(max_iter):
+        if not moving:
+            break
+        sums = _assigned(points, cols, moving).groupBy("k", "seed", "c").agg(
+            *[F.avg(F.col("v")[j]).alias(f"m{j}") for j in range(len(cols))])
+        new = {m: [list(c) for c in cs] for m, cs in moving.items()}
+        for r in sums.collect():
+            new[r["k"], r["seed"]][r["c"]] = [r[f"m{j}"] for j in range(len(cols))]
+        still = {}
+        for m, cs in new.items():
+            moved = max(((np.array(cs) - np.array(moving[m])) ** 2).sum(1))
+            (still if moved > tol * tol else resting)[m] = cs
+        moving = still
+    resting |= moving
+    if not resting:
+        return {}
+    costs = _assigned(points, cols, resting).groupBy("k", "seed").agg(F.sum("d").alias("cost")).collect()
+    best = {}
+    for r in sorted(costs, key=lambda r: (r["k"], r["cost"], r["seed"])):
+        best.setdefault(r["k"], (float(r["cost"]), resting[r["k"], r["seed"]]))
+    return best
+
+
 def sweep(points: DataFrame, cols: Sequence[str] = CLUSTER_FEATURES, max_k: int = 10, n_init: int = 10) -> DataFrame:
-    """Cost and silhouette for k = 2..min(max_k, n-1); marks the best k.
+    """Cost and silhouette (squared distance) for k = 2..min(max_k, n-1); marks the best k, the smallest of equals.
 
-    One small row per k; the points are cached once for all fits.
+    All fits share their jobs, and so do the silhouettes: they need the size,
+    centre and mean squared norm of each cluster, which one job gathers for
+    every k.  The points are cached for the rounds.
     """
-    points = points.persist()
+    z = [f"z_{c}" for c in cols]
+    points = points.select(*z).persist()
     try:
         n = points.count()
-        rows = []
-        for k in range(2, min(max_k + 1, n)):
-            model = fit_kmeans(points, k, n_init)
-            s = silhouette(model.transform(points), [f"z_{c}" for c in cols], noise=None).first()["silhouette"]
-            rows.append((k, float(model.summary.trainingCost), s))
+        found = fit_sweep(points, z, range(2, min(max_k + 1, n)), n_init) if n > 2 else {}
+        if not found:
+            return points.sparkSession.createDataFrame([], "k int, coste double, silhouette double, mejor boolean")
+        rows = _assigned(points, z, {(k, 0): c for k, (_, c) in found.items()})
+        norm = F.aggregate(F.transform("v", lambda a: a * a), F.lit(0.0), lambda s, a: s + a)
+        per = rows.groupBy("k", "c").agg(
+            F.count("*").alias("n"), F.array(*[F.avg(F.col("v")[j]) for j in range(len(z))]).alias("m"), F.avg(norm).alias("q"))
+        # at most max_k rows of max_k clusters each
+        per = per.groupBy("k").agg(F.collect_list(F.struct("c", "n", "m", "q")).alias("cs"))
+        rows = rows.join(F.broadcast(per), "k").withColumn("norm", norm)
+
+        def far(c: Column) -> Column:
+            return F.col("norm") + c["q"] - 2 * F.aggregate(F.zip_with("v", c["m"], lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+
+        own = F.filter("cs", lambda x: x["c"] == F.col("c"))[0]
+        other = F.array_min(F.transform(F.filter("cs", lambda x: x["c"] != F.col("c")), far))
+        rows = rows.select("k", own["n"].alias("n"), (far(own) * own["n"] / F.nullif(own["n"] - 1, F.lit(0))).alias("a"), other.alias("b"))
+        s = F.when(F.col("n") == 1, 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+        marks = {r["k"]: r["s"] for r in rows.groupBy("k").agg(F.avg(F.when(F.col("b").isNotNull(), s)).alias("s")).collect()}
     finally:
         points.unpersist()
-    best = max((r for r in rows if r[2] is not None), key=lambda r: r[2], default=(None, 0, 0))[0]
-    data = [(k, cost, s, k == best) for k, cost, s in rows]
+    best = max((k for k in found if marks.get(k) is not None), key=lambda k: (marks[k], -k), default=None)
+    data = [(k, cost, marks.get(k), k == best) for k, (cost, _) in sorted(found.items())]
     return points.sparkSession.createDataFrame(data, "k int, coste double, silhouette double, mejor boolean")
 
 

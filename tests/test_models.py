@@ -170,6 +170,32 @@ def test_kmeans_sweep_and_assignment(spark):
     assert {r["cluster"] for r in cluster.fit_hierarchical(points, 2).transform(points).collect()} == {0, 1}
 
 
+def test_sweep_equals_single_fits(spark):
+    r = random.Random(3)
+    rows = [(x + r.gauss(0, 0.2), y + r.gauss(0, 0.2)) for x, y in [(0, 0), (4, 0), (0, 5), (6, 6)] for _ in range(40)]
+    rows += rows[:20]  # repeated points
+    points = spark.createDataFrame(rows, "z_a double, z_b double")
+    got = {x["k"]: x for x in as_dicts(cluster.sweep(points, ["a", "b"], max_k=6, n_init=5))}
+    assert sorted(got) == [2, 3, 4, 5, 6] and [k for k in got if got[k]["mejor"]] == [4]
+    for k, (cost, centres) in cluster.fit_sweep(points, ["z_a", "z_b"], [2, 4], n_init=5).items():
+        near = [min((sum((a - b) ** 2 for a, b in zip(p, c, strict=True)), i) for i, c in enumerate(centres)) for p in rows]
+        assert cost == pytest.approx(sum(d for d, _ in near)) == pytest.approx(got[k]["coste"])
+        for i, c in enumerate(centres):  # a fixed point: every centre is the mean of its points
+            own = [p for p, (_, j) in zip(rows, near, strict=True) if i == j]
+            assert c == pytest.approx([sum(v) / len(own) for v in zip(*own, strict=True)])
+        labelled = spark.createDataFrame([(*p, i) for p, (_, i) in zip(rows, near, strict=True)], "z_a double, z_b double, cluster int")
+        assert got[k]["silhouette"] == pytest.approx(metrics.silhouette(labelled, ["z_a", "z_b"], noise=None).first()[0])
+
+
+def test_sweep_of_few_or_equal_points(spark):
+    def swept(rows):
+        return as_dicts(cluster.sweep(spark.createDataFrame(rows, "z_a double"), ["a"], max_k=4, n_init=2), "k")
+
+    assert swept([]) == [] and swept([(1.0,), (2.0,)]) == []
+    same = swept([(1.0,)] * 6)
+    assert [(r["k"], r["coste"], r["silhouette"], r["mejor"]) for r in same] == [(k, 0.0, None, False) for k in (2, 3, 4)]
+
+
 def test_forests(spark):
     r = random.Random(9)
     rows = []
