@@ -50,6 +50,14 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def unused(df: DataFrame, name: str, *others: str) -> str:
+    """``name``, lengthened until no column of ``df`` and none of ``others`` has it in any case."""
+    taken = {c.lower() for c in (*df.columns, *others)}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo ``divisor``; a null key counts as ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % divisor

@@ -2,10 +2,12 @@
 
 Texts become arrays of words, these arrays of K-word hashes, and of every W
 neighbouring hashes the smallest is kept: a shared span of K + W - 1 words (the
-window) has the same fingerprint on both sides.  Fingerprints are joined; each
-hit gives an alignment of an item with a text, along which the words
-themselves are compared.  Texts are known by a content key, so copies are
-worked once and rows need no unique id.
+window) has the same fingerprint on both sides.  Fingerprints are joined; a hit
+at word p extends to the windows of the text around p, whose words are then
+compared with the distinct windows of the items.  So a text has one row per
+window near a hit, however often it or an item repeats itself and however many
+items share a passage.  Texts are known by a content key: copies are extended
+once and rows need no unique id.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forja.llm.common import documents, table, text_key, written
+from forja.llm.common import documents, table, text_key, unused, written
 from forja.llm.registry import register
 
 WINDOW = 10
@@ -24,6 +26,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are folded.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _POSITION = (1 << 31) - 1
+#: More than any window's number of words.
+_LENGTHS = 16
 
 
 def folded(text: Column) -> Column:
@@ -59,40 +63,40 @@ def fingerprints(df: DataFrame, keys: list[str], words: str) -> DataFrame:
     return step.select(*keys, F.col("f").bitwiseAND(F.lit(~_POSITION)).alias("gram"), F.col("f").bitwiseAND(F.lit(_POSITION)).cast("int").alias("pos"))
 
 
-def short_grams(df: DataFrame, keys: list[str], words: str, length: int) -> DataFrame:
-    """Every run of ``length`` words, for items shorter than a window."""
+def short_runs(df: DataFrame, keys: list[str], words: str, lengths: list[int]) -> DataFrame:
+    """``keys`` with ``n``, ``gram`` and ``pos`` of every run of each of the (at most WINDOW - 1) lengths, in one pass."""
     hashed = df.select(*keys, F.transform(words, lambda w: F.xxhash64(w)).alias("h"))
-    hashed = hashed.select(*keys, F.transform(
-        F.slice(F.sequence(F.lit(0), F.size("h")), 1, F.greatest(F.size("h") - length + 1, F.lit(0))),
-        lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, length)).alias("gram"), i.alias("pos"))).alias("g"))
-    return hashed.select(*keys, F.explode("g").alias("g")).select(*keys, "g.gram", "g.pos")
-
-
-def alignments(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """(key, item, shift) of the pairs that share a fingerprint; text word = item word + shift."""
-    long_items = items.filter(F.size("item_words") >= WINDOW)
-    sides = [(fingerprints(texts, ["key"], "words"), fingerprints(long_items, ["item"], "item_words"))]
-    # at most WINDOW - 1 lengths
-    for (length,) in items.filter(F.size("item_words") < WINDOW).select(F.size("item_words")).distinct().collect():
-        own = items.filter(F.size("item_words") == length)
-        sides.append((short_grams(texts, ["key"], "words", length), short_grams(own, ["item"], "item_words", length)))
-    found = None
-    for text_side, item_side in sides:
-        item_side = written(texts.sparkSession, item_side.withColumnRenamed("pos", "item_pos"), "fingerprints")
-        pairs = text_side.join(item_side, "gram").select("key", "item", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        found = pairs if found is None else found.unionByName(pairs)
+
+    def runs(n: int) -> Column:
+        places = F.slice(F.sequence(F.lit(0), F.size("h")), 1, F.greatest(F.size("h") - n + 1, F.lit(0)))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("h", i + 1, n)).alias("gram"), i.alias("pos")))
+
+    return hashed.select(*keys, F.explode(F.flatten(F.array(*[runs(n) for n in lengths]))).alias("g")).select(*keys, "g.n", "g.gram", "g.pos")
+
+
+def near_hits(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, n, pos): where a fingerprint of a text is one of a window's (``n`` is the window's number of words)."""
+    spark = texts.sparkSession
+    # at most WINDOW lengths
+    lengths = sorted(r[0] for r in windows.select("n").distinct().collect())
+    sides = []
+    if WINDOW in lengths:
+        grams = fingerprints(windows.filter(F.col("n") == WINDOW), [], "window").select(F.lit(WINDOW).alias("n"), "gram")
+        sides.append((fingerprints(texts, ["key"], "words").withColumn("n", F.lit(WINDOW)), grams))
+    short = [n for n in lengths if n < WINDOW]
+    if short:
+        own = windows.filter(F.col("n") < WINDOW).select(F.col("n"), F.xxhash64(F.transform("window", lambda w: F.xxhash64(w))).alias("gram"))
+        sides.append((short_runs(texts, ["key"], "words", short), own))
+    found = spark.createDataFrame([], "key binary, n int, pos int")
+    for text_side, grams in sides:
+        grams = written(spark, grams.distinct(), "fingerprints")
+        found = found.unionByName(text_side.join(grams, ["n", "gram"], "left_semi").select("key", "n", "pos"))
     return found.distinct()
 
 
-def _spans(words: Column, item_words: Column, shift: Column) -> Column:
-    """Windows (start, length) of the item that stand in the text along one alignment."""
-    length = F.least(F.size(item_words), F.lit(WINDOW))
-    equal = F.transform(item_words, lambda w, j: (
-        F.coalesce((shift + j < F.size(words)) & (F.get(words, shift + j) == w), F.lit(False))))
-    starts = F.sequence(F.lit(0), F.size(item_words) - length)
-    # an array of one element binds ``equal``, so that it is computed once and not for every start
-    hits = F.transform(F.array(equal), lambda e: F.filter(starts, lambda s: F.forall(F.slice(e, s + 1, length), lambda x: x)))
-    return F.transform(hits[0], lambda s: F.struct((s + shift).alias("start"), length.alias("length")))
+def _windows(words: Column, n: Column) -> Column:
+    """All windows (arrays of ``n`` words) of an array of at least ``n`` words."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda s: F.slice(words, s, n))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -101,37 +105,56 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     ``spans`` are the (start, length) word windows hit, ``item_ids`` the ids
     as sorted strings.  Null texts and texts without a word have no row; items
     without a word are left out; an item with a null id hits words but is not
-    listed; repeated items count once.
+    listed; repeated items and repeated texts count once.  Very long texts are
+    worked whole, in one row of at most one entry per word.
     """
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id).cast("string").alias("id"), word_array(F.col(item_text)).alias("item_words")).filter(F.size("item_words") > 0)
-    wanted = written(spark, wanted.distinct().select(F.xxhash64("id", F.lit("|"), F.concat_ws(" ", "item_words")).alias("item"), "id", "item_words"), "items")
+    wanted = wanted.distinct().withColumn("n", F.least(F.size("item_words"), F.lit(WINDOW)))
+    wanted = wanted.select("id", "n", F.explode(_windows(F.col("item_words"), F.col("n"))).alias("window"))
+    wanted = written(spark, wanted.select("id", "n", "window", F.array_join("window", " ").alias("g")).distinct(), "windows")
+    distinct = written(spark, wanted.select("n", "window", "g").distinct(), "distinct-windows")
     keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-    pairs = written(spark, alignments(keyed.select("key", word_array(F.col("text")).alias("words")), wanted), "alignments")
+    hits = written(spark, near_hits(keyed.select("key", word_array(F.col("text")).alias("words")), distinct), "near")
     # as many rows as texts with a shared fingerprint: never to be broadcast, however few they are here
-    grouped = (pairs.join(wanted, "item").groupBy("key")
-               .agg(F.collect_list(F.struct("id", "item_words", "shift")).alias("pairs"))).hint("merge")
-    rows = keyed.join(grouped, "key").select("key", word_array(F.col("text")).alias("words"), "pairs")
+    near = hits.groupBy("key").agg(F.collect_list(F.struct("n", "pos")).alias("near")).hint("merge")
+    texts = keyed.groupBy("key").agg(F.any_value("text").alias("text"))  # copies meet before they are shuffled
+    rows = texts.join(near, "key").select("key", word_array(F.col("text")).alias("words"), "near")
+    # a fingerprint may stand anywhere in a window but its last words; a short window begins where it hits
+    starts = F.array_distinct(F.flatten(F.transform("near", lambda h: F.transform(
+        F.sequence(F.when(h["n"] == WINDOW, F.greatest(h["pos"] - (SPREAD - 1), F.lit(0))).otherwise(h["pos"]), h["pos"]),
+        lambda s: s.cast("long") * _LENGTHS + h["n"]))))  # one number each, which Spark tells apart by hash
+    rows = rows.select("key", "words", starts.alias("starts"))
     rows = rows.select("key", F.explode(F.transform(
-        "pairs", lambda p: F.struct(p["id"].alias("id"), _spans(F.col("words"), p["item_words"], p["shift"]).alias("spans")))).alias("hit"))
-    hits = written(spark, rows.select("key", "hit.id", "hit.spans").filter(F.size("spans") > 0), "hits")
-    found = hits.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.collect_set("id")).alias("item_ids"))
+        F.transform("starts", lambda s: F.struct(F.floor(s / _LENGTHS).cast("int").alias("start"), (s % _LENGTHS).cast("int").alias("length"))),
+        lambda s: F.struct(s.alias("span"), F.when(
+            s["start"] + s["length"] <= F.size("words"),
+            F.array_join(F.slice("words", s["start"] + 1, s["length"]), " ")).alias("g")))).alias("w"))
+    exact = written(spark, rows.select("key", "w.span", "w.g").join(distinct.select("g"), "g", "left_semi"), "hits")
+    found = exact.groupBy("key").agg(F.collect_list("span").alias("spans"))
+    ids = exact.select("key", "g").distinct().join(wanted.filter("id IS NOT NULL").select("g", "id"), "g").select("key", "id").distinct()
+    ids = ids.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("item_ids"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))
-    return found.select("key", "spans", "item_ids", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
+    return found.join(ids, "key", "left").select(
+        "key", "spans", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
 
 
 def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without ``text`` (it is in the input) with n_words, n_hit, item_ids and spans of every row.
 
     One row per input row, repeated rows included; a null text has 0 words and
-    empty lists; with an empty benchmark nothing is hit.
+    empty lists; with an empty benchmark nothing is hit, and an empty table
+    stays empty.  Other columns are passed on, whatever their names, but for
+    the four that are new.
     """
+    key = unused(docs, "key", "n_words", "n_hit", "item_ids", "spans")
     found = written(docs.sparkSession, contamination(docs, items, text, item_id, item_text), "contaminated")
     new = ("n_words", "n_hit", "item_ids", "spans")
     rows = docs.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != text and c not in new], text_key(F.col(text)).alias("__key"),
+        *[F.col(f"`{c}`") for c in docs.columns if c != text and c not in new], text_key(F.col(text)).alias(key),
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
-    rows = rows.join(found.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    rows = rows.join(found.withColumnRenamed("key", key), key, "left").drop(key)
     none = F.array().cast("array<string>")
     return (rows.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
             .withColumn("item_ids", F.coalesce("item_ids", none))
@@ -139,9 +162,13 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in whose text no window of an item stands, with all their columns."""
-    found = written(docs.sparkSession, contamination(docs, items, text, item_id, item_text).select(F.col("key").alias("__key")), "contaminated")
-    return docs.withColumn("__key", text_key(F.col(text))).join(found, "__key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` in whose text no window of an item stands, with all their columns, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together.
+    """
+    key = unused(docs, "key")
+    found = written(docs.sparkSession, contamination(docs, items, text, item_id, item_text).select(F.col("key").alias(key)), "contaminated")
+    return docs.withColumn(key, text_key(F.col(text))).join(found, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 @register(sql=rf"""

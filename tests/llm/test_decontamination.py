@@ -40,3 +40,29 @@ def test_empty_tables_and_clean(spark):
     df = docs(spark, [(1, f"so {item} it is", "en", "s"), (2, "clean words", "en", "s"), (None, None, None, None)])
     kept = op.clean(df, spark.createDataFrame([(7, item)], ITEMS))
     assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2]
+
+
+def test_texts_and_items_that_repeat_themselves(spark):
+    """Linear in the words of the text, whatever the shifts of a periodic item."""
+    items = [(1, "the " * 200), (2, "a b " * 60), (3, "the the the")]
+    texts = ["the " * 20_000, "x " + "a b " * 3_000 + "y", "the the a b a b", "b a " * 8] + ["the " * 12] * 40
+    got = rows_of(spark, texts, items)
+    want = [(20_000, ["1", "3"]), (6_000, ["2"]), (0, []), (16, ["2"])] + [(12, ["1", "3"])] * 40
+    assert [(r["n_hit"], list(r["item_ids"])) for r in got] == want
+
+
+def test_a_passage_of_many_items(spark):
+    shared = " ".join(f"w{i}" for i in range(15))
+    items = [(i, f"{shared} own{i} " + " ".join(f"q{i}x{j}" for j in range(12))) for i in range(300)]
+    got = rows_of(spark, [f"before {shared} after", f"{shared} own7 q7x0", "w1 w2 w3 w4 w5 w6 w7 w8 w9"], items)
+    assert [(r["n_hit"], len(r["item_ids"])) for r in got] == [(15, 300), (17, 300), (0, 0)]
+    assert list(got[0]["item_ids"]) == sorted(str(i) for i in range(300))
+
+
+def test_columns_of_any_name(spark):
+    item = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(1, item, "a", "b", "c"), (2, "clean", "d", "e", "f")], "doc_id long, text string, key string, KEY_ string, __key string")
+    [row] = op.clean(df, spark.createDataFrame([(7, item)], ITEMS)).collect()
+    assert row.asDict() == {"doc_id": 2, "text": "clean", "key": "d", "KEY_": "e", "__key": "f"}
+    got = op.annotate(df, spark.createDataFrame([(7, item)], ITEMS))
+    assert {(r["key"], r["KEY_"], r["__key"], r["n_hit"]) for r in got.collect()} == {("a", "b", "c", 10), ("d", "e", "f", 0)}
