@@ -23,8 +23,17 @@ GRAM = 5
 SPREAD = WINDOW - GRAM + 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are folded.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _words_without(*ranges: tuple[int, int]) -> str:
+    """Pattern of the runs of all other characters.  The characters are listed one by one: Java looks such a class up in a
+    table, where ranges are tried one after the other (about 20 times slower here)."""
+    return "[^" + "".join(f"\\x{c:02X}" for a, b in ranges for c in range(a, b + 1)) + "]+"
+
+
+#: WORD, and the same words before A-Z are folded.
+LOWER_CASE = _words_without((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+ANY_CASE = _words_without((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _POSITION = (1 << 31) - 1
 #: More than any window's number of words.
 _LENGTHS = 16
@@ -37,7 +46,7 @@ def folded(text: Column) -> Column:
 
 
 def word_array(text: Column) -> Column:
-    return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(LOWER_CASE), F.lit(0))
 
 
 def _tail(a: str, n: int) -> Column:

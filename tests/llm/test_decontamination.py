@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from plain import contaminated, docs
 
@@ -66,3 +67,10 @@ def test_columns_of_any_name(spark):
     assert row.asDict() == {"doc_id": 2, "text": "clean", "key": "d", "KEY_": "e", "__key": "f"}
     got = op.annotate(df, spark.createDataFrame([(7, item)], ITEMS))
     assert {(r["key"], r["KEY_"], r["__key"], r["n_hit"]) for r in got.collect()} == {("a", "b", "c", 10), ("d", "e", "f", 0)}
+
+
+def test_words_of_every_character():
+    every = "".join(map(chr, range(0x300))) + "\u2581\U0001F600x"
+    assert re.findall(op.LOWER_CASE, every) == re.findall(op.WORD, every)
+    upper = re.findall(op.ANY_CASE, every)
+    assert [len(w) for w in upper] == [len(w) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", every)] and "".join(map(chr, range(65, 91))) in upper
