@@ -48,6 +48,15 @@ FURNITURE_NAMES = frozenset((
     "disqus respond replies reply feedback search skip hidden").split())
 #: Furniture that never holds the article, even if most of the page's text or an article element is in it.
 BESIDE = frozenset("comment comments commentlist disqus respond replies reply feedback related recommended".split())
+#: Names that are ordinary words too, so a section of an article may be called by them and a word of its own (related-work).
+ORDINARY = frozenset("notice notices alert legal related recommended share sharing social search feedback menu menus navigation promotion".split())
+#: Words that say nothing of a section's subject.
+STRUCTURAL = frozenset((
+    "site page main top bottom left right inner outer box block bar area slot list item items link links post posts article articles "
+    "story stories news wrapper wrap container section content panel button buttons icon icons form text message msg info primary "
+    "secondary global mobile desktop wp js media more also reader user by").split())
+#: A section with an ordinary name stays if it has so many characters (spaces apart) outside links, and twice as much as inside them.
+READS = 60
 #: Names that say what a wrapper has, lacks or stands beside, not what it is.
 ABOUT = re.compile(r"^(?:has|have|with|without|no|not|hide|show)[_-]|[_-](?:has|with|without|no)[_-]")
 #: Elements of furniture that may stand around a whole page.
@@ -71,20 +80,28 @@ class Node:
 
 
 def _furniture(name: str, attributes: str, main: bool = False) -> int:
-    """0: none; 1: unless it holds the article; 2: furniture.  ``main``: inside an article, whose headers belong to it."""
-    kind = 0
+    """0: none; 1: unless it holds the article; 2: furniture; -1: if it does not read as a section of the article.
+
+    ``main``: inside an article, whose headers belong to it.
+    """
+    kind, perhaps = 0, False
     if name in SKIPPED and not (main and name == "header"):
         if name not in WRAPPERS:
             return 2
         kind = 1
     if "=" not in attributes and "hidden" not in attributes:
         return kind
+    block = name not in INLINE
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id") and name not in ("body", "html", "article", "main") and not (main and name in HEADINGS):
             for token in value.split():
-                found = FURNITURE_NAMES.intersection(re.split("[_-]", token)) if not ABOUT.search(token) else frozenset()
-                if found and not (main and found == {"header"}):
+                parts = re.split("[_-]", token)
+                found = FURNITURE_NAMES.intersection(parts) if not ABOUT.search(token) else frozenset()
+                if main and block and found and found <= ORDINARY and any(
+                        w.isalpha() and len(w) > 1 and w not in STRUCTURAL and w not in FURNITURE_NAMES for w in parts):
+                    perhaps = True
+                elif found and not (main and found == {"header"}):
                     kind = max(kind, 2 if found & BESIDE else 1)
         elif key == "role" and value.strip() in FURNITURE_ROLES:
             kind = max(kind, 1 if value.strip() == "form" else 2)
@@ -92,7 +109,7 @@ def _furniture(name: str, attributes: str, main: bool = False) -> int:
             return 2
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return 2
-    return kind
+    return kind or -perhaps
 
 
 def parse(page: str) -> Node:
@@ -112,6 +129,7 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[Node, frozenset[int]]:
     """
     root = Node("html", None, False)
     wrappers: list[Node] = []
+    named: list[Node] = []  # sections of an article with ordinary names
     around: set[int] = set()
     count = plain = 0
     shown = False  # an article or main element outside all furniture
@@ -192,8 +210,11 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[Node, frozenset[int]]:
             node = node.parent
         count += 1
         own = 0 if count in spared else _furniture(name, m[3], node.main)
+        perhaps, own = own < 0, max(own, 0)
         child = Node(name, node, node.out or own > 0, 2 if 2 in (own, node.kind) else own or node.kind, count)
         node.items.append(child)
+        if perhaps and not child.out:
+            named.append(child)
         if own == 1 and child.kind == 1:
             wrappers.append(child)
         if name in MAIN and child.kind < 2:
@@ -203,21 +224,29 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[Node, frozenset[int]]:
                 around.add(up.index)
                 up = up.parent
         node, hidden = child, []
+    for n in named:
+        chars, links = _below(n, "chars"), _below(n, "links")
+        n.out = chars - links < max(READS, 2 * links)
     if not wrappers or spared or shown:
         return root, frozenset()
     held = {w.index for w in wrappers if w.index in around}
     if not held:
         for w in wrappers:
-            total, stack = 0, [w]
-            while stack:
-                x = stack.pop()
-                total += x.inside
-                stack += [y for y in x.items if isinstance(y, Node)]
-            if 2 * total > plain:
+            if 2 * _below(w, "inside") > plain:
                 held.add(w.index)
     return root, frozenset(held)
 
 
+def _below(node: Node, count: str) -> int:
+    """Sum of a node's own count and those of all nodes below it, before ``_measure``."""
+    total, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        total += getattr(x, count)
+        stack += [y for y in x.items if isinstance(y, Node)]
+    return total
+
+
 def _measure(root: Node) -> list[Node]:
     """All nodes, children before parents, with the counts of their subtrees and their densities."""
     order, stack = [], [root]

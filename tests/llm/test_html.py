@@ -50,6 +50,16 @@ def test_headings_inside_the_article():
         assert op.main_text(page(f"<header>Site</header><article>{head}<p>{LONG}</p></article>")) == f"Head {LONG}"
 
 
+def test_sections_of_the_article_with_ordinary_names():
+    for part in ("section id='related-work'", "section class='search-methods'", "div class='social-history x'", "div id='legal_background'"):
+        assert op.main_text(page(f"<article><p>{LONG}</p><{part}><p>{LONG} Too.</p></{part.split()[0]}></article>")) == f"{LONG} {LONG} Too."
+    links = "".join(f"<li><a href='/{i}'>{LONG}</a></li>" for i in range(4))
+    for name in ("related-posts", "related", "social-share", "cookie-notice", "site-notice", "search-box", "reader-comments", "notice-2"):
+        assert op.main_text(page(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG} Too.</p></div></article>")) == LONG
+    assert op.main_text(page(f"<article><p>{LONG}</p><div class='related-topics'><ul>{links}</ul></div></article>")) == LONG
+    assert op.main_text(page(f"<article><p>{LONG}</p><div class='search-tips'>Try again</div></article>")) == LONG
+
+
 def test_operator(spark):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "x"), (None, None, None, None), (1, "u", f"<article><p>{LONG}</p></article>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
