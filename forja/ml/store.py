@@ -41,8 +41,13 @@ def list_models(spark: SparkSession, root: str) -> DataFrame:
 def _claim(spark: SparkSession, root: str, name: str, version: int) -> bool:
     """Whether this caller now owns the version: its claim file is created only if it is absent."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_claims/{name}/{version}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":  # Hadoop's local file system checks, then creates; Java's own call is one step
+        local = spark._jvm.java.io.File(fs.makeQualified(at).toUri().getPath())
+        local.getParentFile().mkdirs()
+        return local.createNewFile()
     try:
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False).close()
+        fs.create(at, False).close()
     except Py4JJavaError as e:
         if not e.java_exception.getClass().getSimpleName().endswith("FileAlreadyExistsException"):
             raise
