@@ -8,7 +8,9 @@ from forja.catalog import inputs as i
 from forja.catalog.base import last_op_sql, register
 from forja.functions import scalar as x
 from forja.operators.lastop import last_valid_ops
+from forja.operators.states import merged_states, state_quantiles
 from forja.plans import oee as p
+from forja.staging import staged
 
 
 def oee_sql(by: str = "", where: str = "", prefix: str = "") -> str:
@@ -165,6 +167,19 @@ def a2(spark, sf):
     return i.rounded(p.cycle_benchmarks(i.ops(spark, sf)))
 
 
+@register("A2_cycle_states", ("ops",), """
+    SELECT mes, machine_name, ref_id_str, count(*) AS n, round(quantile_disc(c, 0.25), 6) AS ciclo_p25, round(quantile_disc(c, 0.5), 6) AS ciclo_mediana
+    FROM (SELECT *, duracion_min*60/total_piezas AS c FROM ops
+      WHERE estado = 'produccion' AND duracion_min > 0 AND total_piezas > 0) WHERE c BETWEEN 1 AND 600 AND mes IS NOT NULL
+    GROUP BY mes, machine_name, ref_id_str""")
+def a2_states(spark, sf):
+    """Monthly benchmarks from the stored states of the days: exact up to K operations a group, beyond that within the rank error."""
+    month = F.trunc("fecha", "MM")
+    days = staged(spark, sf, "cycle_states", lambda: p.cycle_states(i.ops(spark, sf).withColumn("mes", month), ["mes", "fecha"]), by="mes")
+    months = merged_states(days, ["mes", "machine_name", "ref_id_str"])
+    return i.rounded(state_quantiles(months, p.BENCHMARKS))
+
+
 @register("A3_global_cycle", ("ops",), """
     SELECT round(quantile_cont(m, 0.5), 6) AS ciclo_global FROM (SELECT quantile_cont(c, 0.5) AS m
     FROM (SELECT *, duracion_min*60/total_piezas AS c FROM ops

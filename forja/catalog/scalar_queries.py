@@ -11,6 +11,7 @@ from forja.catalog import inputs as i
 from forja.catalog.base import last_op_sql, register
 from forja.functions import scalar as x
 from forja.operators.ordered import quantiles
+from forja.operators.states import merged_states, quantile_states, rank_error, state_quantiles
 from forja.plans import fact as pf
 from forja.plans import quality as q
 from forja.sources import conform
@@ -418,6 +419,23 @@ def a34b(spark, sf):
     return i.rounded(quantiles(long, ["columna"], "valor", {"q25": 0.25, "q90": 0.9}))
 
 
+@register("A34_quantile_states", ("fact",), " UNION ALL ".join(
+    f"SELECT '{c}' AS columna, '{n}' AS cuantil, count({c}) AS n, TRUE AS en_cota FROM fact"
+    for c in ("scrap_rate", "throughput_uph", "duracion_min") for n in ("q25", "q90")))
+def a34c(spark, sf):
+    """Quantiles merged from daily states, and whether their true rank lies within twice the 99 % rank error."""
+    cols, probs = ["scrap_rate", "throughput_uph", "duracion_min"], {"q25": 0.25, "q90": 0.9}
+    long = i.fact(spark, sf).select("fecha", *cols).unpivot(["fecha"], cols, "columna", "valor")
+    merged = merged_states(quantile_states(long, ["fecha", "columna"], "valor"), ["columna"])
+    got = state_quantiles(merged, probs).unpivot(["columna", "n"], list(probs), "cuantil", "estimado")
+    # six rows against the column's rows; below and upto enclose the estimate's true rank
+    ranks = long.join(F.broadcast(got), "columna").groupBy("columna", "cuantil", "n").agg(
+        F.count(F.when(F.col("valor") < F.col("estimado"), 1)).alias("below"), F.count(F.when(F.col("valor") <= F.col("estimado"), 1)).alias("upto"))
+    at = F.create_map(*[F.lit(v) for item in probs.items() for v in item])[F.col("cuantil")] * F.col("n")
+    slack = 2 * rank_error() * F.col("n") + 1
+    return ranks.select("columna", "cuantil", "n", ((F.col("below") <= at + slack) & (F.col("upto") >= at - slack)).alias("en_cota"))
+
+
 CATS = ("evento", "estado", "planta", "turno", "machine_name")
 CAT_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS columna, {c} AS valor, count(*) AS n, (SELECT count(DISTINCT {c}) FROM ops) AS distintos FROM ops WHERE {c} IS NOT NULL GROUP BY {c}" for c in CATS)

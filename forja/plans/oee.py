@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from forja.functions import scalar as x
 from forja.operators.lastop import last_op_struct
 from forja.operators.ordered import attach_row, join_null_safe, quantiles
+from forja.operators.states import quantile_states
 
 # --- fixed values -----------------------------------------------------------
 CYCLE_MIN_S, CYCLE_MAX_S = 1.0, 600.0
@@ -56,6 +57,12 @@ def cycle_benchmarks(ops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return quantiles(cycles.dropna(subset=[*keys, "ciclo_s"]), keys, "ciclo_s", BENCHMARKS)
 
 
+def cycle_states(ops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mergeable states of the seconds per piece of each (by, machine, reference), for benchmarks without the fact."""
+    keys = pair_keys(by)
+    return quantile_states(ops.select(*keys, cycle_seconds().alias("ciclo_s")).dropna(subset=keys), keys, "ciclo_s")
+
+
 def global_cycle(benchmarks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Median of the group medians, the last resort of the cascade."""
     return quantiles(benchmarks, list(by), "ciclo_mediana", {"ciclo_global": 0.5})
