@@ -301,10 +301,11 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "sco
     """``docs`` with ``out``, the toxicity of the whole text from 0 to 1.
 
     A null or empty text has no clause and gets the score of the bias.  Rows
-    are scored alone: repeated rows get equal scores.  Other columns are
-    passed on; one called ``out`` is replaced.
+    are scored alone: repeated rows get equal scores, ties stay ties, very
+    long texts are read whole, an empty table gives no row.  Other columns are
+    passed on; one called ``out``, in upper or lower case, is replaced.
     """
-    fields = [f for f in docs.schema if f.name != out]
+    fields = [f for f in docs.schema if f.name.lower() != out.lower()]
     schema = T.StructType([*fields, T.StructField(out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forja.llm.common import Prefix, documents, flat, listed, mix, slices, written
+from forja.llm.common import Prefix, documents, flat, listed, mix, slices, unused, written
 from forja.llm.registry import register
 
 LENGTH = 400
@@ -309,15 +309,19 @@ def annotate(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: in
     Removed is every byte covered by a window of ``length`` bytes that also
     starts anywhere else in the table.  Copies of a text of that length go
     wholly.  A null text counts as empty; texts shorter than ``length`` stay
-    whole; repeated rows count as copies; other columns are passed on, those
-    with the three names are replaced.
+    whole; repeated rows count as copies and lose the same bytes; there is
+    nothing to tie; very long texts are read whole; an empty table gives no
+    row; other columns are passed on, whatever their names, and those with the
+    three names, in upper or lower case, are replaced.
     """
-    found = written(docs.sparkSession, removals(docs, text, length, gram), "removals")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_bytes", "spans", "kept")], *text_id(F.col(text)),
-                       F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__bytes"))
-    rows = rows.withColumn("n_bytes", F.octet_length("__bytes").cast("bigint")).join(found, ["__a", "__b"], "left")
-    return rows.withColumn("kept", F.coalesce("kept", "__bytes")).withColumn(
-        "spans", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>"))).drop("__a", "__b", "__bytes")
+    h_a, h_b, h_bytes = (unused(docs, c, "kept", "spans", "n_bytes") for c in ("_a", "_b", "_bytes"))
+    found = written(docs.sparkSession, removals(docs, text, length, gram), "removals").withColumnsRenamed({"__a": h_a, "__b": h_b})
+    own = [c for c in docs.columns if c.lower() not in (text.lower(), "n_bytes", "spans", "kept")]
+    content = [x.alias(h) for x, h in zip(text_id(F.col(text)), (h_a, h_b), strict=True)]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], *content, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(h_bytes))
+    rows = rows.withColumn("n_bytes", F.octet_length(h_bytes).cast("bigint")).join(found, [h_a, h_b], "left")
+    return rows.select(*[F.col(f"`{c}`") for c in own], "n_bytes", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans"),
+                       F.coalesce("kept", h_bytes).alias("kept"))
 
 
 @register()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forja.llm.common import LOWER_CODES, Prefix, documents, flat, listed, mix, slices, text_key, words, written
+from forja.llm.common import LOWER_CODES, Prefix, documents, flat, listed, mix, slices, text_key, unused, words, written
 from forja.llm.registry import register
 
 SHINGLE = 5
@@ -177,19 +177,35 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.filter(F.col("both") >= similarity * (F.col("n") - F.col("both"))).select("a", "b")
 
 
+def meetings(named: DataFrame) -> DataFrame:
+    """(band, node, n, label, own, lo, hi): the members of mixed buckets, once for each pair of blocks (lo, hi) that theirs, own, is in.
+
+    Of a bucket with M members, R are outside its largest class.  Members of
+    that class are compared with the R only, never with one another, so each
+    is listed about R / BLOCK times and each of the R about M / BLOCK times.
+    The R are dealt into the first blocks, the class into the others.
+    """
+    counts = named.groupBy("band", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.filter("labels > 1").select(
+        "band", F.col("top.label").alias("large"), blocks(F.col("size") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("dealt"))
+    of_large = F.col("label") == F.col("large")
+    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    meets = F.when(of_large, F.col("rest")).otherwise(F.col("rest") + F.col("dealt"))
+    own = named.join(mixed, "band").withColumn("own", F.when(of_large, F.col("rest") + spread(F.col("dealt"))).otherwise(spread(F.col("rest"))))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
+    return own.select("band", "node", "n", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
 def block_links(named: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): labels joined by a link between members of a bucket; named: band, node, n, label, size of the bucket.
+    """(a, b): labels joined by a link between members of a bucket; named: band, node, n, label.
 
-    A bucket is dealt into blocks, and every two blocks meet in one group, so
-    a group has at most about 2 BLOCK rows however large the bucket is.  A pair
-    is looked at in the first bucket that it shares.  Items travel as 31 bits.
+    Every two blocks that meet are one group of at most about 2 BLOCK rows,
+    however large the bucket is.  A pair is looked at in the first bucket that
+    it shares, with its whole 64-bit items.
     """
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = named.withColumn("own", F.pmod(F.xxhash64("node"), count).cast("int")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), count - 1)))
-    own = own.select("band", "node", "n", "label", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    small = sets.select("node", F.transform("items", lambda v: v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("items"))
-    rows = own.join(small.join(nodes.select("node", "bands"), "node"), "node")
+    rows = meetings(named).join(sets.join(nodes.select("node", "bands"), "node"), "node")
     rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").select("band", "lo", "hi", "own", "n", "label", "bands", "items")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +255,7 @@ def _group_links(group: pa.RecordBatch, similarity: float) -> Iterator[pa.Record
         with_me = with_me[bands[i][same.argmax(axis=1)] == band]
         if not len(with_me):
             continue
-        mine = np.unique(items[edge[i] : edge[i + 1]])
+        mine = np.sort(items[edge[i] : edge[i + 1]])
         taken = counts[with_me]
         ends = np.cumsum(taken)
         theirs = items[np.arange(ends[-1]) - np.repeat(ends - taken, taken) + np.repeat(edge[with_me], taken)]
@@ -302,9 +318,7 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     # what could still join two classes: members of a bucket that are neither its leader nor in one class
     named = members.join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("label"))
     named = written(spark, named.join(leaders.select("band", "b"), "band").filter(F.col("node") != F.col("b")).drop("b"), "named")
-    mixed = named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-    mixed = mixed.filter(F.col("lo") != F.col("hi")).select("band", "size")
-    bridges = components(written(spark, block_links(named.join(mixed, "band"), nodes, sets, similarity), "bridges"))
+    bridges = components(written(spark, block_links(named, nodes, sets, similarity), "bridges"))
     bridges = bridges.select(F.col("node").alias("part"), F.col("label").alias("whole"))
     final = sketches.select("key", "node").distinct().join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
     return final.join(bridges, "part", "left").select("key", F.coalesce("whole", "part").alias("label"))
@@ -315,7 +329,9 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Rows without a word are a class of their own each, with their own key and
     size 1.  Null keys count as rows but are never the smallest; a class of
-    null keys has a null class_id.  Repeated rows fall in one class.
+    null keys has a null class_id.  Repeated rows fall in one class, ties of
+    keys change nothing, very long texts are read whole, an empty table gives
+    no row.  Other columns are not read, so their names do not matter.
     """
     labels = written(docs.sparkSession, classes(docs, text), "classes")
     rows = docs.select(F.col(key).alias("id"), text_key(F.col(text)).alias("key")).join(labels, "key", "left")
@@ -330,7 +346,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The rows of ``docs`` without near duplicates: of each class the row with the smallest key stays (nulls last).
 
     Ties (repeated rows, null keys) go to the smallest text key, and one of
-    rows equal in both stays.  Rows without a word all stay.
+    rows equal in both stays.  Rows without a word all stay.  Very long texts
+    are read whole, an empty table gives no row, and other columns are passed
+    on, whatever their names.
     """
     spark = docs.sparkSession
     labels = written(spark, classes(docs, text), "classes")
@@ -339,14 +357,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     best = ids.groupBy("label").agg(F.min(order).alias("best"))
     ids = ids.join(best, "label").groupBy("label", "id", "key").agg(F.count("*").alias("n"), F.first("best").alias("best"))
     mine = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    h_key, h_away, h_id, h_again = (unused(docs, c) for c in ("_key", "_away", "_id", "_again"))
     away = written(spark, ids.filter(~mine | (F.col("n") > 1)).select(
-        F.col("id").alias("__id"), F.col("key").alias("__key"), mine.alias("__again")), "dropped")
-    rows = docs.withColumn("__key", text_key(F.col(text)))
-    same = (F.col("__key") == F.col("__away")) & F.col(f"`{key}`").eqNullSafe(F.col("__id"))
+        F.col("id").alias(h_id), F.col("key").alias(h_away), mine.alias(h_again)), "dropped")
+    rows = docs.withColumn(h_key, text_key(F.col(text)))
+    same = (F.col(h_key) == F.col(h_away)) & F.col(f"`{key}`").eqNullSafe(F.col(h_id))
     # as many rows as near copies: never to be broadcast, however few they are here
-    rows = rows.join(away.withColumnRenamed("__key", "__away").hint("merge"), same, "left")
-    single = rows.filter("__again IS NULL").select(*[f"`{c}`" for c in docs.columns])
-    again = rows.filter("__again").dropDuplicates(["__key", key]).select(*[f"`{c}`" for c in docs.columns])
+    rows = rows.join(away.hint("merge"), same, "left")
+    single = rows.filter(F.col(h_again).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    again = rows.filter(h_again).dropDuplicates([h_key, key]).select(*[F.col(f"`{c}`") for c in docs.columns])
     return single.unionByName(again)
 
 

@@ -281,7 +281,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     Rows are worked alone, other columns are passed on, those with the new
     names are replaced.
     """
-    fields = [f for f in docs.schema if f.name not in (ids, exact)]
+    fields = [f for f in docs.schema if f.name.lower() not in {x.lower() for x in (ids, exact) if x}]
     schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     if exact:
         schema = schema.add(exact, T.BooleanType())

@@ -6,10 +6,13 @@ by swaps).  A small network learns, from a vector, how its neighbours spread
 over the parts.  Every row is indexed in its most probable part; a query goes
 to its most probable parts until their probability reaches a mass that was
 found on the sample, and all rows there are ranked by their exact cosine.
+Parts that hold too many rows are divided again, each by a router fitted on a
+bounded sample of its own, so a part's size does not grow with the table.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +38,12 @@ TOP = 5
 #: Rows of a block of candidates and of a block of queries; two blocks meet in one task.
 BLOCK = 512
 QUERY_BLOCK = 4096
+#: Rows beyond which a part is divided again, rows that a task divides at once, and the most routers above a row.
+PART_LIMIT = 16_384
+DIVIDED = 4096
+LEVELS = 8
+#: Children of a part are numbered part * FAN + 1, …; a router has fewer than FAN parts.
+FAN = 64
 
 
 def neighbour_graph(x: np.ndarray, degree: int) -> np.ndarray:
@@ -96,12 +105,13 @@ class Router:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """The most probable parts of each vector, up to the mass."""
+    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The most probable parts of each vector, up to the mass and until they hold ``least`` rows; ``sizes`` are the parts' rows."""
         p = self.probabilities(x)
         order = np.argsort(-p, axis=1, kind="stable")
         reached = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-        counts = np.minimum((reached < self.mass).sum(axis=1) + 1, self.parts)
+        held = np.cumsum(sizes[order], axis=1)
+        counts = np.minimum(((reached < self.mass) | (held < least)).sum(axis=1) + 1, self.parts)
         return [row[:n] for row, n in zip(order, counts, strict=True)]
 
 
@@ -111,7 +121,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(vectors: np.ndarray) -> Router:
+def fit(vectors: np.ndarray, coverage: float = COVERAGE) -> Router:
     """Router of a sample of vectors; equal vectors count once, and few vectors make one part."""
     x = np.unique(unit(vectors), axis=0) if len(vectors) else vectors.astype(np.float32)
     width = vectors.shape[1] if vectors.ndim == 2 else 0
@@ -153,7 +163,7 @@ def fit(vectors: np.ndarray) -> Router:
                 v += 0.001 * (g * g - v)
                 net[i] -= 0.003 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     router = Router(*net)
-    # the smallest mass at which the probed parts hold COVERAGE of the true neighbours, as rows will be indexed
+    # the smallest mass at which the probed parts hold that coverage of the true neighbours, as rows will be indexed
     indexed = router.probabilities(x).argmax(axis=1)
     p = router.probabilities(x[:held])
     order = np.argsort(-p, axis=1, kind="stable")
@@ -163,7 +173,7 @@ def fit(vectors: np.ndarray) -> Router:
     seat = np.take_along_axis(rank, indexed[edges[:held]][:, :TOP], axis=1)
     needed = np.sort(np.take_along_axis(before, seat, axis=1).reshape(-1))
     # a part is probed if the probability before it is below the mass
-    router.mass = float(np.nextafter(needed[min(len(needed) - 1, int(np.ceil(COVERAGE * len(needed))))], 2))
+    router.mass = float(np.nextafter(needed[min(len(needed) - 1, int(np.ceil(coverage * len(needed))))], 2))
     return router
 
 
@@ -186,32 +196,95 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def indexed(rows: DataFrame, router: Router) -> DataFrame:
-    """(id, v, part): every row in its most probable part."""
-    shared = rows.sparkSession.sparkContext.broadcast(router)  # (width + parts) x HIDDEN numbers
+def children(frame: pd.DataFrame, part: np.ndarray, row: np.ndarray | None = None) -> pd.DataFrame:
+    """(id, v, part) of the rows of a frame in the parts given by their place among their parent's."""
+    own = frame if row is None else frame.iloc[row]
+    return pd.DataFrame({"id": own["id"].to_numpy(), "v": own["v"].to_numpy(), "part": own["part"].to_numpy() * FAN + 1 + part.astype(np.int64)})
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                part = shared.value.probabilities(unit(matrix(batch.column(1)))).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["id", "v", "part"])
 
-    return rows.select("id", "v").mapInArrow(work, f"id bigint, v {rows.schema['v'].dataType.simpleString()}, part int")
+def rows_in(frame: pd.DataFrame, router: Router) -> pd.DataFrame:
+    """Every row in its most probable part."""
+    return children(frame, router.probabilities(unit(np.array(frame["v"].tolist(), np.float64))).argmax(axis=1))
 
 
-def routed(queries: DataFrame, router: Router) -> DataFrame:
-    """(id, v, part): every query once for each part to probe."""
-    shared = queries.sparkSession.sparkContext.broadcast(router)
+def queries_in(frame: pd.DataFrame, router: Router, sizes: np.ndarray, least: int) -> pd.DataFrame:
+    """Every query once for each part to probe."""
+    probes = router.probes(unit(np.array(frame["v"].tolist(), np.float64)), sizes, least)
+    return children(frame, np.concatenate(probes), np.repeat(np.arange(len(frame)), [len(p) for p in probes]))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                probes = shared.value.probes(unit(matrix(batch.column(1))))
-                row = np.repeat(np.arange(batch.num_rows), [len(p) for p in probes])
-                chosen = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(np.concatenate(probes).astype(np.int32))], names=["id", "v", "part"])
 
-    return queries.select("id", "v").mapInArrow(work, f"id bigint, v {queries.schema['v'].dataType.simpleString()}, part int")
+def by_router(frame: DataFrame, routers: DataFrame, count: str, schema: str, work) -> DataFrame:
+    """``work(rows, router, sizes)`` for slices of the rows of each router's part; ``count`` names the part's rows of this frame."""
+    slices = F.ceil(F.greatest(F.col(count), F.lit(1)) / DIVIDED).cast("int")
+    left = frame.join(routers.select("part", slices.alias("slices")), "part").withColumn("slice", F.pmod(F.xxhash64("id", "v", F.lit("s")), "slices").cast("int"))
+    right = routers.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).select("part", "slice", "router", "sizes")
+
+    def pair(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"id": pd.Series(dtype="int64"), "v": pd.Series(dtype="object"), "part": pd.Series(dtype="int64")})
+        return work(rows, pickle.loads(own["router"].iloc[0]), np.array(own["sizes"].iloc[0], np.int64))
+
+    return left.select("id", "v", "part", "slice").groupBy("part", "slice").cogroup(right.groupBy("part", "slice")).applyInPandas(pair, schema)
+
+
+def sizes_of(routers: DataFrame, index: DataFrame) -> DataFrame:
+    """``routers`` with ``sizes``, the rows of each of their parts (fewer than FAN numbers)."""
+    held = index.groupBy("part").count().select(
+        F.floor((F.col("part") - 1) / FAN).alias("part"), F.struct(F.pmod(F.col("part") - 1, F.lit(FAN)).alias("k"), "count").alias("s"))
+    held = held.groupBy("part").agg(F.map_from_entries(F.collect_list("s")).alias("held"))
+    sizes = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.coalesce(F.col("held")[k.cast("long")], F.lit(0).cast("long")))
+    return routers.drop("sizes").join(held, "part", "left").withColumn("sizes", sizes).drop("held")
+
+
+def partitioned(rows: DataFrame, queries: DataFrame, sample: int, limit: int, least: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """(id, v, part) of all rows, in one part each, and of all queries, in each part to probe.
+
+    The root's router is fitted on the first ``sample`` rows by the hash of
+    their id, that of a large part on about as many of its rows, chosen by
+    hash.  A part whose router knows only one part (of equal vectors, say)
+    stays as it is.
+    """
+    spark = rows.sparkSession
+    schema = f"id bigint, v {rows.schema['v'].dataType.simpleString()}, part bigint"
+    fitting = [r[0] for r in rows.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(sample).select("v").collect()]
+    root = fit(np.array(fitting, dtype=np.float64), coverage)
+    index, asked = rows.select("id", "v", F.lit(0).cast("long").alias("part")), queries.select("id", "v", F.lit(0).cast("long").alias("part"))
+    routers = spark.createDataFrame([(0, bytearray(pickle.dumps(root)), root.parts)], "part long, router binary, parts int")
+    total, wanted = rows.count(), queries.count()
+    routers = routers.select("*", F.lit(total).alias("n"), F.lit(wanted).alias("m"))
+    done_index, done_asked = [], []
+    for level in range(LEVELS):
+        routers = routers.withColumn("sizes", F.array().cast("array<bigint>"))
+        index = written(spark, by_router(index, routers, "n", schema, lambda f, r, _: rows_in(f, r)), "index")
+        asked = written(spark, by_router(asked, sizes_of(routers, index), "m", schema, lambda f, r, s: queries_in(f, r, s, least)), "routed")
+        if level + 1 == LEVELS:
+            break
+        large = index.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+        large = written(spark, large.join(asked.groupBy("part").agg(F.count("*").alias("m")), "part"), "large")
+        chance = F.pmod(F.xxhash64("id", "v", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < float(sample) / F.col("n")
+        chosen = index.join(large, "part").filter(chance).select("part", "v")
+
+        def fitted(f: pd.DataFrame) -> pd.DataFrame:
+            router = fit(np.array(f["v"].tolist(), np.float64), coverage)
+            return pd.DataFrame({"part": [f["part"].iloc[0]], "router": [pickle.dumps(router)], "parts": [router.parts]})
+
+        routers = chosen.groupBy("part").applyInPandas(fitted, "part long, router binary, parts int").filter("parts > 1")
+        routers = written(spark, routers.join(large, "part"), "routers")
+        if routers.isEmpty():
+            break
+        divided = routers.select("part")
+        done_index.append(index.join(divided, "part", "left_anti").select("id", "v", "part"))
+        done_asked.append(asked.join(divided, "part", "left_anti").select("id", "v", "part"))
+    for frame in done_index:
+        index = index.unionByName(frame)
+    for frame in done_asked:
+        asked = asked.unionByName(frame)
+    return index, asked
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their squares neither overflow nor vanish; cosines stay the same to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def rank_block(queries: pd.DataFrame, rows: pd.DataFrame, top: int) -> pd.DataFrame:
@@ -219,7 +292,7 @@ def rank_block(queries: pd.DataFrame, rows: pd.DataFrame, top: int) -> pd.DataFr
     none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     if not len(queries) or not len(rows):
         return none
-    q, x = np.array(queries["v"].tolist(), dtype=np.float64), np.array(rows["v"].tolist(), dtype=np.float64)
+    q, x = (scaled(np.array(f["v"].tolist(), dtype=np.float64)) for f in (queries, rows))
     q_id, x_id = queries["id"].to_numpy(), rows["id"].to_numpy()
     q_norm, x_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     rough = (q / q_norm[:, None]) @ (x / x_norm[:, None]).T
@@ -235,30 +308,26 @@ def rank_block(queries: pd.DataFrame, rows: pd.DataFrame, top: int) -> pd.DataFr
     return pd.DataFrame({"query_id": q_id[a[keep]], "vec_id": x_id[b[keep]], "score": score[keep]})
 
 
-def search(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int = SAMPLE) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, top: int = TOP, sample: int = SAMPLE, limit: int = PART_LIMIT) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest rows found for every query; both inputs are (id, v) as ``usable`` makes them.
 
-    Every row but those with the query's own id is a candidate.  The index is
-    fitted on at most ``sample`` rows, the first by the hash of their id.
-    Without rows or queries the result is empty.
+    Every row but those with the query's own id is a candidate.  A router is
+    fitted on about ``sample`` rows, and parts of more than ``limit`` rows have
+    routers of their own.  A query goes on to its next parts until they hold
+    ``top`` candidates, so it gets fewer only if the table has fewer.  Ties go
+    to the smaller id; without rows or queries the result is empty.
     """
-    spark = rows.sparkSession
-    fitting = [r[0] for r in rows.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(sample).select("v").collect()]
-    router = fit(np.array(fitting, dtype=np.float64))
-    index = written(spark, indexed(rows, router), "index")
-    asked = written(spark, routed(queries, router), "routed")
-    # a row per part
-    sizes = {r[0]: (r[1], 0) for r in index.groupBy("part").count().collect()}
-    for part, n in asked.groupBy("part").count().collect():
-        sizes[part] = (sizes.get(part, (0, 0))[0], n)
-    if not sizes:
-        sizes = {0: (0, 0)}
-    blocks = lambda i, size: F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, max(1, -(-n[i] // size)))])[F.col("part")]
-    spread = lambda name, n: F.pmod(F.xxhash64("id", F.lit(name)), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    row_blocks, query_blocks = blocks(0, BLOCK), blocks(1, QUERY_BLOCK)
-    left = asked.withColumn("qb", spread("q", query_blocks)).withColumn("rb", every(row_blocks))
-    right = index.withColumn("rb", spread("r", row_blocks)).withColumn("qb", every(query_blocks))
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    own, total = sizes[0] or 0, sizes[1] or 0
+    levels = 1 if total <= limit else 1 + int(np.ceil(np.log(total / limit) / np.log(max(2, sample / PART_ROWS))))
+    index, asked = partitioned(rows, queries, sample, limit, top + own, COVERAGE ** (1 / levels))
+    parts = index.groupBy("part").agg(F.count("*").alias("n")).join(asked.groupBy("part").agg(F.count("*").alias("m")), "part")
+    parts = parts.select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("rbs"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("qbs"))
+    parts = written(rows.sparkSession, parts, "parts")
+    spread = lambda name, n: F.pmod(F.xxhash64("id", "v", F.lit(name)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(parts, "part").withColumn("qb", spread("q", F.col("qbs"))).withColumn("rb", every("rbs")).drop("rbs", "qbs")
+    right = index.join(parts, "part").withColumn("rb", spread("r", F.col("rbs"))).withColumn("qb", every("qbs")).drop("rbs", "qbs")
     keys = ["part", "rb", "qb"]
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         lambda q, x: rank_block(q, x, top), "query_id bigint, vec_id bigint, score double")

@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: Kernel | None, text: str = "text", lang: st
     alone, ties go to the language first in the alphabet, other columns are
     passed on (those called ``lang_pred`` or ``score`` are replaced).
     """
-    fields = [f for f in docs.schema if f.name not in (lang, score)]
+    fields = [f for f in docs.schema if f.name.lower() not in (lang.lower(), score.lower())]
     schema = T.StructType([*fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x LANDMARKS rows of 2^BITS numbers
 

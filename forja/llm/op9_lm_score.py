@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forja.llm.common import LOWER_CODES, Prefix, documents, flat, mix, slices, words, written
+from forja.llm.common import LOWER_CODES, Prefix, documents, flat, mix, slices, unused, words, written
 from forja.llm.registry import register
 
 #: Words with a code of their own; all others share BUCKETS codes by their hash.
@@ -363,10 +363,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", spelling: Spelling
     With ``spelling`` a word outside the lexicon has the probability of its
     bucket times its own within the bucket; without it, it is predicted as its
     bucket.  Null counts as empty; rows are scored alone, repeated rows alike;
-    columns with the three names are replaced.
+    ties stay ties, very long texts are read whole, an empty table gives no
+    row.  Other columns are passed on, whatever their names; those with the
+    three names, in upper or lower case, are replaced.
     """
     new = [("n_words", T.LongType()), ("log_likelihood", T.DoubleType()), ("mean_log", T.DoubleType())]
-    fields = [f for f in docs.schema if f.name not in {n for n, _ in new}]
+    fields = [f for f in docs.schema if f.name.lower() not in {n for n, _ in new}]
     schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in new)])
     shared = docs.sparkSession.sparkContext.broadcast((model, spelling.local() if spelling else None))
 
@@ -392,12 +394,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", spelling: Spelling
 
     if spelling is None:
         return docs.mapInArrow(work, schema)
-    keyed = docs.withColumn("__a", F.xxhash64(F.col(text))).withColumn("__b", F.xxhash64(F.lit(7), F.col(text)))
-    fields += [T.StructField("__a", T.LongType()), T.StructField("__b", T.LongType())]
+    h_a, h_b, h_rare = (unused(docs, c) for c in ("_a", "_b", "_rare"))
+    keyed = docs.withColumn(h_a, F.xxhash64(F.col(text))).withColumn(h_b, F.xxhash64(F.lit(7), F.col(text)))
+    fields += [T.StructField(h_a, T.LongType()), T.StructField(h_b, T.LongType())]
     schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in new)])
-    rare = _rare(docs, model, spelling, text).withColumnsRenamed({"a": "__a", "b": "__b"})
-    total = F.col("log_likelihood") + F.coalesce("rare", F.lit(0.0))
-    rows = keyed.mapInArrow(work, schema).join(rare.hint("merge"), ["__a", "__b"], "left")  # a text with many copies is split at run time
+    rare = _rare(docs, model, spelling, text).withColumnsRenamed({"a": h_a, "b": h_b, "rare": h_rare})
+    total = F.col("log_likelihood") + F.coalesce(h_rare, F.lit(0.0))
+    rows = keyed.mapInArrow(work, schema).join(rare.hint("merge"), [h_a, h_b], "left")  # a text with many copies is split at run time
     return rows.select(*[F.col(f"`{f.name}`") for f in fields[:-2]], "n_words", total.alias("log_likelihood"),
                        (total / F.greatest("n_words", F.lit(1))).alias("mean_log"))
 

@@ -57,3 +57,36 @@ def test_halves_are_even_and_follow_the_graph():
     x = op.unit(np.concatenate([rng.normal(0, 0.1, (100, 8)) + 1, rng.normal(0, 0.1, (100, 8)) - 1]))
     a, b = op.halve(x, op.neighbour_graph(x, 5), np.arange(200))
     assert len(a) == len(b) == 100 and {tuple(sorted(a < 100)), tuple(sorted(b < 100))} == {(False,) * 100, (True,) * 100}
+
+
+def test_parts_are_divided_again(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 16))
+    x = centres[rng.integers(0, 200, 6000)] + rng.normal(0, 0.3, (6000, 16))
+    x[:700] = x[0]  # a part of equal vectors cannot be divided
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    df = op.usable(frame(spark, rows), "vec_id", "embedding")
+    index, asked = op.partitioned(df, df.filter("id % 50 = 0"), 1024, 600, 6, 0.985)
+    sizes = [r["count"] for r in index.groupBy("part").count().collect()]
+    assert sum(sizes) == 6000 and index.select("id").distinct().count() == 6000
+    assert max(r["part"] for r in index.collect()) > op.FAN  # some parts lie below another
+    got = found(op.search(df, df.filter("id % 50 = 0"), sample=1024, limit=600))
+    want = plain(rows, range(0, 6000, 50), 5)
+    distinct = [q for q in want if q >= 700]
+    assert all(len(got[q]) == 5 for q in want) and got[0] == [1, 2, 3, 4, 5]
+    assert sum(len(set(got[q]) & set(want[q])) for q in distinct) >= 0.9 * 5 * len(distinct)
+
+
+def test_next_parts_until_enough():
+    router = op.Router(np.eye(2, dtype=np.float32), np.zeros(2, np.float32), np.array([[9, 0, -9], [0, 9, -9]], np.float32), np.zeros(3, np.float32), 0.5)
+    x = np.array([[1, 0], [0, 1]], np.float32)
+    assert [p.tolist() for p in router.probes(x, np.array([9, 9, 9]), 6)] == [[0], [1]]
+    assert [p.tolist() for p in router.probes(x, np.array([3, 9, 9]), 6)] == [[0, 1], [1]]
+    assert [p.tolist() for p in router.probes(x, np.array([1, 1, 1]), 6)] == [[0, 1, 2], [1, 0, 2]]
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [3e-200, 3e-200]), (2, [1e200, 0.0]), (3, [-5e-320, -5e-320])]
+    df = op.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = op.search(df, df.filter("id = 0")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3] and [round(r["score"], 9) for r in got] == [1.0, 0.707106781, -1.0]

@@ -67,3 +67,19 @@ def test_keep_one(spark):
     assert sorted(((r["doc_id"] or -1), r["text"] or "") for r in kept.collect()) == sorted(
         [(3, a.upper()), (9, b), (7, ""), (7, ""), (8, ""), (-1, "lone words of a row")])
     assert op.keep_one(docs(spark, [])).count() == 0 and op.annotate(docs(spark, [])).count() == 0
+
+
+def test_one_outsider_does_not_multiply_a_hot_bucket(spark):
+    rows = [(7, f"n{i}".encode(), 9, b"hot") for i in range(6000)] + [(7, f"x{i}".encode(), 9, f"x{i}".encode()) for i in range(3)]
+    rows += [(8, f"n{i}".encode(), 9, b"hot") for i in range(500)]  # one class only: nothing to compare
+    met = op.meetings(spark.createDataFrame(rows, "band long, node binary, n int, label binary")).collect()
+    assert {r["band"] for r in met} == {7} and len(met) == 6000 + 3 * (6000 // op.BLOCK + 2)
+    groups, seen = {}, set()
+    for r in met:
+        groups.setdefault((r["lo"], r["hi"]), []).append(r)
+    for (lo, hi), members in groups.items():
+        assert len(members) < 2 * op.BLOCK
+        for a in members:
+            seen |= {frozenset((bytes(a["node"]), bytes(b["node"]))) for b in members
+                     if a["label"] != b["label"] and (lo == hi or a["own"] != b["own"])}
+    assert len(seen) == 3 * 6000 + 3
