@@ -10,13 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forja.llm import op1_toxicity, op3_line_dedup, op4_minhash, op5_sentencepiece, op6_decontamination
-from forja.llm.common import documents, table, written
+from forja.llm.common import documents, table, unused, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the grammar learns from the labels of these documents."""
-    scored = op1_toxicity.score(docs, op1_toxicity.trained(spark, docs, sf_dir), out="__score")
-    return scored.filter(F.col("__score") < op1_toxicity.THRESHOLD).drop("__score")
+    """Documents that score below the threshold; the grammar learns from the labels of these documents.
+
+    Null and empty texts score the bias and stay; repeated rows stay or go together; an empty table gives no row.
+    """
+    point = unused(docs, "_score")
+    scored = op1_toxicity.score(docs, op1_toxicity.trained(spark, docs, sf_dir), out=point)
+    return scored.filter(F.col(point) < op1_toxicity.THRESHOLD).drop(point)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +35,10 @@ def minhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together; without documents or items nothing goes.
+    """
     return op6_decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
