@@ -248,17 +248,26 @@ def partitioned(rows: DataFrame, queries: DataFrame, sample: int, limit: int, le
     schema = f"id bigint, v {rows.schema['v'].dataType.simpleString()}, part bigint"
     fitting = [r[0] for r in rows.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(sample).select("v").collect()]
     root = fit(np.array(fitting, dtype=np.float64), coverage)
-    index, asked = rows.select("id", "v", F.lit(0).cast("long").alias("part")), queries.select("id", "v", F.lit(0).cast("long").alias("part"))
-    routers = spark.createDataFrame([(0, bytearray(pickle.dumps(root)), root.parts)], "part long, router binary, parts int")
-    total, wanted = rows.count(), queries.count()
-    routers = routers.select("*", F.lit(total).alias("n"), F.lit(wanted).alias("m"))
+    shared = spark.sparkContext.broadcast(root)  # (width + parts) x HIDDEN numbers
+
+    def rows_of_root(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield rows_in(f.assign(part=0), shared.value)
+
+    index = written(spark, rows.select("id", "v").mapInPandas(rows_of_root, schema), "index")
+    sizes = np.zeros(root.parts, np.int64)
+    for part, n in index.groupBy("part").count().collect():  # a row for each part of the root
+        sizes[part - 1] = n
+
+    def queries_of_root(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield queries_in(f.assign(part=0), shared.value, sizes, least)
+
+    asked = written(spark, queries.select("id", "v").mapInPandas(queries_of_root, schema), "routed")
     done_index, done_asked = [], []
-    for level in range(LEVELS):
-        routers = routers.withColumn("sizes", F.array().cast("array<bigint>"))
-        index = written(spark, by_router(index, routers, "n", schema, lambda f, r, _: rows_in(f, r)), "index")
-        asked = written(spark, by_router(asked, sizes_of(routers, index), "m", schema, lambda f, r, s: queries_in(f, r, s, least)), "routed")
-        if level + 1 == LEVELS:
-            break
+    for level in range(1, LEVELS):
         large = index.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > limit)
         large = written(spark, large.join(asked.groupBy("part").agg(F.count("*").alias("m")), "part"), "large")
         chance = F.pmod(F.xxhash64("id", "v", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < float(sample) / F.col("n")
@@ -275,6 +284,8 @@ def partitioned(rows: DataFrame, queries: DataFrame, sample: int, limit: int, le
         divided = routers.select("part")
         done_index.append(index.join(divided, "part", "left_anti").select("id", "v", "part"))
         done_asked.append(asked.join(divided, "part", "left_anti").select("id", "v", "part"))
+        index = written(spark, by_router(index, routers.withColumn("sizes", F.array().cast("array<bigint>")), "n", schema, lambda f, r, _: rows_in(f, r)), "index")
+        asked = written(spark, by_router(asked, sizes_of(routers, index), "m", schema, lambda f, r, s: queries_in(f, r, s, least)), "routed")
     for frame in done_index:
         index = index.unionByName(frame)
     for frame in done_asked:
