@@ -34,17 +34,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+_roots: dict[str, str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = shared_dir(spark).rstrip("/")
+    return f"{_roots[app]}/llm-{app}"
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written into the shared folder and read back.
 
     Cuts the lineage in a way that outlives executors, and lets Spark see
-    the real size of the table when it chooses how to join it.
+    the real size of the table when it chooses how to join it.  The folder is
+    the application's own, see ``clear_written``.
     """
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Removes all tables that ``written`` made for this application, once no result is read from them any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_key(text: Column) -> Column:
     """128-bit content key of a text (null counts as empty)."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
