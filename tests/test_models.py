@@ -294,3 +294,10 @@ def test_savers_at_once_get_versions_of_their_own(spark, tmp_path):
     stored = {r["version"]: r["features"] for r in store.list_models(spark, root).collect()}
     assert stored == {v: [str(n)] for n, v in enumerate(got)}
     assert store.save_model(spark, root, "other", model, [], {}) == 1
+
+
+def test_shallow_forests_keep_no_node_ids(spark):
+    """Node ids take four bytes a row and tree, in several copies; only deep trees are worth them."""
+    df = spark.createDataFrame([(float(i % 7), float(i % 3)) for i in range(60)], "a double, y double")
+    kept = {depth: forest.fit_regressor(df, ["a"], "y", trees=2, depth=depth).stages[-1].getOrDefault("cacheNodeIds") for depth in (10, 30)}
+    assert kept == {10: False, 30: True}
