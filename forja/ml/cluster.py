@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -76,6 +77,34 @@ def _assigned(points: DataFrame, cols: Sequence[str], models: dict[tuple[int, in
     return rows.select("v", *extra, "m.k", "m.seed", _near(F.col("v"), F.col("m.centres")).alias("n")).select("v", *extra, "k", "seed", "n.d", "n.c")
 
 
+def _moves(points: DataFrame, cols: Sequence[str], models: dict[tuple[int, int], list[list[float]]]) -> DataFrame:
+    """(k, seed, c, n, s): rows and column sums of every cluster of every model, each point at its nearest centre (the first of equals).
+
+    A task returns one row per model and cluster, which Spark merges.
+    """
+    width, names = len(cols), [*models]
+    centres = [np.array(models[m], dtype=float) for m in names]
+
+    def partial(batches):
+        sums = [np.zeros((len(c), width + 1)) for c in centres]
+        for batch in batches:
+            v = np.column_stack([batch.column(j).to_numpy(zero_copy_only=False) for j in range(width)])
+            for c, s in zip(centres, sums, strict=True):
+                far = sum((v[:, j, None] - c[None, :, j]) ** 2 for j in range(width))
+                own = far.argmin(1)
+                s[:, 0] += np.bincount(own, minlength=len(c))
+                for j in range(width):
+                    s[:, j + 1] += np.bincount(own, weights=v[:, j], minlength=len(c))
+        rows = [(k, seed, i, int(r[0]), r[1:].tolist()) for (k, seed), s in zip(names, sums, strict=True) for i, r in enumerate(s) if r[0] > 0]
+        yield pa.RecordBatch.from_pydict(dict(zip(shape.names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in shape.names}, schema=shape)
+
+    shape = pa.schema([("k", pa.int32()), ("seed", pa.int32()), ("c", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))])
+    rows = points.select(*[F.col(c).cast("double").alias(f"v{j}") for j, c in enumerate(cols)])
+    parts = rows.mapInArrow(partial, "k int, seed int, c int, n long, s array<double>")
+    n = F.sum("n")
+    return parts.groupBy("k", "seed", "c").agg(*[(F.sum(F.col("s")[j]) / n).alias(f"m{j}") for j in range(width)])
+
+
 def fit_sweep(points: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init: int = 10, max_iter: int = 100,
               tol: float = 1e-6) -> dict[int, tuple[float, list[list[float]]]]:
     """k -> (cost, centres) of the best of ``n_init`` K-Means fits, all k and seeds moved by one job per round.
@@ -90,8 +119,7 @@ def fit_sweep(points: DataFrame, cols: Sequence[str], ks: Sequence[int], n_init:
     for _ in range(max_iter):
         if not moving:
             break
-        sums = _assigned(points, cols, moving).groupBy("k", "seed", "c").agg(
-            *[F.avg(F.col("v")[j]).alias(f"m{j}") for j in range(len(cols))])
+        sums = _moves(points, cols, moving)
         new = {m: [list(c) for c in cs] for m, cs in moving.items()}
         for r in sums.collect():
             new[r["k"], r["seed"]][r["c"]] = [r[f"m{j}"] for j in range(len(cols))]

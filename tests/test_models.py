@@ -301,3 +301,12 @@ def test_shallow_forests_keep_no_node_ids(spark):
     df = spark.createDataFrame([(float(i % 7), float(i % 3)) for i in range(60)], "a double, y double")
     kept = {depth: forest.fit_regressor(df, ["a"], "y", trees=2, depth=depth).stages[-1].getOrDefault("cacheNodeIds") for depth in (10, 30)}
     assert kept == {10: False, 30: True}
+
+
+def test_sweep_rounds_make_no_row_per_point_and_model(spark):
+    points = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0), (1.0, 3.0), (9.0, 9.0)], "a double, b double")
+    models = {(2, 0): [[0.0, 0.0], [2.0, 0.0]], (2, 1): [[8.0, 8.0], [8.0, 8.0]]}  # ties go to the first centre
+    moves = cluster._moves(points, ["a", "b"], models)
+    got = {(r["seed"], r["c"]): (r["m0"], r["m1"]) for r in moves.collect()}
+    assert got == {(0, 0): (0.5, 2.0), (0, 1): (5.5, 5.0), (1, 0): (3.0, 3.5)}
+    assert "Generate" not in moves._jdf.queryExecution().optimizedPlan().toString()
