@@ -13,6 +13,11 @@ def _day(ts: str) -> Column:
     return F.col(ts).cast("date")
 
 
+def recorded_cutting(ops: DataFrame) -> DataFrame:
+    """Cutting operations as recorded; of each machine at least as many as ``cutting_ops`` has."""
+    return ops.where(x.has_text("op_id", "TALL") & F.col("machine_id").isNotNull())
+
+
 def cutting_ops(ops: DataFrame) -> DataFrame:
     """Cutting operations reduced to what the counters need.
 
@@ -21,7 +26,7 @@ def cutting_ops(ops: DataFrame) -> DataFrame:
     tool changes keep their own rows, equal ones as often as recorded.
     """
     change = F.coalesce(F.col("tipo_incidencia") == x.TOOL_CHANGE, F.lit(False))
-    tall = ops.where(x.has_text("op_id", "TALL") & F.col("machine_id").isNotNull()).select(
+    tall = recorded_cutting(ops).select(
         "machine_id", "ts_ini", change.alias("es_cambio"),
         F.coalesce("piezas_ok", F.lit(0.0)).alias("ok"), F.coalesce("piezas_scrap", F.lit(0.0)).alias("sc"),
         F.when(change, F.col("machine_name")).alias("machine_name"), F.when(change, F.col("ts_fin")).alias("ts_fin"))
@@ -41,14 +46,14 @@ def machine_counters(ops: DataFrame) -> DataFrame:
     order = [F.col("ts_ini").asc_nulls_last(), F.col("es_cambio").asc(), F.col("ts_fin").asc_nulls_last(),
              F.col("machine_name").asc(), F.col("ok").asc(), F.col("sc").asc(), F.col("copia").asc()]
     return running_totals(cutting_ops(ops), ["machine_id"], _day("ts_ini"), order,
-                          {"cum_piezas": F.col("ok"), "cum_scrap": F.col("sc"), "cum_ops": F.col("n")})
+                          {"cum_piezas": F.col("ok"), "cum_scrap": F.col("sc"), "cum_ops": F.col("n")}, counted=recorded_cutting(ops))
 
 
 def tool_changes(ops: DataFrame) -> DataFrame:
     """One row per tool change with what was made since the previous one."""
     changes = machine_counters(ops).where("es_cambio")
     cums = ["cum_piezas", "cum_scrap", "cum_ops"]
-    c = neighbor(changes, ["machine_id"], _day("ts_ini"), [F.col("cum_ops")], cums, "antes")
+    c = neighbor(changes, ["machine_id"], _day("ts_ini"), [F.col("cum_ops")], cums, "antes", counted=recorded_cutting(ops))
 
     def since(name: str) -> Column:
         return F.col(name) - F.coalesce(F.col(f"antes.{name}"), F.lit(0))

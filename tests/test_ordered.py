@@ -86,3 +86,53 @@ def test_value_bucket_follows_the_order(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     b = [r["b"] for r in df.select("v", o.value_bucket(F.col("v")).alias("b")).orderBy("v").collect()]
     assert b == sorted(b)
+
+
+def written(spark, df):
+    """Rows that each exchange of the plan writes, after it has run."""
+    df.collect()
+    found, plans = [], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+            continue
+        if name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        if name == "ShuffleExchangeExec":
+            found.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def test_hot_keys_give_the_same_as_light_ones(spark, monkeypatch):
+    df = skewed(spark)
+    probs = {"p25": 0.25, "p50": 0.5}
+
+    def all_of():
+        return [sorted(map(str, rows.select(*cols).collect())) for rows, cols in (
+            (o.running_totals(df, ["k"], F.col("d"), [F.col("i").asc()], {"s": F.col("i")}), ["k", "i", "s"]),
+            (o.neighbor(df, ["k"], F.floor(F.col("i") / 100), [F.col("i")], ["i"], "n"), ["k", "i", "n"]),
+            (o.quantiles(df, ["k"], "v", probs).select("k", *[F.round(p, 9).alias(p) for p in probs]), ["k", *probs]))]
+
+    light = all_of()
+    for most in (0, 1000):  # all keys hot; only the largest
+        monkeypatch.setattr(o, "PART_ROWS", most)
+        assert all_of() == light
+
+
+def test_split_hot_keeps_every_row_once(spark, monkeypatch):
+    monkeypatch.setattr(o, "PART_ROWS", 1000)
+    df = skewed(spark)
+    light, hot = o.split_hot(df, ["k"])
+    assert {r["k"] for r in hot.select("k").distinct().collect()} == {"hot"}
+    assert sorted(r["i"] for r in light.unionByName(hot).collect()) == list(range(3000))
+
+
+def test_light_keys_are_shuffled_once(spark):
+    df = skewed(spark)
+    for got in (o.row_numbers(df, ["k"], F.col("d"), [F.col("i").asc()]),
+                o.neighbor(df, ["k"], F.col("d"), [F.col("i")], ["i"], "n")):
+        assert sum(n >= 3000 for n in written(spark, got)) == 1
+    assert sum(written(spark, o.quantiles(df, ["k"], "v", {"p50": 0.5}))) < 3000
