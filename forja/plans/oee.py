@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from forja.functions import scalar as x
 from forja.operators.lastop import last_op_struct
-from forja.operators.ordered import attach_row, join_null_safe, quantiles
+from forja.operators.ordered import attach_row, band_quantiles, join_null_safe, key_part, percentiles, picked_percentiles, quantiles, split_hot
 from forja.operators.states import quantile_states
 
 # --- fixed values -----------------------------------------------------------
@@ -63,9 +63,14 @@ def cycle_states(ops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return quantile_states(ops.select(*keys, cycle_seconds().alias("ciclo_s")).dropna(subset=keys), keys, "ciclo_s")
 
 
-def global_cycle(benchmarks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Median of the group medians, the last resort of the cascade."""
-    return quantiles(benchmarks, list(by), "ciclo_mediana", {"ciclo_global": 0.5})
+def global_cycle(benchmarks: DataFrame, by: Sequence[str] = (), counted: DataFrame | None = None) -> DataFrame:
+    """Median of the group medians, the last resort of the cascade; ``counted`` as in ``split_hot``."""
+    return quantiles(benchmarks, list(by), "ciclo_mediana", {"ciclo_global": 0.5}, counted=counted)
+
+
+def last_resort(overall: Column) -> Column:
+    """The overall median; one that is not positive gives the default cycle."""
+    return F.when(overall > 0, overall).when(overall.isNotNull(), F.lit(DEFAULT_CYCLE_S))
 
 
 def target_cycle(rate: Column, p25: Column, median: Column, overall: Column) -> Column:
@@ -74,8 +79,7 @@ def target_cycle(rate: Column, p25: Column, median: Column, overall: Column) ->
     Without any history ``overall`` is NULL and so is the target; an overall
     median that is not positive gives the default cycle.
     """
-    last = F.when(overall > 0, overall).when(overall.isNotNull(), F.lit(DEFAULT_CYCLE_S))
-    return F.coalesce(F.when(rate > 0, 3600 / rate), p25, median, last)
+    return F.coalesce(F.when(rate > 0, 3600 / rate), p25, median, last_resort(overall))
 
 
 def join_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -85,59 +89,92 @@ def join_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFram
     return attach_row(left, right)
 
 
-def targets(ops: DataFrame, rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Minutes, production rows and target of each (by, machine, reference).
+def with_cycle(ops: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Operations of known groups with the seconds per piece that count for a benchmark."""
+    usable = F.when(F.col("machine_name").isNotNull() & F.col("ref_id_str").isNotNull(), cycle_seconds())
+    return (ops.dropna(subset=list(by)) if by else ops).withColumn("ciclo_s", usable)
+
 
-    The fact is read once, down to (by, machine, reference, cycle); sums and
-    quantiles both come from that.
+def cycle_grain(base: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Minutes, production rows and benchmarks of each (by, machine, reference) of ``with_cycle`` rows.
+
+    The fact is read down to that grain in one aggregate; only hot keys first
+    go down to (by, machine, reference, cycle), with quantiles of their own.
     """
     keys = pair_keys(by)
-    base = ops.dropna(subset=list(by)) if by else ops
+    light, hot = split_hot(base, keys)
     minutes = [f"min_{s}" for s in x.STATES]
-    usable = F.when(F.col("machine_name").isNotNull() & F.col("ref_id_str").isNotNull(), cycle_seconds())
-    fine = base.withColumn("ciclo_s", usable).groupBy(*keys, "ciclo_s").agg(
-        *[F.sum(F.when(F.col("estado") == s, F.col("duracion_min")).otherwise(0.0)).alias(f"min_{s}") for s in x.STATES],
-        F.count(F.when(F.col("estado") == "produccion", 1)).alias("ops_produccion"), F.count(F.lit(1)).alias("filas"))
-    bench = quantiles(fine, keys, "ciclo_s", BENCHMARKS, weight="filas")
-    grain = fine.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*minutes, "ops_produccion")])
-    grain = join_null_safe(grain, bench, keys, "left")
-    out = join_group(with_rate(grain, rates), global_cycle(bench, by), by)
+    sums = [*[F.sum(F.when(F.col("estado") == s, F.col("duracion_min")).otherwise(0.0)).alias(f"min_{s}") for s in x.STATES],
+            F.count(F.when(F.col("estado") == "produccion", 1)).alias("ops_produccion")]
+    whole = light.groupBy(*keys).agg(*sums, percentiles("ciclo_s", BENCHMARKS).alias("__q"))
+    whole = whole.select(*keys, *minutes, "ops_produccion", *picked_percentiles("__q", BENCHMARKS))
+    fine = hot.groupBy(*keys, "ciclo_s").agg(*sums, F.count(F.lit(1)).alias("filas"))
+    bench = band_quantiles(fine, keys, "ciclo_s", BENCHMARKS, weight="filas")
+    rest = fine.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in (*minutes, "ops_produccion")])
+    return whole.unionByName(join_null_safe(rest, bench, keys, "left"))
+
+
+def targets(ops: DataFrame, rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Minutes, production rows and target of each (by, machine, reference)."""
+    base = with_cycle(ops, by)
+    grain = cycle_grain(base, by)
+    overall = global_cycle(grain, by, counted=base)
+    out = join_group(with_rate(grain, rates), overall, by)
     cycle = target_cycle(F.col("piezas_hora_teorico"), F.col("ciclo_p25"), F.col("ciclo_mediana"), F.col("ciclo_global"))
     return out.withColumn("ciclo_objetivo_s", cycle)
 
 
+def without_history(rows: DataFrame, base: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows of all groups in which no operation of ``base`` has a cycle, and of some others.
+
+    Groups are named by their part of the key space, so what is broadcast is bounded.
+    """
+    none = base.groupBy(*by).agg(F.max("ciclo_s").alias("__h"))
+    if not by:
+        return attach_row(rows, none).where(F.col("__h").isNull()).drop("__h")
+    parts = none.where(F.col("__h").isNull()).select(key_part(by).alias("__p")).distinct()
+    return rows.withColumn("__p", key_part(by)).join(F.broadcast(parts), "__p", "left_semi").drop("__p")
+
+
 def oee(ops: DataFrame, rates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The OEE record, one row per group (one row in all without ``by``).
 
     Minutes count every operation; pieces only the last valid production
-    operation of each order.
+    operation of each order.  What has no target of its own takes the last
+    resort of its group, so it is summed up before that is known.
     """
     by = list(by)
-    grain = targets(ops, rates, by)
-    uph = F.when(F.col("ciclo_objetivo_s") > 0, 3600 / F.col("ciclo_objetivo_s"))
-    used = F.when(uph > 0, F.col("ops_produccion"))
-    time = grain.groupBy(*by).agg(
+    base = with_cycle(ops, by)
+    grain = cycle_grain(base, by)
+    own = target_cycle(F.col("piezas_hora_teorico"), F.col("ciclo_p25"), F.col("ciclo_mediana"), F.lit(None).cast("double"))
+    cycle = F.col("ciclo_propio_s")
+    uph = F.when(cycle > 0, 3600 / cycle)
+    time = with_rate(grain, rates).withColumn("ciclo_propio_s", own).groupBy(*by).agg(
         *[x.sum0(f"min_{s}").alias(f"min_{s}") for s in x.STATES],
-        x.sum0(uph * F.col("min_produccion") / 60).alias("ideal_output"),
-        F.sum(uph * used).alias("uph_suma"),
-        F.sum(used).alias("uph_filas"),
-        F.max("ciclo_global").alias("ciclo_global"),
+        x.sum0(uph * F.col("min_produccion") / 60).alias("ideal_propio"),
+        x.sum0(uph * F.col("ops_produccion")).alias("uph_propio"),
+        x.sum0(F.when(uph > 0, F.col("ops_produccion"))).alias("filas_propias"),
+        x.sum0(F.when(cycle.isNull(), F.col("min_produccion"))).alias("min_sin"),
+        x.sum0(F.when(cycle.isNull(), F.col("ops_produccion"))).alias("filas_sin"),
     )
+    time = join_group(time, global_cycle(grain, by, counted=base), by)
+    rest = F.coalesce(3600 / last_resort(F.col("ciclo_global")), F.lit(0.0))
+    time = time.withColumns({
+        "ideal_output": F.col("ideal_propio") + rest * F.col("min_sin") / 60,
+        "uph_suma": F.col("uph_propio") + rest * F.col("filas_sin"),
+        "uph_filas": F.col("filas_propias") + F.when(rest > 0, F.col("filas_sin")).otherwise(0),
+    })
 
     made = ops.where((F.col("estado") == "produccion") & (F.col("total_piezas") > 0))
     made = made.dropna(subset=["work_order_id", *by])
-    made = with_rate(made, rates)
-    record = last_op_struct()
-    last = made.groupBy("work_order_id", *by).agg(
-        F.max(record).alias("una"),
-        F.max(F.when(F.col("piezas_hora_teorico") > 0, record)).alias("con_tasa"),
-    )
-    # operations without any target (no rate, group without history) do not count
-    pieces = last.groupBy(*by).agg(*[
-        x.sum0(F.col(f"{src}.{c}")).alias(f"{src}_{c}")
-        for src in ("una", "con_tasa") for c in ("piezas_ok", "piezas_scrap")
-    ])
-    j = join_group(time, pieces, by)
+    # where the group has no history at all, operations without a listed rate do not count
+    rated = with_rate(without_history(made, base, by), rates).where(F.col("piezas_hora_teorico") > 0)
+
+    def pieces(rows: DataFrame, name: str) -> DataFrame:
+        last = rows.groupBy("work_order_id", *by).agg(F.max(last_op_struct()).alias("u"))
+        return last.groupBy(*by).agg(*[x.sum0(F.col(f"u.{c}")).alias(f"{name}_{c}") for c in ("piezas_ok", "piezas_scrap")])
+
+    j = join_group(join_group(time, pieces(made, "una"), by), pieces(rated, "con_tasa"), by)
     hist = F.col("ciclo_global").isNotNull()
     j = j.withColumns({
         c: F.coalesce(F.when(hist, F.col(f"una_{c}")).otherwise(F.col(f"con_tasa_{c}")), F.lit(0.0))

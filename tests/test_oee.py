@@ -141,3 +141,23 @@ def test_pareto_shares_are_of_the_top(spark):
     rows = [{"evento": "Incidencia", "tipo_incidencia": f"T{i:02d}", "duracion_min": 12.0 - i} for i in range(12)]
     got = as_dicts(p.incident_pareto(ops(spark, *rows)), "tipo_incidencia")
     assert len(got) == 10 and got[-1]["pct_acum"] == pytest.approx(100.0)
+
+
+def test_hot_keys_give_the_same_record(spark, monkeypatch):
+    from forja.operators import ordered
+
+    rows = [{"work_order_id": f"O{i % 7}", "machine_name": f"M{i % 3}" if i % 11 else None, "ref_id": str(i % 2), "ts_ini": at(6 + i % 3, i % 24),
+             "ts_fin": at(10, i % 24, i % 60), "duracion_min": float(i % 17), "piezas_ok": float(i % 13 * 5), "evento": None if i % 5 == 0 else "Producción"}
+            for i in range(120)]
+    rows += [{"ts_ini": at(20), "duracion_min": 0.0, "work_order_id": f"N{i}", "machine_name": f"M{i}"} for i in range(2)]  # a day without history
+    listed = [("000001", "M1", 120.0)]
+
+    def all_of():
+        return [[{k: round(v, 9) if isinstance(v, float) else v for k, v in r.items()} for r in record(spark, rows, listed, by)]
+                for by in ((), ("fecha",), ("machine_name",))]
+
+    light = all_of()
+    day = [r for r in light[1] if r["fecha"].day == 20]
+    assert [(r["total_ok"], r["ideal_output"], r["uph_teorico"]) for r in day] == [(10, 0.0, 120.0)]
+    monkeypatch.setattr(ordered, "PART_ROWS", 0)
+    assert all_of() == light
