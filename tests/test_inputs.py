@@ -1,7 +1,7 @@
 import os
 from datetime import datetime
 
-from forja.catalog import inputs
+from forja.catalog import inputs, model_queries
 from forja.staging import out_dir
 
 DAY = datetime(2024, 3, 5)
@@ -33,3 +33,12 @@ def test_fact_joins_orders_only_where_they_are_named(spark, tmp_path):
     assert "Join" not in plan  # neither orders nor dimensions are read again
     stored = set(os.listdir(out_dir(spark, sf)))
     assert "operaciones" in stored and not stored & {"produccion", "ordenes", "ordenes_unicas"}
+
+
+def test_machine_features_of_a_fit_are_read_and_not_derived_again(spark, tmp_path):
+    for name, (schema, rows) in TABLES.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    machines = model_queries.machines(spark, str(tmp_path))
+    assert {r["machine_name"] for r in machines.collect()} == {"M00000001", "M00000002"}
+    plan = machines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan  # a fit of many rounds shuffles no operations
