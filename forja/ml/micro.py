@@ -11,11 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from forja.ml.metrics import _dist2
 from forja.operators.ordered import attach_row
+from forja.staging import temporary
 
 CELLS = 1_024
 DEEPEST = 24
@@ -49,16 +52,19 @@ def micro_clusters(points: DataFrame, cols: Sequence[str], by: Sequence[str] = (
     return points.groupBy(*by, "__cell").agg(*sums).withColumn("radius", F.sqrt(_dist2(F.col("lo"), F.col("hi")))).drop("lo", "hi")
 
 
-def silhouette_euclidean(points: DataFrame, cols: Sequence[str], label: str = "cluster", noise: int | None = -1, cells: int = CELLS) -> DataFrame:
+def silhouette_euclidean(points: DataFrame, cols: Sequence[str], label: str = "cluster", noise: int | None = -1, cells: int | None = None) -> DataFrame:
     """One row: mean silhouette over Euclidean distance, noise left out, and ``cota_error``, how far it may be off.
 
-    Every point meets the micro clusters of all clusters, about ``cells`` in
-    number, instead of all points.  A distance is off by a micro cluster's
-    radius at most; with no more different points than ``cells`` the result
-    is exact and the bound 0.  NULL with fewer than two clusters.
+    All pairs of points are measured, in blocks, and the bound is 0.  That
+    takes time in proportion to the square of the points; with ``cells`` every
+    point meets about as many micro clusters of all clusters instead: a
+    distance is then off by a micro cluster's radius at most.  NULL with fewer
+    than two clusters.
     """
     p = points.where(F.col(label) != noise) if noise is not None else points
     p = p.dropna(subset=[label, *cols])
+    if cells is None:
+        return _all_pairs(p, cols, label)
     placed, exact = with_cells(p, cols, [label], cells)
     small = micro_clusters(placed, cols, [label])
     ball = F.struct(F.col("n").cast("double").alias("n"), "centre", (F.lit(0.0) if exact else F.col("radius")).alias("r"))
@@ -84,6 +90,104 @@ def silhouette_euclidean(points: DataFrame, cols: Sequence[str], label: str = "c
     return j.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"), F.avg(bound).alias("cota_error"))
 
 
+#: Points of a block, and the most numbers that a block keeps of its points and all clusters.
+SIDE, SUMS = 1 << 14, 1 << 23
+PACKED = "i int, n int, spots binary"
+MEASURED = "i int, j int, sums binary, own binary"
+
+
+def _packed(d: int):
+    """The points of a block as one row of numbers: cluster, weight, coordinates."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = np.stack([table.column(c).to_numpy().astype(float) for c in ("c", "n", *[f"x{k}" for k in range(d)])], axis=1)
+        rows = rows[np.lexsort(rows.T[::-1])]  # in one order, whatever the order in which rows came
+        return pa.table({"i": pa.array([table.column("i")[0].as_py()], pa.int32()), "n": pa.array([len(rows)], pa.int32()), "spots": [rows.tobytes()]})
+
+    return run
+
+
+def _measured(d: int, clusters: int):
+    """Of two blocks: the distances of each point to all points of the other block, summed up per cluster."""
+    def unpacked(table: pa.Table, name: str) -> np.ndarray:
+        return np.frombuffer(table.column(name)[0].as_buffer(), float).reshape(-1, d + 2)
+
+    def weights(spots: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(spots), clusters))
+        out[np.arange(len(spots)), spots[:, 0].astype(int)] = spots[:, 1]
+        return out
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        a, b = unpacked(left, "spots"), unpacked(right, "others")
+        wa, wb = weights(a), weights(b)
+        sums, back = np.zeros((len(a), clusters)), np.zeros((len(b), clusters))
+        step = max(1, (1 << 17) // max(len(b), 1))
+        dist, one = np.empty((step, len(b))), np.empty((step, len(b)))
+        for k in range(0, len(a), step):
+            m = min(step, len(a) - k)
+            total, diff = dist[:m], one[:m]
+            total.fill(0.0)
+            for x in range(2, d + 2):
+                np.subtract(a[k: k + m, x, None], b[None, :, x], out=diff)
+                np.multiply(diff, diff, out=diff)
+                np.add(total, diff, out=total)
+            np.sqrt(total, out=total)
+            sums[k: k + m] = total @ wb
+            if i != j:
+                back += total.T @ wa[k: k + m]
+        rows = [(i, j, sums.tobytes(), a[:, :2].tobytes() if i == j else b"")] + ([(j, i, back.tobytes(), b"")] if i != j else [])
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("i", pa.int32()), ("j", pa.int32()), ("sums", pa.binary()), ("own", pa.binary())))})
+
+    return run
+
+
+def _scored(sizes: np.ndarray):
+    """Sum of the silhouettes of a block and the points that have one."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("j").to_pylist(), table.column("sums"), table.column("own"), strict=True), key=lambda r: r[0])
+        total = sum(np.frombuffer(r[1].as_buffer(), float) for r in rows).reshape(-1, len(sizes))
+        own = np.frombuffer(next(r[2] for r in rows if len(r[2].as_buffer())).as_buffer(), float).reshape(-1, 2)
+        c, n, at = own[:, 0].astype(int), own[:, 1], np.arange(len(own))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = total[at, c] / (sizes[c] - 1)
+            mean = total / sizes
+        mean[at, c] = np.inf
+        b = mean.min(axis=1)
+        far = np.maximum(a, b)
+        s = np.where((sizes[c] == 1) | (far == 0), 0.0, (b - a) / np.where(far > 0, far, 1.0))
+        return pa.table({"s": [float((s * n).sum())], "n": [float(n.sum())]})
+
+    return run
+
+
+def _all_pairs(p: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
+    """The silhouette over all pairs of points.
+
+    Equal points of a cluster are one of a weight; blocks of SIDE of them meet
+    in pairs, each pair of blocks once and in one task, whose memory is
+    bounded by the block.  A block is sent once per block, some 2 n^2 / SIDE points in all.
+    """
+    x = [f"x{k}" for k in range(len(cols))]
+    spots = p.groupBy(F.col(label).alias("label"), *[F.col(c).cast("double").alias(k) for c, k in zip(cols, x, strict=True)]).agg(F.count("*").alias("n"))
+    spots = temporary(p.sparkSession, spots, "silhouette-spots")
+    sizes = spots.groupBy("label").agg(F.count("*").alias("spots"), F.sum("n").alias("n")).orderBy("label").collect()
+    if len(sizes) < 2:
+        return spots.agg(F.lit(None).cast("double").alias("silhouette"), F.lit(None).cast("double").alias("cota_error"))
+    clusters = p.sparkSession.createDataFrame([(r["label"], c) for c, r in enumerate(sizes)], spots.select("label").schema.add("c", IntegerType()))
+    side = min(SIDE, max(1, SUMS // len(sizes)))
+    blocks = -(-sum(r["spots"] for r in sizes) // side)
+    placed = spots.join(clusters, "label").withColumn("i", F.pmod(F.xxhash64("label", *x), F.lit(blocks)).cast("int"))
+    packed = placed.select("i", "c", "n", *x).groupBy("i").applyInArrow(_packed(len(cols)), PACKED)
+    packed = temporary(p.sparkSession, packed, "silhouette-blocks")
+    parts = min(blocks * (blocks + 1) // 2, 4 * p.sparkSession.sparkContext.defaultParallelism + blocks)
+    left = packed.withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1)))).repartition(parts, "i", "j")
+    right = packed.select(F.col("i").alias("j"), F.col("spots").alias("others"))
+    right = right.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")))).repartition(parts, "i", "j")
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_measured(len(cols), len(sizes)), MEASURED)
+    per = met.groupBy("i").applyInArrow(_scored(np.array([r["n"] for r in sizes], float)), "s double, n double")
+    return per.agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.lit(0.0).alias("cota_error"))
+
+
 def agglomerate(centres: np.ndarray, weights: np.ndarray, k: int, linkage: str = "ward") -> np.ndarray:
     """Cluster of each of a bounded number of weighted points, merged from below until ``k`` are left.
 

@@ -48,6 +48,18 @@ def test_silhouette_keeps_its_bound(spark):
     assert off <= row["cota_error"] < 1 and off < 0.02
 
 
+def test_silhouette_measures_all_pairs_at_every_size(spark, monkeypatch):
+    """More positions than CELLS, in several blocks, some of them repeated, and clusters of one point."""
+    monkeypatch.setattr(micro, "SIDE", 500)
+    label, points = cloud(2600)
+    label, points = np.append(label, [7, 8, 1, 1]), np.vstack([points, [[50.0, 50.0], [50.0, 50.0], points[0], points[0]]])
+    row = micro.silhouette_euclidean(table(spark, label, points).repartition(5), ["x", "y"]).first()
+    assert row["silhouette"] == pytest.approx(plain_silhouette(label, points), abs=1e-12) and row["cota_error"] == 0.0
+    named = table(spark, label, points).selectExpr("if(cluster = 1, 'b', 'a') AS kind", "x", "0D AS y")
+    row = micro.silhouette_euclidean(named, ["x", "y"], "kind", None).first()
+    assert row["silhouette"] == pytest.approx(plain_silhouette(label == 1, points * [1, 0]), abs=1e-12)
+
+
 def test_silhouette_needs_two_clusters(spark):
     label, points = cloud(20)
     assert micro.silhouette_euclidean(table(spark, np.zeros(20, int), points), ["x", "y"]).first()["silhouette"] is None
