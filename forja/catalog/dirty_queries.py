@@ -24,6 +24,7 @@ from forja.plans import oee
 from forja.plans import quality as q
 from forja.plans import routes as p
 from forja.sources import conform
+from forja.staging import temporary
 
 HOT_MACHINE, HOT_REF = "M00000001", "7"
 
@@ -161,8 +162,13 @@ def a37(spark, sf):
       (SELECT *, duracion_min*60/total_piezas AS c FROM ops_dirty WHERE estado = 'produccion' AND duracion_min > 0 AND total_piezas > 0)
     WHERE c BETWEEN 1 AND 600 AND machine_name IS NOT NULL AND ref_id_str IS NOT NULL GROUP BY 1, 2""")
 def a2(spark, sf):
-    """Quantiles with half of all rows in one group."""
-    return i.rounded(oee.cycle_benchmarks(ops_dirty(spark, sf)))
+    """Quantiles with half of all rows in one group.
+
+    What a cycle is made of is derived once and stored: a filter on the cycle
+    would otherwise derive every column many times a row, in each of the passes.
+    """
+    parts = ops_dirty(spark, sf).select("machine_name", "ref_id_str", "estado", "duracion_min", "total_piezas")
+    return i.rounded(oee.cycle_benchmarks(temporary(spark, parts, "dirty-cycles")))
 
 
 @register("M12_dirty_metrics", ("ops_dirty",), """

@@ -6,7 +6,7 @@ import pytest
 from frames import as_dicts
 from test_inputs import TABLES
 
-from forja.catalog import feature_queries, inputs
+from forja.catalog import dirty_queries, feature_queries, inputs
 from forja.ml import metrics
 from forja.plans import features as f
 
@@ -53,3 +53,9 @@ def test_models_are_compared_in_one_pass(spark):
         assert {c: got[f"{c}_{side}"] for c in ("mae", "rmse", "r2")} == pytest.approx({c: m[c] for c in ("mae", "rmse", "r2")})
     plan = metrics.compare_models(df, "y", "a", "b")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_cycles_of_unclean_operations_are_derived_once(spark, sf):
+    """A filter on the cycle derives no column again: the quantiles read what was stored."""
+    plan = dirty_queries.a2(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp_replace" not in plan and "ciclo" in plan
