@@ -33,6 +33,15 @@ def _boxes(spots: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
                                     F.expr(f"array({', '.join(f'max(get(hi, {i}))' for i in range(d))})").alias("hi"))
 
 
+def _join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the points: sorted, never broadcast.
+
+    Sizes of tables with arrays are underestimated, so many a side would pass
+    for small, and all of them are built by the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _verdict(d: int, eps: float) -> Column:
     """TRUE if all points of two boxes are neighbours, FALSE if none is, NULL if that is open."""
     low = [f"(get(lo_a, {i}) - get(hi_b, {i}))" for i in range(d)]
@@ -56,7 +65,7 @@ def _neighbour_cells(cells: DataFrame, others: DataFrame, d: int, eps: float) ->
     a = cells.withColumn("o", F.explode(offsets)).select(F.col("cell").alias("cell_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"),
                                                          F.zip_with(key, "o", lambda c, s: c + s).alias("k"))
     b = others.select(F.col("cell").alias("cell_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), key.alias("k"))
-    pairs = a.join(b, "k").where("cell_a <> cell_b").withColumn("v", _verdict(d, eps))
+    pairs = _join(a, b, "k").where("cell_a <> cell_b").withColumn("v", _verdict(d, eps))
     return pairs.where(F.coalesce("v", F.lit(True))).select("cell_a", "cell_b", F.col("v").isNull().alias("open"))
 
 
@@ -70,7 +79,7 @@ def _touching(pairs: DataFrame, left: list[DataFrame], right: list[DataFrame], o
     found = None
     for level, (a, b) in enumerate(zip(left, right, strict=True)):
         keys_a, keys_b = ([*own], ["cell_b"]) if not level else ([*own, "box_a"], ["cell_b", "box_b"])
-        open_pairs = pairs.join(a, keys_a).join(b, keys_b).withColumn("v", _verdict(d, eps))
+        open_pairs = _join(_join(pairs, a, keys_a), b, keys_b).withColumn("v", _verdict(d, eps))
         sure = open_pairs.where("v").groupBy(*own, "cell_b").agg(F.sum("n_b").alias("n"))
         found = sure if found is None else found.unionAll(sure)
         pairs = open_pairs.where("v IS NULL").select(*own, "cell_b", "box_a", "box_b") if not level else pairs
@@ -101,24 +110,24 @@ def density_clusters(points: DataFrame, key: str, cols: Sequence[str], eps: floa
     # which points are core
     sparse = cells.where(F.col("n") < min_samples)
     near = _neighbour_cells(sparse, cells, d, eps)
-    few = spots.join(sparse.select("cell", F.col("n").alias("n_cell")), "cell")
+    few = _join(spots, sparse.select("cell", F.col("n").alias("n_cell")), "cell")
     some = few.select(F.col("first").alias("first_a"), F.col("cell").alias("cell_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), "n_cell")
-    to_cells = some.join(near, "cell_a").join(cells.select(F.col("cell").alias("cell_b"), F.col("n").alias("n_b"), F.col("lo").alias("lo_b"),
-                                                           F.col("hi").alias("hi_b")), "cell_b").withColumn("v", _verdict(d, eps))
+    others = cells.select(F.col("cell").alias("cell_b"), F.col("n").alias("n_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    to_cells = _join(_join(some, near, "cell_a"), others, "cell_b").withColumn("v", _verdict(d, eps))
     to_cells = temporary(spark, to_cells.where(F.coalesce("v", F.lit(True))).select("first_a", "cell_b", "n_cell", "n_b", "v"), "density-near")
     sure = to_cells.groupBy("first_a").agg(F.sum(F.when(F.col("v"), F.col("n_b")).otherwise(0)).alias("sure"), F.max("n_cell").alias("n_cell"))
     short = sure.where(F.col("sure") + F.col("n_cell") < min_samples).select("first_a")
-    open_pairs = to_cells.where("v IS NULL").join(short, "first_a", "left_semi").select("first_a", "cell_b")
+    open_pairs = _join(to_cells.where("v IS NULL"), short, "first_a", "left_semi").select("first_a", "cell_b")
     as_a = some.select("first_a", "lo_a", "hi_a", F.lit(0).alias("box_a"))
     boxes = temporary(spark, _boxes(spots, ["cell", "box"], d), "density-boxes")
     level_b = [_side(boxes, "b", "cell", "box", "n"), _side(spots, "b", "cell", "box", "n")]
     open_pairs = temporary(spark, open_pairs, "density-open")
     more = _touching(open_pairs, [as_a, as_a], level_b, ["first_a"], d, eps).groupBy("first_a").agg(F.sum("n").alias("more"))
-    counts = some.select("first_a", "n_cell").join(sure.select("first_a", "sure"), "first_a", "left").join(more, "first_a", "left")
+    counts = _join(_join(some.select("first_a", "n_cell"), sure.select("first_a", "sure"), "first_a", "left"), more, "first_a", "left")
     total = F.col("n_cell") + F.coalesce("sure", F.lit(0)) + F.coalesce("more", F.lit(0))
     core_few = temporary(spark, counts.where(total >= min_samples).select(F.col("first_a").alias("first")), "density-core-few")
     dense = cells.where(F.col("n") >= min_samples).select("cell")
-    core = spots.join(dense, "cell", "left_semi").unionByName(few.drop("n_cell").join(core_few, "first", "left_semi"))
+    core = _join(spots, dense, "cell", "left_semi").unionByName(_join(few.drop("n_cell"), core_few, "first", "left_semi"))
     core = temporary(spark, core, "density-core")
 
     # which cells hang together
@@ -130,24 +139,24 @@ def density_clusters(points: DataFrame, key: str, cols: Sequence[str], eps: floa
     linked = _touching(between.where("open").select("cell_a", "cell_b"), left, right, ["cell_a"], d, eps).select("cell_a", "cell_b")
     edges = between.where("NOT open").select("cell_a", "cell_b").unionAll(linked)
     least = components(spark, edges).select(F.col("a").alias("cell"), F.col("b").alias("of"))
-    home = core.groupBy("cell").agg(F.min("first").alias("first")).join(least, "cell", "left").select("cell", F.coalesce("of", "cell").alias("of"), "first")
+    home = _join(core.groupBy("cell").agg(F.min("first").alias("first")), least, "cell", "left").select("cell", F.coalesce("of", "cell").alias("of"), "first")
     names = home.groupBy("of").agg(F.min("first").alias("name"))
-    of_cell = temporary(spark, home.join(names, "of").select("cell", "name"), "density-names")
+    of_cell = temporary(spark, _join(home, names, "of").select("cell", "name"), "density-names")
 
     # border points: the first cluster with a core point in reach
-    border = few.drop("n_cell").join(core_few, "first", "left_anti")
+    border = _join(few.drop("n_cell"), core_few, "first", "left_anti")
     to_core = _neighbour_cells(_boxes(border, ["cell"], d), core_cells, d, eps).select("cell_a", "cell_b")
     at = border.select(F.col("first").alias("first_a"), F.col("cell").alias("cell_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    reach = at.join(to_core, "cell_a").select("first_a", "cell_b")
+    reach = _join(at, to_core, "cell_a").select("first_a", "cell_b")
     near_core = _touching(reach, [at.select("first_a", "lo_a", "hi_a", F.lit(0).alias("box_a"))] * 2, right, ["first_a"], d, eps)
     inside = at.select("first_a", F.col("cell_a").alias("cell_b"))
-    choices = near_core.select("first_a", "cell_b").unionAll(inside).join(of_cell.withColumnRenamed("cell", "cell_b"), "cell_b")
+    choices = _join(near_core.select("first_a", "cell_b").unionAll(inside), of_cell.withColumnRenamed("cell", "cell_b"), "cell_b")
     of_border = choices.groupBy("first_a").agg(F.min("name").alias("name")).select(F.col("first_a").alias("first"), "name")
 
-    of_spot = core.join(of_cell, "cell").select("lo", "name", F.lit(True).alias("es_nucleo")).unionByName(
-        border.join(of_border, "first").select("lo", "name", F.lit(False).alias("es_nucleo")))
+    of_spot = _join(core, of_cell, "cell").select("lo", "name", F.lit(True).alias("es_nucleo")).unionByName(
+        _join(border, of_border, "first").select("lo", "name", F.lit(False).alias("es_nucleo")))
     ranked = _numbered(of_cell.select("name").distinct())
-    out = own.join(of_spot.join(ranked, "name"), "lo", "left")
+    out = _join(own, _join(of_spot, ranked, "name"), "lo", "left")
     return out.select(F.col("key").alias(key), F.coalesce("number", F.lit(-1)).cast("int").alias(label), F.coalesce("es_nucleo", F.lit(False)).alias("es_nucleo"))
 
 

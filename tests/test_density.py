@@ -82,3 +82,14 @@ def test_components_of_paths_and_stars(spark):
     found = {r["a"]: r["b"] for r in components(spark, spark.createDataFrame(edges, "x long, y long")).collect()}
     assert found == {i: 0 for i in range(1, 51)} | {i: 100 for i in range(101, 141)} | {300: 200}
     clear_temporary(spark)
+
+
+def test_no_table_of_points_is_built_by_the_driver(spark):
+    """Tables with arrays pass for smaller than they are: joins of such tables are sorted, whatever size is guessed."""
+    a, b = (spark.range(5).selectExpr("array(id) AS cell", "id AS v").withColumnRenamed("v", v) for v in ("x", "y"))
+    joined = density._join(a, b, "cell")
+    assert joined.count() == 5 and "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    points = spark.createDataFrame([("a", 0.0), ("b", 0.1), ("c", 0.2), ("d", 9.0)], "id string, x double")
+    out = density.density_clusters(points, "id", ["x"], 0.5, 2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") >= 4
+    assert {r["id"]: r["cluster"] for r in out.collect()} == {"a": 0, "b": 0, "c": 0, "d": -1}
