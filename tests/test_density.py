@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from forja.ml import density
 from forja.ml.density import density_clusters
 from forja.operators.graph import components
 from forja.staging import clear_temporary
